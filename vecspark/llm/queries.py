@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecspark.llm.lm import score_documents
 from vecspark.llm.neardup import near_duplicates
 from vecspark.llm.secrets import digest, find_secrets
 from vecspark.llm.substring import remove_repeated_windows
@@ -24,6 +25,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ FROM w LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op5_lm_score": op5_lm_score,
     "op6_minhash_neardup": op6_minhash_neardup,
     "op7_substring_dedup": op7_substring_dedup,
 }
