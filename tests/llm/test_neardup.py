@@ -64,10 +64,11 @@ def test_matches_brute_force(spark, data):
 
 
 def test_small_blocks_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 3)
     data = near(5)
-    got = near_duplicates(frame(spark, data)).collect()
-    assert sorted(map(tuple, got), key=str) == brute(data)
+    for name, value in (("BLOCK", 3), ("BLOCK_SHINGLES", 700)):
+        monkeypatch.setattr(neardup, name, value)
+        got = near_duplicates(frame(spark, data)).collect()
+        assert sorted(map(tuple, got), key=str) == brute(data)
 
 
 def test_sketch_estimates_similarity():

@@ -6,10 +6,11 @@ bin keeps its least value, and a set stops once every bin is full, so each coord
 always filled and the estimate keeps Chernoff-style concentration.
 
 Texts with equal shingle sets collapse first. Each band bucket then links its members to
-its least member; those links are verified on full sets and joined into components. What
-a bucket still holds in more than one component is compared by sketch in blocks of bounded
-size, and the pairs that may pass are verified too, so no bucket is ever expanded into all
-its pairs and none is capped.
+its least member; those links are verified on full sets and joined into components. A
+bucket that still holds more than one component is settled in blocks of bounded size: an
+inverted index of the block's shingles counts the exact intersections of each member
+outside the largest component with all others, and one link for each pair of components
+comes out. So no bucket is expanded into pairs of rows, and none is capped.
 """
 
 from __future__ import annotations
@@ -30,11 +31,10 @@ SHINGLE = 5
 SIMILARITY = 0.75
 #: 40 bands of 4: a pair at 0.75 shares no band with probability 2.5e-7.
 BANDS, ROWS = 40, 4
-#: Pairs whose sketches agree on fewer coordinates are not verified: 0.75 is 5.8 standard deviations above.
-LEAST_ESTIMATE = 0.55
-BLOCK = 2000
+#: Members and shingles in a block of a bucket.
+BLOCK, BLOCK_SHINGLES = 2000, 500_000
 
-_FEATURES = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
+_FEATURES = "doc_id long, n_shingles long, digest binary, bands array<long>"
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -106,12 +106,11 @@ def _features(bands: int, rows: int, k: int, batch: pa.RecordBatch) -> Iterator[
         full = np.flatnonzero(sizes)
         sketch = fast_sketches(values, np.concatenate(([0], np.cumsum(sizes[full]))), bands * rows)
         keys = band_keys(sketch, bands, rows)
-        short = (tk.mix64(sketch.copy()) & np.uint64(0xFFFF)).astype(np.uint16)
         at = dict(zip(full.tolist(), range(len(full)), strict=True))
         digests = [hashlib.blake2b(values[bounds[d] : bounds[d + 1]].tobytes(), digest_size=16).digest() for d in range(part.num_rows)]
         yield pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array(sizes), pa.array(digests, pa.binary()), pa.array([keys[at[d]] if d in at else None for d in range(part.num_rows)], pa.list_(pa.int64())), pa.array([short[at[d]].tobytes() if d in at else None for d in range(part.num_rows)], pa.binary())],
-            ["doc_id", "n_shingles", "digest", "bands", "sketch"],
+            [part.column(0), pa.array(sizes), pa.array(digests, pa.binary()), pa.array([keys[at[d]] if d in at else None for d in range(part.num_rows)], pa.list_(pa.int64()))],
+            ["doc_id", "n_shingles", "digest", "bands"],
         )
 
 
@@ -135,44 +134,54 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> D
     return met.select("a", "b", "text_a", "text_b").mapInArrow(on_batches(_verify, k, similarity), "a long, b long")
 
 
-def _apart(least: float, key: tuple, table: pa.Table) -> pa.Table:
-    """Pairs of one bucket block that lie in different components and look similar."""
-    order = np.lexsort((table.column("node").to_numpy(), table.column("j").to_numpy(), table.column("i").to_numpy(), table.column("key").to_numpy()))
-    key_, i, j, own, node, comp, size = (table.column(c).to_numpy()[order] for c in ("key", "i", "j", "own", "node", "comp", "n_shingles"))
-    raw = table.column("sketch").combine_chunks().take(pa.array(order))
-    t = len(raw[0].as_py()) // 2
-    sketch = np.frombuffer(b"".join(raw.to_pylist()), np.uint16).reshape(-1, t)
+def _settle(k: int, similarity: float, key: tuple, table: pa.Table) -> pa.Table:
+    """Links between the components of each bucket block, one for each member and other component."""
+    table = table.sort_by([(c, "ascending") for c in ("key", "i", "j", "node")])
+    key_, i, j, own, node, comp = (table.column(c).to_numpy() for c in ("key", "i", "j", "own", "node", "comp"))
     new = np.flatnonzero(np.concatenate(([True], (key_[1:] != key_[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
     a, b = [], []
-    for lo, hi in zip(new, np.append(new[1:], len(key_)), strict=True):
-        c, n, s, o = comp[lo:hi], node[lo:hi], sketch[lo:hi], own[lo:hi]
-        z = size[lo:hi].astype(np.float64)
-        for x in range(hi - lo - 1):
-            rest = slice(x + 1, hi - lo)
-            may = (c[rest] != c[x]) & (np.minimum(z[rest], z[x]) >= least * np.maximum(z[rest], z[x]))
+    for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(key_)], strict=True):
+        c, n, o = comp[lo:hi], node[lo:hi], own[lo:hi]
+        kinds, kind = np.unique(c, return_inverse=True)
+        if len(kinds) < 2:
+            continue
+        values, bounds = shingle_sets(table.column("text").slice(lo, hi - lo), k)
+        sizes = np.diff(bounds)
+        _, of = np.unique(values, return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        holder = np.repeat(np.arange(hi - lo), sizes)[order]
+        ends = np.cumsum(np.bincount(of))
+        starts = np.concatenate(([0], ends[:-1]))
+        for x in np.flatnonzero(kind != np.bincount(kind).argmax()).tolist():
+            own_of = of[bounds[x] : bounds[x + 1]]
+            stop = ends[own_of]
+            many = stop - starts[own_of]
+            at = np.repeat(stop - np.cumsum(many), many) + np.arange(int(many.sum()))
+            both = np.bincount(holder[at], minlength=hi - lo)
+            link = (100 * both >= round(100 * similarity) * (sizes + sizes[x] - both)) & (both > 0) & (kind != kind[x])
             if i[lo] != j[lo]:
-                may &= o[rest] != o[x]
-            y = np.flatnonzero(may) + x + 1
-            if len(y):
-                y = y[(s[y] == s[x]).sum(axis=1) >= least * t]
-                a += np.minimum(n[x], n[y]).tolist()
-                b += np.maximum(n[x], n[y]).tolist()
+                link &= o != o[x]
+            hits = np.flatnonzero(link)
+            for y in hits[np.unique(kind[hits], return_index=True)[1]].tolist():
+                a.append(int(min(n[x], n[y])))
+                b.append(int(max(n[x], n[y])))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _unsettled(members: DataFrame, labels: DataFrame, features: DataFrame, least: float) -> DataFrame:
-    """Pairs still to be verified: similar by sketch, in one bucket, in different components."""
+def _settled(members: DataFrame, labels: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Verified links between the components that meet in a bucket."""
     parts = shuffle_partitions(members.sparkSession)
-    known = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    known = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
     known = cut(known)
-    open_ = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).filter("x < y and n > 2")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    held = known.join(open_.select("key", blocks.alias("blocks")), "key").join(features.select(F.col("doc_id").alias("node"), "n_shingles", "sketch"), "node")
-    held = held.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    open_ = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).filter("x < y and c > 2")
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
+    held = known.select("key", "node", "comp").join(open_.select("key", blocks.alias("blocks")), "key")
+    held = held.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    held = held.join(docs.select(F.col("doc_id").alias("node"), "text"), "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     held = held.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(4 * parts))).otherwise(F.xxhash64("key", "i", "j"))
-    held = held.withColumn("task", task).select("task", "key", "i", "j", "own", "node", "comp", "n_shingles", "sketch")
-    return held.groupBy("task").applyInArrow(on_group(_apart, least), "a long, b long").distinct()
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(8 * parts))).otherwise(F.xxhash64("key", "i", "j"))
+    held = held.select(task.alias("task"), "key", "i", "j", "own", "node", "comp", "text")
+    return held.groupBy("task").applyInArrow(on_group(_settle, k, similarity), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -190,16 +199,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     features = cut(docs.mapInArrow(on_batches(_features, bands, rows, shingle), _FEATURES))
     ready = features.filter("n_shingles > 0 and doc_id is not null")
     classes = ready.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    heads = ready.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch", "bands")
-    each = heads.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
+    heads = ready.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    each = heads.select(F.col("doc_id").alias("node"), F.col("n_shingles").cast("int").alias("n"), F.explode("bands").alias("key"))
     lead = each.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("top")).filter("lead < top").select("key", "lead")
-    members = cut(each.join(lead, "key").select("key", "node", "lead"))
+    members = cut(each.join(lead, "key").select("key", "node", "n", "lead"))
     pairs = members.filter("lead < node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     twice = ready.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y").select("doc_id")
     same = ready.join(twice, "doc_id").join(classes, "digest").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     links = cut(_verified(pairs, docs, shingle, similarity).unionByName(same))
     labels = components(links)
-    more = _verified(_unsettled(members.select("key", "node").distinct(), labels, heads.select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"]), LEAST_ESTIMATE), docs, shingle, similarity)
+    more = _settled(members.select("key", "node", "n").distinct(), labels, docs, shingle, similarity)
     labels = components(links.unionByName(more))
     own = features.join(classes, "digest", "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")))
     done = own.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
