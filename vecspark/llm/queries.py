@@ -11,7 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecspark.llm import langid
+from vecspark.llm.decontam import contaminated
 from vecspark.llm.lm import score_documents
+from vecspark.llm.mixing import allocate
 from vecspark.llm.neardup import near_duplicates
 from vecspark.llm.secrets import digest, find_secrets
 from vecspark.llm.substring import remove_repeated_windows
@@ -25,6 +28,33 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = allocate(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+           ('0x' || substr(md5(coalesce(text, '')), 1, 8))::BIGINT / 4294967296.0 AS tie FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source),
+c AS (SELECT *, 2 * source_size::DOUBLE AS cap FROM s),
+l AS (SELECT *, row_number() OVER o AS k,
+      (1.5 * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / (sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+      FROM c WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
+t AS (SELECT source, source_size, least(cap, w * (SELECT level FROM l WHERE level * w <= cap ORDER BY k LIMIT 1)) AS target,
+      ('0x' || substr(md5('mix:' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0 AS shift FROM l),
+u AS (SELECT doc_id, source, size, count(*) AS same FROM d GROUP BY ALL),
+p AS (SELECT u.*, source_size, target, shift, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+      sum(same) OVER (PARTITION BY u.source ORDER BY size DESC, doc_id NULLS LAST ROWS UNBOUNDED PRECEDING) AS upto
+      FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, floor(rate * upto + shift) - floor(rate * (upto - same) + shift) AS copies FROM p)
+SELECT d.doc_id, d.size, q.source_size, q.target,
+       ((floor(copies / same) + CASE WHEN same > 1 AND tie < copies / same - floor(copies / same) THEN 1 ELSE 0 END) * d.size)::BIGINT AS taken
+FROM d JOIN q ON d.doc_id IS NOT DISTINCT FROM q.doc_id AND d.source IS NOT DISTINCT FROM q.source AND d.size = q.size
+"""
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
@@ -64,14 +94,30 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
 FROM w LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)
 """
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"))
+    done = langid.predict(langid.fit(docs.filter(~out)), docs)
+    return done.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return done.select("doc_id", "item_id", "n_words", "n_covered", "n_tiles", "coverage")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op4_mix_sources": op4_mix_sources,
     "op5_lm_score": op5_lm_score,
     "op6_minhash_neardup": op6_minhash_neardup,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_language_id": op8_language_id,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 ORACLE: dict[str, str] = {
+    "op4_mix_sources": OP4_SQL,
     "op6_minhash_neardup": OP6_SQL,
     "op7_substring_dedup": OP7_SQL,
 }
