@@ -6,6 +6,7 @@ can express to the equivalent DuckDB statement.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,11 @@ from vecspark.llm.mixing import allocate
 from vecspark.llm.neardup import near_duplicates
 from vecspark.llm.secrets import digest, find_secrets
 from vecspark.llm.substring import remove_repeated_windows
+from vecspark.llm.tokencount import Vocabulary, token_counts
+from vecspark.llm.topk import integer_vectors, top_products
+
+#: Rank file of the vocabulary that tokens are counted under.
+VOCABULARY = os.environ.get("VECSPARK_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +34,20 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(integer_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
+OP3_SQL = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(q.x, b.x), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v b ON q.vec_id <> b.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = allocate(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -106,17 +126,24 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "item_id", "n_words", "n_covered", "n_tiles", "coverage")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), Vocabulary.load(VOCABULARY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_exact_topk": op3_exact_topk,
     "op4_mix_sources": op4_mix_sources,
     "op5_lm_score": op5_lm_score,
     "op6_minhash_neardup": op6_minhash_neardup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_language_id": op8_language_id,
     "op9_decontaminate": op9_decontaminate,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE: dict[str, str] = {
+    "op3_exact_topk": OP3_SQL,
     "op4_mix_sources": OP4_SQL,
     "op6_minhash_neardup": OP6_SQL,
     "op7_substring_dedup": OP7_SQL,
