@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vecspark.llm import langid
 from vecspark.llm.decontam import contaminated
+from vecspark.llm.licenses import find_licenses
 from vecspark.llm.lm import score_documents
 from vecspark.llm.mixing import allocate
 from vecspark.llm.neardup import near_duplicates
@@ -34,6 +35,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(integer_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
 
@@ -132,6 +137,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_license_scan": op2_license_scan,
     "op3_exact_topk": op3_exact_topk,
     "op4_mix_sources": op4_mix_sources,
     "op5_lm_score": op5_lm_score,
