@@ -24,7 +24,7 @@ def corpus():
         out.append((1100 + k, " ".join([*w, *w[:1]]), r[2], "s2", None))
     items = [(k, " ".join(r[1].split()[:20])) for k, r in enumerate(long[40:43])]
     out += [(1200 + k, long[50 + k][1] + " " + t, "aa", "s0", 0) for k, t in items]
-    out += [(1300, long[20][1].replace(" ", "  ") + " " + SECRET, "aa", "s0", 0), (1400, "?! 12", "aa", "s0", 5), (1401, None, None, None, None), (None, long[25][1] + " more", "bb", None, 1), out[5], out[5]]
+    out += [(1300, "  ".join(long[20][1].split()[::-1]) + " " + SECRET, "aa", "s0", 0), (1400, "?! 12", "aa", "s0", 5), (1401, None, None, None, None), (None, long[25][1] + " more", "bb", None, 1), out[5], out[5]]
     return out, items
 
 
