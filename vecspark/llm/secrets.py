@@ -154,9 +154,9 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def _blank(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    at = batch.schema.get_field_index("text")
+    at, size = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
     for part in tk.slices(batch, "text"):
-        texts = part.column(at).to_pylist()
+        texts, lengths = part.column(at).to_pylist(), part.column(size).to_pylist() if size >= 0 else None
         for i, found in enumerate(_scan(part.column(at))):
             if not found:
                 continue
@@ -166,20 +166,19 @@ def _blank(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
                     out += [texts[i][last:a], f"[{kind.upper()}]"]
                 last = max(last, b)
             texts[i] = "".join([*out, texts[i][last:]])
-        yield part.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            if lengths and lengths[i] is not None:
+                lengths[i] = len(texts[i])
+        part = part.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+        yield part.set_column(size, batch.schema.field(size), pa.array(lengths, batch.schema.field(size).type)) if lengths else part
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """The documents with every finding replaced by its kind in brackets; overlapping findings become one.
 
-    All rows and columns stay; ``n_chars``, where present, is set to the new length. Texts
-    without findings, null and empty texts do not change.
+    All rows and columns stay; the ``n_chars`` of a changed text, where present and not null,
+    is set to its new length. Rows without findings, null and empty texts do not change.
     """
-    done = docs.mapInArrow(on_batches(_blank), docs.schema)
-    if "n_chars" in docs.columns:
-        changed = F.col("text").isNotNull() & F.col("n_chars").isNotNull()
-        done = done.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done
+    return docs.mapInArrow(on_batches(_blank), docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
