@@ -32,7 +32,7 @@ SIMILARITY = 0.75
 #: 40 bands of 4: a pair at 0.75 shares no band with probability 2.5e-7.
 BANDS, ROWS = 40, 4
 #: Members and shingles in a block of a bucket.
-BLOCK, BLOCK_SHINGLES = 2000, 500_000
+BLOCK, BLOCK_SHINGLES = 600, 200_000
 
 _FEATURES = "doc_id long, n_shingles long, digest binary, bands array<long>"
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
