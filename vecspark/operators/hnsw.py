@@ -107,16 +107,22 @@ class Graph:
         return sorted((-d, -n) for d, n in kept)
 
     def spread(self, near: list[tuple[float, int]], most: int) -> list[int]:
-        """Of candidates, nearest first, those closer to the centre than to any one chosen before."""
+        """Of candidates, nearest first, those closer to the centre than to any one chosen before.
+
+        Free places go to the nearest of the rest, so that copies of a vector stay linked.
+        """
         if len(near) < most:
             return [n for _, n in near]
         chosen: list[int] = []
+        rest: list[int] = []
         for d, n in near:
             if not chosen or (self.distances(self.x[n], np.array(chosen)) > d).all():
                 chosen.append(n)
                 if len(chosen) == most:
                     break
-        return chosen
+            else:
+                rest.append(n)
+        return chosen + rest[: most - len(chosen)]
 
     def build(self, build: Build) -> Graph:
         seen, epoch = np.zeros(len(self.ids), np.int64), 0
