@@ -38,7 +38,7 @@ _SINGLE = 32
 _STEP = 4096.0
 
 _CONTEXTS = 1 << CONTEXT_BITS
-_RANGES = 64
+_RANGES = 256
 _END, _START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 _REQUEST = "bucket int, chunk int, n_words int, n_pairs int, body binary"
 _MERGED = "bucket int, n_words int, n_pairs long, tokens long, once long, twice long, alone long, pairs_of_two long, body binary, sizes binary"
@@ -249,11 +249,11 @@ def _split_sizes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         total = own if total is None else total + own
     if total is not None:
         parts = total.reshape(2, _RANGES, -1)
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(_RANGES), pa.int32()), "sizes": [np.ascontiguousarray(parts[:, i]).tobytes() for i in range(_RANGES)]})
+        yield pa.RecordBatch.from_pydict({"part": pa.array(range(_RANGES), pa.int32()), "sizes": [tk.squeeze(_planes(np.ascontiguousarray(parts[:, i]).ravel())) for i in range(_RANGES)]})
 
 
 def _sum_sizes(key: tuple, table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), np.float64) for x in table.column("sizes"))
+    total = sum(_flat(tk.expand(x.as_py()), 0, 2 * _CONTEXTS // _RANGES, np.float64)[0] for x in table.column("sizes"))
     return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "sizes": pa.array([total.tobytes()], pa.binary())})
 
 
