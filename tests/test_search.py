@@ -123,7 +123,7 @@ def test_principal_axes_and_codes(spark, base):
     assert linear.codebook(base.filter("vec_id < 3"), 2, 6, 2).shape == (2, 6, 12)
 
 
-def test_metrics(spark, base, asked):
+def test_metrics(spark, base, asked, monkeypatch):
     found = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (2, 1, 9)], "qid long, rank int, vec_id long")
     truth = spark.createDataFrame([(1, 1, 6), (1, 2, 7), (2, 1, 9), (2, 2, 8), (3, 1, 1)], "qid long, rank int, vec_id long")
     assert {r["qid"]: (r["hits"], r["recall"]) for r in metrics.recall(found, truth, 2).collect()} == {1: (1, 0.5), 2: (1, 0.5), 3: (0, 0.0)}
@@ -143,6 +143,12 @@ def test_metrics(spark, base, asked):
     assert 2.3 < lid < 3.5 and abs(metrics.intrinsic_dimension(near, 50, squared=True).first()["lid"] - lid / 2) < 1e-9
     share = metrics.prefix_ratios(spark.createDataFrame([([1.0, 2.0],), ([3.0, 4.0],), ([0.0, 0.0],)], "prefix array<double>"))
     assert {r["dims"]: r["mean_ratio"] for r in share.collect()} == {1: 0.625, 2: 1.0}
+    d = np.cumsum((X[[q[0] for q in QUERIES]].astype(float)[:, None] - X[None].astype(float)) ** 2, axis=2).reshape(-1, 24)
+    d = d[d[:, -1] > 0]
+    want = (d / d[:, -1:]).mean(axis=0)
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(metrics, "BROADCAST_BYTES", most)
+        assert np.allclose([r["mean_ratio"] for r in metrics.mean_prefix_ratio(base, asked).orderBy("dims").collect()], want)
     runs = spark.createDataFrame([("a", 1, 0.5), ("b", 1, 0.25)], "method string, setting int, recall double")
     assert {r["method"]: r["relative"] for r in metrics.relative_accuracy(runs, "a").collect()} == {"a": 1.0, "b": 0.5}
 

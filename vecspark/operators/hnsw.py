@@ -266,13 +266,21 @@ def build(vectors: DataFrame, how: Build = Build(), shards: int | None = None) -
         return pa.table({"shard": table.column("shard"), "vec_id": table.column("vec_id"), "embedding": table.column("embedding"), "links": pa.array(links, pa.list_(pa.list_(pa.int64())))})
 
     dealt = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "embedding")
-    return dealt.groupBy("shard").applyInArrow(run, _INDEX.format(kind))
+    # A stated number of partitions, as small shards would otherwise be coalesced into one long task.
+    return dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(run, _INDEX.format(kind))
 
 
-def insert(index: DataFrame, more: DataFrame, how: Build = Build()) -> DataFrame:
-    """The index with vectors added or replaced; only shards that receive some are built again."""
-    shards = index.agg(F.max("shard")).first()[0]
-    shards = 1 if shards is None else int(shards) + 1
+def shard_count(index: DataFrame) -> int:
+    """Shards of an index (the number of the highest, and one)."""
+    return int(index.agg(F.max("shard")).first()[0] or 0) + 1
+
+
+def insert(index: DataFrame, more: DataFrame, how: Build = Build(), shards: int | None = None) -> DataFrame:
+    """The index with vectors added or replaced; only shards that receive some are built again.
+
+    ``shards``: their number where known, which saves a pass over the index.
+    """
+    shards = shards or shard_count(index)
     news = more.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), "vec_id", F.col("embedding").cast(index.schema["embedding"].dataType).alias("embedding"))
     touched = news.select("shard").distinct()
     old = index.join(touched, "shard", "left_semi").select("shard", "vec_id", "embedding").join(news.select("vec_id"), "vec_id", "left_anti")
@@ -304,11 +312,12 @@ def integrity(index: DataFrame) -> DataFrame:
     return own.unionByName(twice).unionByName(lost).unionByName(alone)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, how: Search = Search(), estimator: Estimator | None = None, edges: DataFrame | None = None, deleted: DataFrame | None = None, finger=None) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int, how: Search = Search(), estimator: Estimator | None = None, deleted: DataFrame | None = None, finger=None, shards: int | None = None) -> DataFrame:
     """``qid, rank, vec_id, dist`` and the counters ``full, approx, total, dims`` of each query.
 
     ``deleted``: ids (``vec_id``) that are walked through but not returned. ``finger``: a
     ``Residuals`` basis; its per-edge values are made where the shard is searched.
+    ``shards``: their number where known, which saves a pass over the index.
     """
     side = index.select("shard", "vec_id", F.col("embedding").cast("array<double>").alias("x"), "links")
     gone = deleted.select("vec_id").distinct().withColumn("dead", F.lit(True)) if deleted is not None else None
@@ -316,7 +325,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, how: Search = Search(),
     n, size = query_bytes(queries)
     blocks = 1 if size <= BROADCAST_BYTES else -(-n // BLOCK)
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    count = int(index.agg(F.max("shard")).first()[0] or 0) + 1
+    count = shards or shard_count(index)
     asked = queries.select("qid", "q", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", every(count))
     side = side.withColumn("block", every(blocks))
 
@@ -341,5 +350,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, how: Search = Search(),
         kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 4]
         return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds, strict=True)})
 
+    parts = count * blocks
+    side, asked = side.repartition(parts, "shard", "block"), asked.repartition(parts, "shard", "block")
     found = side.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(run, _FOUND)
     return nearest(found, k).select("qid", F.col("rank").cast("int").alias("rank"), "vec_id", "dist", "full", "approx", "total", "dims")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecspark.functions.distance import prefix_l2sq
+from vecspark.operators.knn import BROADCAST_BYTES, _collect, pairs, query_bytes
+from vecspark.operators.linear import _partials
+
 
 def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """``qid, hits, recall`` of every query in ``truth``, over its first k neighbours."""
@@ -61,6 +66,24 @@ def prefix_ratios(prefixes: DataFrame) -> DataFrame:
     return each.groupBy((F.col("pos") + 1).alias("dims")).agg(F.avg("ratio").alias("mean_ratio"))
 
 
+def mean_prefix_ratio(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """``prefix_ratios`` over all pairs of queries and vectors, summed in the tasks that read the vectors."""
+    if query_bytes(queries)[1] > BROADCAST_BYTES:
+        return prefix_ratios(pairs(vectors, queries).select(prefix_l2sq(F.col("q"), F.col("x")).alias("prefix")))
+    asked = _collect(queries)[1]
+
+    def make(x):
+        n, total = 0, np.zeros(x.shape[1])
+        for q in asked:
+            d = np.cumsum((x - q) ** 2, axis=1)
+            d = d[d[:, -1] > 0]
+            n, total = n + len(d), total + (d / d[:, -1:]).sum(axis=0)
+        return {0: (n, total)}
+
+    rows = [(i + 1, float(v / r["n"])) for r in _partials(vectors, "embedding", make) if r["n"] for i, v in enumerate(r["total"])]
+    return vectors.sparkSession.createDataFrame(rows, "dims int, mean_ratio double")
+
+
 def intrinsic_dimension(neighbours: DataFrame, k: int, squared: bool = False) -> DataFrame:
     """``lid``: the maximum-likelihood estimate averaged over queries, from k neighbours each.
 

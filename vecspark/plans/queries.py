@@ -600,6 +600,12 @@ def lid_mle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.intrinsic_dimension(found, 100), "lid")
 
 
+@query(f"WITH {BASE}, {sql_changed(transforms.haar_matrix(DIMS))}, z AS (SELECT list_transform(list_zip(a.y, v.y), lambda t: (t[1] - t[2]) * (t[1] - t[2])) AS s FROM v a, v WHERE a.vec_id % 20 = 0), e AS (SELECT list_transform(range(1, len(s) + 1), lambda n: list_sum(s[1:n]) / list_sum(s)) AS r FROM z WHERE list_sum(s) > 0), u AS (SELECT unnest(range(1, len(r) + 1))::INT AS dims, unnest(r) AS r FROM e) SELECT dims, round(avg(r), 6) AS mean_ratio FROM u GROUP BY dims")
+def dwt_distance_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = transforms.transform(embeddings(spark, sf_dir), transforms.haar_matrix(DIMS))
+    return rounded(metrics.mean_prefix_ratio(turned, as_queries(turned.filter("vec_id % 20 = 0"))), "mean_ratio")
+
+
 @query()
 def pca_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(linear.spectrum(embeddings(spark, sf_dir)), "value")
@@ -609,8 +615,7 @@ def pca_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pca_distance_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embeddings(spark, sf_dir)
     turned = transforms.transform(v, linear.principal_axes(v)[1])
-    asked = as_queries(turned.filter("vec_id % 20 = 0"))
-    return rounded(metrics.prefix_ratios(pairs(turned, asked).select(prefix_l2sq(F.col("q"), F.col("x")).alias("prefix"))), "mean_ratio")
+    return rounded(metrics.mean_prefix_ratio(turned, as_queries(turned.filter("vec_id % 20 = 0"))), "mean_ratio")
 
 
 # --- graphs ---------------------------------------------------------------------------------
@@ -618,12 +623,18 @@ def pca_distance_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRAPH = hnsw.Build(m=12, width=60)
 
 
+def shards(v: DataFrame) -> int:
+    """Small shards, so that small tables have several."""
+    return max(2, -(-v.count() // 250))
+
+
 def graph(v: DataFrame) -> DataFrame:
-    return hnsw.build(v, GRAPH, max(2, -(-v.count() // 500)))
+    return hnsw.build(v, GRAPH, shards(v))
 
 
 def graph_answers(v: DataFrame, how: hnsw.Search = hnsw.Search(ef=64), **more) -> DataFrame:
-    return answers(hnsw.search(graph(v), asking(v), K, how, **more))
+    n = shards(v)
+    return answers(hnsw.search(hnsw.build(v, GRAPH, n), asking(v), K, how, shards=n, **more))
 
 
 @query(EXACT)
@@ -648,8 +659,9 @@ def hnsw_save_and_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hnsw_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A graph of the rows of even label; the others are inserted later."""
     v = embeddings(spark, sf_dir)
-    index = hnsw.build(v.filter("label % 2 = 0"), GRAPH, max(2, -(-v.count() // 500)))
-    return answers(hnsw.search(hnsw.insert(index, v.filter("label % 2 <> 0"), GRAPH), asking(v), K, hnsw.Search(ef=2000)))
+    n = shards(v)
+    index = hnsw.build(v.filter("label % 2 = 0"), GRAPH, n)
+    return answers(hnsw.search(hnsw.insert(index, v.filter("label % 2 <> 0"), GRAPH, n), asking(v), K, hnsw.Search(ef=2000), shards=n))
 
 
 @query()
@@ -695,7 +707,7 @@ def hnsw_finger(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = graph(v)
     edges = hnsw.links(index).filter("level = 0").select(F.col("node").alias("src"), F.col("neighbour").alias("dst"))
     basis = finger.residual_basis(v, edges, dimension(v))
-    return answers(hnsw.search(index, asking(v), K, hnsw.Search(ef=64), finger=finger.Residuals(basis)))
+    return answers(hnsw.search(index, asking(v), K, hnsw.Search(ef=64), finger=finger.Residuals(basis), shards=shards(v)))
 
 
 @query("SELECT 'x' AS problem, 0::BIGINT AS node WHERE false")
