@@ -198,7 +198,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     features = cut(docs.mapInArrow(on_batches(_features, bands, rows, shingle), _FEATURES))
     ready = features.filter("n_shingles > 0 and doc_id is not null")
-    classes = ready.groupBy("digest").agg(F.min("doc_id").alias("node"))
+    # Written out, so that the join on it below is a plain shuffle join, which Spark splits where copies abound.
+    classes = cut(ready.groupBy("digest").agg(F.min("doc_id").alias("node")))
     heads = ready.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     each = heads.select(F.col("doc_id").alias("node"), F.col("n_shingles").cast("int").alias("n"), F.explode("bands").alias("key"))
     lead = each.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("top")).filter("lead < top").select("key", "lead")
