@@ -92,3 +92,15 @@ def test_components(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_id_filter_keeps_every_wanted_row(spark, monkeypatch):
+    from vecspark.llm import idfilter
+
+    rows_ = spark.range(5000).withColumn("text", F.lit("x")).unionByName(spark.createDataFrame([(None, "n")], "id long, text string"))
+    wanted = spark.createDataFrame([(i * 37 - 5000,) for i in range(200)], "id long")
+    for most in (1 << 28, 1 << 19):
+        monkeypatch.setattr(idfilter, "MOST_BITS", most)
+        got = {r["id"] for r in idfilter.likely_rows(rows_, wanted, "id").collect()}
+        assert {i * 37 - 5000 for i in range(200)} & set(range(5000)) <= got and None not in got and len(got) < 400
+    assert idfilter.likely_rows(rows_, wanted.limit(0), "id").count() == 0

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from vecspark.llm import textkit as tk
 from vecspark.llm.chunks import cut, on_batches, on_group, shuffle_partitions
 from vecspark.llm.graph import components
+from vecspark.llm.idfilter import likely_rows
 
 SHINGLE = 5
 SIMILARITY = 0.75
@@ -128,7 +129,8 @@ def _verify(k: int, similarity: float, batch: pa.RecordBatch) -> Iterator[pa.Rec
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough; a may be in very many pairs."""
-    text = docs.select("doc_id", "text")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    text = likely_rows(docs.select("doc_id", "text"), ends, "doc_id")
     met = pairs.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     met = met.join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return met.select("a", "b", "text_a", "text_b").mapInArrow(on_batches(_verify, k, similarity), "a long, b long")
@@ -176,8 +178,9 @@ def _settled(members: DataFrame, labels: DataFrame, docs: DataFrame, k: int, sim
     open_ = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).filter("x < y and c > 2")
     blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
     held = known.select("key", "node", "comp").join(open_.select("key", blocks.alias("blocks")), "key")
-    held = held.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    held = held.join(docs.select(F.col("doc_id").alias("node"), "text"), "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    held = cut(held.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    text = likely_rows(docs.select("doc_id", "text"), held.select("node"), "doc_id").withColumnRenamed("doc_id", "node")
+    held = held.join(text, "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     held = held.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(8 * parts))).otherwise(F.xxhash64("key", "i", "j"))
     held = held.select(task.alias("task"), "key", "i", "j", "own", "node", "comp", "text")
@@ -204,7 +207,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     each = heads.select(F.col("doc_id").alias("node"), F.col("n_shingles").cast("int").alias("n"), F.explode("bands").alias("key"))
     lead = each.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("top")).filter("lead < top").select("key", "lead")
     members = cut(each.join(lead, "key").select("key", "node", "n", "lead"))
-    pairs = members.filter("lead < node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = cut(members.filter("lead < node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
     twice = ready.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y").select("doc_id")
     same = ready.join(twice, "doc_id").join(classes, "digest").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     links = cut(_verified(pairs, docs, shingle, similarity).unionByName(same))
