@@ -16,8 +16,8 @@ from vecspark.llm.mixing import mix
 from vecspark.llm.neardup import near_duplicates
 from vecspark.llm.secrets import redact_secrets
 
-#: Least calibrated probability of a document's language.
-LANGUAGE_SCORE = 0.5
+#: Least calibrated probability of a document's language; texts in two languages stay well above.
+LANGUAGE_SCORE = 0.35
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
