@@ -470,8 +470,7 @@ def knn_seeded_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def knn_seeded_opq(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embeddings(spark, sf_dir)
-    rotation, book = linear.optimised_codebook(v, PARTS, CODES, 2, 3)
-    return seeded(v, dco.Codes(book, rotation, epsilon=1.1))
+    return seeded(v, opq(v))
 
 
 # --- inverted lists and codes ---------------------------------------------------------------
@@ -669,6 +668,11 @@ def hnsw_ef64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_answers(embeddings(spark, sf_dir))
 
 
+def opq(v: DataFrame) -> dco.Codes:
+    rotation, book = linear.optimised_codebook(v, PARTS, CODES, 2, 3)
+    return dco.Codes(book, rotation, epsilon=1.1)
+
+
 def _estimated(name: str, make, how: hnsw.Search = hnsw.Search(ef=64)) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         v = embeddings(spark, sf_dir)
@@ -689,6 +693,10 @@ _estimated("hnsw_lsh_tma", lambda v: dco.lsh_kernel(transforms.gaussian_projecti
 _estimated("hnsw_pq", lambda v: dco.Codes(linear.codebook(v, PARTS, CODES, 5), epsilon=1.1))
 _estimated("hnsw_pq_tma", lambda v: dco.Codes(linear.codebook(v, PARTS, CODES, 5), epsilon=1.1), hnsw.Search(ef=64, two_thresholds=True))
 _estimated("hnsw_pq_qeo", lambda v: dco.Codes(linear.codebook(v, PARTS, CODES, 5), epsilon=1.1), hnsw.Search(ef=64, expand=2))
+_estimated("hnsw_opq", lambda v: opq(v))
+_estimated("hnsw_opq_tma", lambda v: opq(v), hnsw.Search(ef=64, two_thresholds=True))
+_estimated("hnsw_opq_qeo", lambda v: opq(v), hnsw.Search(ef=64, expand=2))
+_estimated("hnsw_pca_every_component", lambda v: dco.Incremental(linear.principal_axes(v)[1], 1))
 _estimated("hnsw_sketch", lambda v: dco.Sketch(lambda x: x[:, :LOW], np.full(LOW, DIMS / LOW), dco.SEANET_RATIO))
 
 
