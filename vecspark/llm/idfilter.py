@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 from vecspark.llm import textkit as tk
 from vecspark.llm.chunks import on_group
 
-BITS_PER_ID, MOST_BITS = 16, 1 << 28
-_RANGE = 1 << 16
+BITS_PER_ID, LEAST_BITS, MOST_BITS = 16, 1 << 19, 1 << 28
+#: Bytes of the table that are joined by one task.
+_RANGE = 1 << 12
 
 
 def _places(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -30,7 +31,7 @@ def _collect(bits: int):
         for batch in batches:
             for at in _places(batch.column(0).to_numpy(zero_copy_only=False), bits):
                 np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        parts = table.reshape(-1, min(_RANGE, len(table)))
+        parts = table.reshape(-1, _RANGE)
         full = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_pydict({"part": pa.array(full, pa.int32()), "body": pa.array([tk.squeeze(parts[i].tobytes()) for i in full], pa.binary())})
 
@@ -48,11 +49,11 @@ def _join(key: tuple, table: pa.Table) -> pa.Table:
 def likely_rows(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """The rows whose ``column`` (long) is among ``ids`` (one column of long, no nulls), and a few others."""
     n = ids.count()
-    bits = _RANGE * 8
+    bits = LEAST_BITS
     while bits < min(MOST_BITS, BITS_PER_ID * n):
         bits *= 2
     parts = ids.mapInArrow(_collect(bits), "part int, body binary").groupBy("part").applyInArrow(on_group(_join), "part int, body binary")
-    table = np.zeros(bits // 8, np.uint8).reshape(-1, min(_RANGE, bits // 8))
+    table = np.zeros(bits // 8, np.uint8).reshape(-1, _RANGE)
     for r in parts.collect():
         table[r["part"]] = np.frombuffer(tk.expand(r["body"]), np.uint8)
     shared = rows.sparkSession.sparkContext.broadcast(table.ravel())
