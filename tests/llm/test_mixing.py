@@ -69,6 +69,8 @@ def test_mix_emits_the_copies_and_reruns_agree(spark):
     first = sorted(map(str, a.collect()))
     assert Counter(r["doc_id"] for r in a.collect()) == Counter({k: v for k, v in copies.items() if v})
     assert first == sorted(map(str, mix(docs).collect()))
+    clash = mix(docs.withColumns({c: F.lit("mine") for c in ("copy", "copies", "size", "target", "id", "src", "same")}))
+    assert clash.columns[-1] == "copy_" and clash.filter("copy = 'mine' and copies = 'mine' and size = 'mine' and target = 'mine'").count() == len(first)
 
 
 def test_targets_of_no_words_and_empty_table(spark):

@@ -89,7 +89,7 @@ def allocate(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     An empty table gives an empty result. Other columns are ignored.
     """
     slim = cut(_sized(docs.select("doc_id", "text", "source")).drop("text"))
-    return _spread(slim, _positions(slim, weights, share, most)).select("doc_id", "source", F.col("__size").alias("size"), "source_size", "target", "copies")
+    return _spread(slim, _positions(slim, weights, share, most)).select("doc_id", "source", F.col("__size").alias("size"), "source_size", "target", F.col("__times").alias("copies"))
 
 
 def _spread(sized: DataFrame, units: DataFrame) -> DataFrame:
@@ -97,15 +97,19 @@ def _spread(sized: DataFrame, units: DataFrame) -> DataFrame:
     met = sized.join(units, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__src")) & (F.col("__size") == F.col("__own")))
     each = F.floor(F.col("__copies") / F.col("__same"))
     odd = (F.col("__tie") < F.col("__copies") / F.col("__same") - each).cast("long")
-    return met.withColumn("copies", each + F.when(F.col("__same") > 1, odd).otherwise(0))
+    return met.withColumn("__times", each + F.when(F.col("__same") > 1, odd).otherwise(0))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The mix itself: every document as many times as it has copies, with ``copy`` from 1.
 
-    All columns of ``docs`` are kept; see ``allocate`` for how copies are set.
+    All columns of ``docs`` are kept, and ``copy`` gets a trailing underscore where they have
+    one of that name; see ``allocate`` for how copies are set.
     """
     slim = cut(_sized(docs.select("doc_id", "text", "source")).drop("text"))
     units = _positions(slim, weights, share, most).filter("copies > 0").drop("source_size", "target")
-    done = _spread(_sized(docs), units).filter("copies > 0")
-    return done.withColumn("copy", F.explode(F.expr("sequence(1, cast(copies as int))"))).select(*docs.columns, "copy")
+    done = _spread(_sized(docs), units).filter("__times > 0")
+    name = "copy"
+    while name in docs.columns:
+        name += "_"
+    return done.select(*docs.columns, F.explode(F.expr("sequence(1, cast(__times as int))")).alias(name))
