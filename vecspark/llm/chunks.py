@@ -46,6 +46,11 @@ def in_chunks(docs: DataFrame, chunks: int, key: str = "__chunk") -> DataFrame:
     return docs.withColumn(key, F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
 
 
+def dealt(frame: DataFrame, key: str, parts: int):
+    """The frame grouped by a number, groups dealt out in turn, so that tasks get equal shares of them."""
+    return frame.repartitionById(parts, F.col(key)).groupBy(key)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keeps the session's spark.checkpoint.dir; sets a local one only where none is set."""
     sc = spark.sparkContext

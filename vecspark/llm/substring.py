@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm import textkit as tk
-from vecspark.llm.chunks import in_chunks, measure, on_group, on_pair
+from vecspark.llm.chunks import dealt, in_chunks, measure, on_group, on_pair
 
 WINDOW = 35
 _REQUEST = "bucket int, chunk int, n int, keys binary"
@@ -143,8 +143,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sizes = measure(docs)
     buckets = sizes.buckets(1 / 6, 1_000_000)
-    dealt = in_chunks(docs, sizes.chunks).groupBy("__chunk")
-    asked = dealt.applyInArrow(on_group(_request, window, buckets), _REQUEST)
-    answers = asked.groupBy("bucket").applyInArrow(on_group(_count), _ANSWER)
-    return dealt.cogroup(answers.groupBy("chunk")).applyInArrow(on_pair(_remove, window, buckets), _RESULT)
-
+    own = dealt(in_chunks(docs, sizes.chunks), "__chunk", sizes.partitions)
+    asked = own.applyInArrow(on_group(_request, window, buckets), _REQUEST)
+    answers = dealt(asked, "bucket", sizes.partitions).applyInArrow(on_group(_count), _ANSWER)
+    return own.cogroup(dealt(answers, "chunk", sizes.partitions)).applyInArrow(on_pair(_remove, window, buckets), _RESULT)
