@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm import textkit as tk
-from vecspark.llm.chunks import cut, in_chunks, measure, on_batches, on_group, on_pair
+from vecspark.llm.chunks import cut, dealt, in_chunks, measure, on_batches, on_group, on_pair
 
 #: Number of context restaurants, as a power of two; fixed, so their sizes may be broadcast.
 CONTEXT_BITS = 18
@@ -354,10 +354,12 @@ class LanguageModel:
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         s = self.settings
         sizes = docs.sparkSession.sparkContext.broadcast((self.start[0], self.start[1], self.sampled[1]))
-        dealt = in_chunks(docs, measure(docs).chunks).groupBy("__chunk")
-        asked = dealt.applyInArrow(on_group(_ask, s.buckets), _REQUEST)
-        answers = asked.groupBy("bucket").cogroup(self.merged.select("bucket", "n_words", "n_pairs", "body").groupBy("bucket")).applyInArrow(on_pair(_reply, self.first, s, sizes), _ANSWER)
-        return dealt.cogroup(answers.groupBy("chunk")).applyInArrow(on_pair(_score, s), _SCORES)
+        n = measure(docs)
+        own = dealt(in_chunks(docs, n.chunks), "__chunk", n.partitions)
+        asked = own.applyInArrow(on_group(_ask, s.buckets), _REQUEST)
+        merged = dealt(self.merged.select("bucket", "n_words", "n_pairs", "body"), "bucket", n.partitions)
+        answers = dealt(asked, "bucket", n.partitions).cogroup(merged).applyInArrow(on_pair(_reply, self.first, s, sizes), _ANSWER)
+        return own.cogroup(dealt(answers, "chunk", n.partitions)).applyInArrow(on_pair(_score, s), _SCORES)
 
 
 def _discount(once: int | None, twice: int | None) -> float:
@@ -368,8 +370,9 @@ def _discount(once: int | None, twice: int | None) -> float:
 def fit(docs: DataFrame) -> LanguageModel:
     """Learns from all texts of ``docs`` (null: empty); only column ``text`` is read."""
     docs = docs.select(F.col("text").cast("string").alias("text"))
-    buckets = measure(docs).buckets(1 / 12, 1_000_000)
-    merged = cut(docs.mapInArrow(on_batches(_count, buckets), _REQUEST).groupBy("bucket").applyInArrow(on_group(_merge), _MERGED))
+    n = measure(docs)
+    buckets = n.buckets(1 / 12, 1_000_000)
+    merged = cut(dealt(docs.mapInArrow(on_batches(_count, buckets), _REQUEST), "bucket", n.partitions).applyInArrow(on_group(_merge), _MERGED))
     names = ("n_words", "n_pairs", "tokens", "once", "twice", "alone", "pairs_of_two")
     total = merged.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names)).first()
     start = _restaurant_sizes(merged.select("sizes"))
