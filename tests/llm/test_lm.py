@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import DOCS, frame, rows
@@ -81,3 +82,21 @@ def test_reruns_agree_and_empty_tables(spark):
     a, b = (sorted(map(tuple, lm.score_documents(docs).collect()), key=str) for _ in range(2))
     assert a == b
     assert lm.score_documents(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_each_previous_word_is_a_restaurant_of_its_own(spark):
+    """Words whose hashes agree in the first 18 bits do not share a restaurant."""
+    seen: dict = {}
+    for i in range(4000):
+        words = lm._Tokens(pa.array([f"v{i}"])).words
+        k = int(lm.tk.mix64(words[words != lm._END])[0]) >> (64 - 18)
+        if k in seen:
+            break
+        seen[k] = f"v{i}"
+    a, b = seen[k], f"v{i}"
+    model = lm.fit(frame(spark, [(i, f"{a} left", None, None, None) for i in range(200)] + [(200 + i, f"{b} right", None, None, None) for i in range(200)]))
+    got = {r["doc_id"]: r["score"] for r in model.score(frame(spark, [(1, f"{b} right", None, None, None), (2, f"{b} left", None, None, None)])).collect()}
+    customers = [int(n) for r in model.sizes.collect() for n in lm._arrays(r["sizes"])[1]]
+    assert sorted(customers) == [200, 200, 200, 200, 400]
+    # p(b | start) is a half, and all else nearly 1; one restaurant for both words gives another half.
+    assert got[1] > math.log10(0.5) - 0.05 and got[1] > got[2] + 1

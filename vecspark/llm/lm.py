@@ -1,24 +1,26 @@
 """Language-model scores from a hierarchical Pitman-Yor model over words.
 
-Every context (the class of the previous word, one of ``2**CONTEXT_BITS``) is a
-restaurant; all share one parent over words, whose own base is uniform over the learned
-words and one unknown word. Seating is sampled by Gibbs sweeps: all customers of a dish
-leave their restaurant and are seated again one by one by the Chinese-restaurant rule, and
-the new seating is accepted by the Metropolis ratio of its normalisers, which makes the
-block move exact. Every table sends one customer to the parent. Predictive probabilities
-are averaged over the sweeps after burn-in; perplexity is ``10 ** (-score / n_tokens)``.
+Every context (the previous word, by its 64-bit hash) is a restaurant; all share one parent
+over words, whose own base is uniform over the learned words and one unknown word. Seating
+is sampled by Gibbs sweeps: all customers of a dish leave their restaurant and are seated
+again one by one by the Chinese-restaurant rule, and the new seating is accepted by the
+Metropolis ratio of its normalisers. Every table sends one customer to the parent.
+Predictive probabilities are averaged over the sweeps after burn-in; perplexity is
+``10 ** (-score / n_tokens)``.
 
 Counts of (context, word) pairs are merged in word buckets. A bucket holds all restaurants'
-tables for its words, so the parent is exact there; the sizes of the restaurants (a table
-of fixed length) are summed over all buckets between training, sampling and scoring, as in
-approximate distributed Gibbs sampling. Scoring deals the documents into chunks, each of
-which asks the word buckets for its distinct pairs.
+tables for its words, so the parent's share of these is exact there; a restaurant's size is
+summed in the bucket of its context's hash and sent back to the word buckets after each
+sweep, and so are the parent's totals. Within a sweep sizes are those of the sweep before,
+as in approximate distributed Gibbs sampling (a seating's normaliser is kept from its own
+sweep). Scoring deals the documents into chunks, each of which asks the buckets for its
+distinct pairs and words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,28 +30,30 @@ from pyspark.sql import functions as F
 from vecspark.llm import textkit as tk
 from vecspark.llm.chunks import cut, dealt, in_chunks, measure, on_batches, on_group, on_pair
 
-#: Number of context restaurants, as a power of two; fixed, so their sizes may be broadcast.
-CONTEXT_BITS = 18
 SWEEPS, BURN_IN = 6, 2
 CONCENTRATION = 1.0
 #: Customers seated singly before seats are drawn for blocks of an eighth of those seated.
 _SINGLE = 32
-#: Answers are -log10 probabilities in steps of 1/4096.
-_STEP = 4096.0
 
-_CONTEXTS = 1 << CONTEXT_BITS
-_RANGES = 256
+#: Classes that ``LanguageModel.start`` and ``sampled`` add contexts up in; the model has none.
+_CLASS_BITS = 18
+_CONTEXTS = 1 << _CLASS_BITS
 _END, _START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 _REQUEST = "bucket int, chunk int, n_words int, n_pairs int, body binary"
-_MERGED = "bucket int, n_words int, n_pairs long, tokens long, once long, twice long, alone long, pairs_of_two long, body binary, sizes binary"
+_MERGED = "bucket int, n_words int, n_pairs long, tokens long, once long, twice long, alone long, pairs_of_two long, body binary"
 _ANSWER = "chunk int, bucket int, n_words int, n_pairs int, body binary"
+#: What buckets send each other: ``peer`` is the sender, or -1 for what a bucket keeps.
+_NOTE = "bucket int, peer int, sweep int, guests double, roots double, body binary"
 _SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
 class _Tokens:
-    """Tokens of all texts of a batch (words, then one end each) and their distinct (word, context) pairs."""
+    """Tokens of all texts of a batch (words, then one end each) and their distinct (word, context) pairs.
 
-    def __init__(self, column: pa.ChunkedArray | pa.Array):
+    With ``asking``, the mark before a text's first word is among ``words``, so that each context is.
+    """
+
+    def __init__(self, column: pa.ChunkedArray | pa.Array, asking: bool = False):
         buf, offs = tk.text_buffer(column)
         buf = tk.lower_ascii(buf)
         starts, ends, first = tk.words(buf, offs)
@@ -61,53 +65,72 @@ class _Tokens:
         before[1:] = token[:-1]
         self.bounds = np.concatenate(([0], np.cumsum(self.sizes)))
         before[self.bounds[:-1]] = _START
-        context = (tk.mix64(before) >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64)
-        self.words, self.word_of = np.unique(token, return_inverse=True)
-        self.pair_key = (self.word_of << CONTEXT_BITS) | context
+        self.words = np.unique(np.append(token, _START) if asking else token)
+        self.word_of = np.searchsorted(self.words, token)
+        self.contexts, context = np.unique(before, return_inverse=True)
+        self.pair_key = self.word_of * len(self.contexts) + context
 
     def requests(self, buckets: int, pairs: np.ndarray, counts: np.ndarray | None, chunk: int) -> dict[str, list]:
         """One packed row per word bucket."""
         bounds = _bucket_bounds(self.words, buckets)
-        at = np.searchsorted(pairs >> CONTEXT_BITS, bounds)
+        word, context = np.divmod(pairs, len(self.contexts))
+        at = np.searchsorted(word, bounds)
         out: dict[str, list] = {"bucket": [], "chunk": [], "n_words": [], "n_pairs": [], "body": []}
         for b in np.flatnonzero(np.diff(bounds)):
-            own = pairs[at[b] : at[b + 1]]
-            body = _pack(self.words[bounds[b] : bounds[b + 1]], (own >> CONTEXT_BITS) - bounds[b], own & (_CONTEXTS - 1), None if counts is None else counts[at[b] : at[b + 1]])
-            for k, v in zip(out, (int(b), chunk, int(bounds[b + 1] - bounds[b]), len(own), body), strict=True):
+            own = slice(at[b], at[b + 1])
+            body = _pack(self.words[bounds[b] : bounds[b + 1]], word[own] - bounds[b], self.contexts[context[own]], None if counts is None else counts[own])
+            for k, v in zip(out, (int(b), chunk, int(bounds[b + 1] - bounds[b]), int(at[b + 1] - at[b]), body), strict=True):
                 out[k].append(v)
         return out
 
 
+def _bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
+    return (((words >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
 def _bucket_bounds(words: np.ndarray, buckets: int) -> np.ndarray:
-    bucket = (((words >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-    return np.searchsorted(bucket, np.arange(buckets + 1))
+    return np.searchsorted(_bucket_of(words, buckets), np.arange(buckets + 1))
 
 
 def _planes(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def _blob(*arrays: np.ndarray) -> bytes:
+    """Arrays as byte planes, compressed."""
+    parts = []
+    for x in arrays:
+        x = np.ascontiguousarray(x)
+        parts += [x.dtype.str.encode(), len(x).to_bytes(8, "little"), _planes(x)]
+    return tk.squeeze(b"".join(parts))
 
 
-def _flat(data: bytes, at: int, n: int, dtype: type) -> tuple[np.ndarray, int]:
-    width = np.dtype(dtype).itemsize
-    planes = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n)
-    return np.ascontiguousarray(planes.T).view(dtype).ravel(), at + n * width
+def _arrays(blob: bytes) -> list[np.ndarray]:
+    data, at, out = tk.expand(blob), 0, []
+    while at < len(data):
+        dtype, n = np.dtype(data[at : at + 3].decode()), int.from_bytes(data[at + 3 : at + 11], "little")
+        planes = np.frombuffer(data, np.uint8, n * dtype.itemsize, at + 11).reshape(dtype.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(dtype).ravel())
+        at += 11 + n * dtype.itemsize
+    return out
+
+
+def _gaps(values: np.ndarray) -> np.ndarray:
+    """Differences of sorted hashes (``np.cumsum`` undoes it)."""
+    return np.diff(values, prepend=np.uint64(0))
 
 
 def _pack(words: np.ndarray, word: np.ndarray, context: np.ndarray, counts: np.ndarray | None) -> bytes:
-    """Sorted words, pairs of each word, sorted contexts of each word and, for training, their counts."""
-    parts = [tk.pack_sorted(words), _planes(np.bincount(word, minlength=len(words)).astype(np.uint32)), _planes(context.astype(np.uint32))]
-    if counts is not None:
-        parts.append(_planes(counts.astype(np.uint64)))
-    return tk.squeeze(b"".join(parts))
+    """Sorted words, pairs of each word, sorted contexts, the context of each pair and, for training, their counts."""
+    contexts, at = np.unique(context, return_inverse=True)
+    parts = [_gaps(words), np.bincount(word, minlength=len(words)).astype(np.uint32), _gaps(contexts), at.astype(np.uint32)]
+    return _blob(*parts, *([] if counts is None else [counts.astype(np.int64)]))
 
 
-def _unpack(body: bytes, n_words: int, n_pairs: int, counted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
-    data = tk.expand(body)
-    words = tk.unpack_sorted(data, n_words)
-    each, at = _flat(data, 8 * n_words, n_words, np.uint32)
-    context, at = _flat(data, at, n_pairs, np.uint32)
-    counts = _flat(data, at, n_pairs, np.uint64)[0].astype(np.int64) if counted else None
-    return words, np.repeat(np.arange(n_words), each), context.astype(np.int64), counts
+def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Words, the word of each pair, contexts, the context of each pair, counts."""
+    words, each, contexts, at, *counts = _arrays(body)
+    return np.cumsum(words, dtype=np.uint64), np.repeat(np.arange(len(words)), each), np.cumsum(contexts, dtype=np.uint64), at.astype(np.int64), counts[0] if counts else None
 
 
 def _count(buckets: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -123,30 +146,26 @@ def _rows(table: pa.Table) -> Iterator[dict]:
             yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
 
 
-def _sizes_blob(customers: np.ndarray, tables: np.ndarray) -> bytes:
-    return tk.squeeze(_planes(customers.astype(np.float64)) + _planes(tables.astype(np.float64)))
-
-
 def _merge(key: tuple, table: pa.Table) -> pa.Table:
     """All counts of a word bucket."""
-    known, words, keys, counts = None, [], [], []
-    parts = [_unpack(r["body"], r["n_words"], r["n_pairs"], True) for r in _rows(table)]
+    keys, counts = [], []
+    parts = [_unpack(r["body"]) for r in _rows(table)]
     known = np.unique(np.concatenate([p[0] for p in parts]))
+    contexts = np.unique(np.concatenate([p[2] for p in parts]))
     while parts:
-        words, word, context, n = parts.pop()
-        keys.append((np.searchsorted(known, words)[word] << CONTEXT_BITS) | context)
+        words, word, near, context, n = parts.pop()
+        keys.append(np.searchsorted(known, words)[word] * len(contexts) + np.searchsorted(contexts, near)[context])
         counts.append(n)
     key_, count = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(key_, kind="stable")
     key_, count = key_[order], count[order]
     heads = np.flatnonzero(np.concatenate(([True], key_[1:] != key_[:-1])))
     count, key_ = np.add.reduceat(count, heads), key_[heads]
-    word, context = key_ >> CONTEXT_BITS, key_ & (_CONTEXTS - 1)
+    word, context = np.divmod(key_, len(contexts))
     fan = np.bincount(word, minlength=len(known))
-    sizes = _sizes_blob(np.bincount(context, count, _CONTEXTS), np.bincount(context, minlength=_CONTEXTS))
-    row = [key[0].as_py(), len(known), len(key_), int(count.sum()), int((count == 1).sum()), int((count == 2).sum()), int((fan == 1).sum()), int((fan == 2).sum()), _pack(known, word, context, count), sizes]
-    names = ["bucket", "n_words", "n_pairs", "tokens", "once", "twice", "alone", "pairs_of_two", "body", "sizes"]
-    types = [pa.int32(), pa.int32(), *[pa.int64()] * 6, pa.binary(), pa.binary()]
+    row = [key[0].as_py(), len(known), len(key_), int(count.sum()), int((count == 1).sum()), int((count == 2).sum()), int((fan == 1).sum()), int((fan == 2).sum()), _pack(known, word, contexts[context], count)]
+    names = ["bucket", "n_words", "n_pairs", "tokens", "once", "twice", "alone", "pairs_of_two", "body"]
+    types = [pa.int32(), pa.int32(), *[pa.int64()] * 6, pa.binary()]
     return pa.table([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
 
 
@@ -186,84 +205,161 @@ def _seat(rng: np.random.Generator, n: np.ndarray, others: np.ndarray, base: np.
 
 
 class _Bucket:
-    """The restaurants' tables for the words of one bucket, after sampling."""
-
-    def __init__(self, row: dict, s: Settings, tables: np.ndarray):
-        self.words, word, context, count = _unpack(row["body"], row["n_words"], row["n_pairs"], True)
-        self.keys = (word << CONTEXT_BITS) | context
-        self.count = count
-        self.word_count = np.bincount(word, count, len(self.words))
-        rng = np.random.default_rng(row["bucket"])
-        many = np.flatnonzero(count > 1)
-        many = many[np.argsort(-count[many], kind="stable")]
-        n, w, u = count[many], word[many], context[many]
-        now, weight = np.ones(len(many)), None
-        guests = np.bincount(word, minlength=len(self.words)).astype(np.float64)
-        root, root_weight = np.ones(len(self.words)), None
-        self.seats, self.guests, self.roots = np.zeros(len(count)), np.zeros(len(self.words)), np.zeros(len(self.words))
-        uniform = 1.0 / (s.words + 1)
-        for sweep in range(SWEEPS):
-            parent = _parent(guests, root, s)
-            new, fresh = _seat(rng, n, np.maximum(tables[u] - now, 0), parent[w], s.discount)
-            take = np.ones(len(n), bool) if weight is None else np.log(rng.random(len(n))) < fresh - weight
-            now, weight = np.where(take, new, now), (fresh if weight is None else np.where(take, fresh, weight))
-            guests = np.bincount(word, minlength=len(self.words)) + np.bincount(w, now - 1, len(self.words))
-            order = np.argsort(-guests, kind="stable")
-            new, fresh = np.empty(len(root)), np.empty(len(root))
-            new[order], fresh[order] = _seat(rng, guests[order].astype(np.int64), np.maximum(s.tables - root[order], 0), np.full(len(root), uniform), s.parent_discount)
-            take = np.ones(len(root), bool) if root_weight is None else np.log(rng.random(len(root))) < fresh - root_weight
-            root, root_weight = np.where(take, new, root), (fresh if root_weight is None else np.where(take, fresh, root_weight))
-            root = np.minimum(root, guests)
-            if sweep >= BURN_IN:
-                self.seats[many] += now - 1
-                self.guests += guests
-                self.roots += root
-        kept = SWEEPS - BURN_IN
-        self.seats = 1 + self.seats / kept
-        self.guests /= kept
-        self.roots /= kept
-        self.context = context
+    """The restaurants' tables for the words of one bucket, averaged over the kept sweeps.
+
+    ``row``: the merged counts (``body``) and what the sweeps drew (``drawn``).
+    """
 
+    def __init__(self, row: dict, *_):
+        self.words, word, contexts, context, self.count = _unpack(row["body"])
+        self.contexts, self.keys = contexts, word * len(contexts) + context
+        self.word_count = np.bincount(word, self.count, len(self.words)).astype(np.int64)
+        state = _State(row["drawn"])
+        self.summed = np.full(len(self.count), SWEEPS - BURN_IN, np.int64)
+        self.summed[_many(self.count)] = state.seats
+        self.seats = self.summed / (SWEEPS - BURN_IN)
+        self.drawn = np.stack([state.kept[0::2], state.kept[1::2]])
+        self.guests, self.roots = self.drawn.mean(axis=1)
+        self.context = (contexts >> np.uint64(64 - _CLASS_BITS)).astype(np.int64)[context]
 
-def _parent(guests: np.ndarray, roots: np.ndarray, s: Settings) -> np.ndarray:
-    return (guests - s.parent_discount * roots + _unknown(s) * (CONCENTRATION + s.pairs)) / (CONCENTRATION + s.pairs)
 
+def _many(count: np.ndarray) -> np.ndarray:
+    """Pairs with a choice of tables, most customers first."""
+    many = np.flatnonzero(count > 1)
+    return many[np.argsort(-count[many], kind="stable")]
 
-def _unknown(s: Settings) -> float:
-    """The parent's probability of a word that was never learned."""
-    return (CONCENTRATION + s.parent_discount * s.tables) / (s.words + 1) / (CONCENTRATION + s.pairs)
 
+class _State:
+    """What a word bucket keeps between sweeps.
 
-def _sample(s: Settings, tables, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for row in _rows(pa.Table.from_batches([batch])):
-        b = _Bucket(row, s, tables.value)
-        blob = _sizes_blob(np.zeros(_CONTEXTS), np.bincount(b.context, b.seats, _CONTEXTS))
-        yield pa.RecordBatch.from_pydict({"pairs": [float(b.guests.sum())], "tables": [float(b.roots.sum())], "sizes": [blob]})
+    Of the pairs seen more than once: customers, word, context (its place among the bucket's
+    contexts of such pairs), tables, log normalisers and tables summed over the kept sweeps;
+    of these contexts the buckets that sum them; of words their pairs, tables of the parent
+    and its log normalisers; ``kept``: guests and tables of the parent of every kept sweep.
+    """
 
+    NAMES = ("n", "w", "u", "now", "weight", "seats", "to", "fan", "root", "root_weight")
 
-def _split_sizes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    total = None
-    for blob in batch.column(0):
-        data = tk.expand(blob.as_py())
-        own = np.stack([_flat(data, 0, _CONTEXTS, np.float64)[0], _flat(data, 8 * _CONTEXTS, _CONTEXTS, np.float64)[0]])
-        total = own if total is None else total + own
-    if total is not None:
-        parts = total.reshape(2, _RANGES, -1)
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(_RANGES), pa.int32()), "sizes": [tk.squeeze(_planes(np.ascontiguousarray(parts[:, i]).ravel())) for i in range(_RANGES)]})
+    def __init__(self, blob: bytes):
+        arrays = _arrays(blob)
+        for name, x in zip(self.NAMES, arrays, strict=False):
+            setattr(self, name, x)
+        self.kept = arrays[len(self.NAMES) :]
+
+    def blob(self) -> bytes:
+        return _blob(*(getattr(self, name) for name in self.NAMES), *self.kept)
 
 
-def _sum_sizes(key: tuple, table: pa.Table) -> pa.Table:
-    total = sum(_flat(tk.expand(x.as_py()), 0, 2 * _CONTEXTS // _RANGES, np.float64)[0] for x in table.column("sizes"))
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "sizes": pa.array([total.tobytes()], pa.binary())})
+def _notes(rows: list[tuple]) -> dict[str, list]:
+    return {name: [r[i] for r in rows] for i, name in enumerate(_NOTE_ARROW.names)}
 
 
-def _restaurant_sizes(blobs: DataFrame) -> np.ndarray:
-    """Customers and tables of every context, summed over all buckets; of fixed length."""
-    parts = blobs.mapInArrow(on_batches(_split_sizes), "part int, sizes binary").groupBy("part").applyInArrow(on_group(_sum_sizes), "part int, sizes binary")
-    out = np.zeros((2, _RANGES, _CONTEXTS // _RANGES))
-    for r in parts.collect():
-        out[:, r["part"]] = np.frombuffer(r["sizes"], np.float64).reshape(2, -1)
-    return out.reshape(2, _CONTEXTS)
+_NOTE_ARROW = pa.schema([("bucket", pa.int32()), ("peer", pa.int32()), ("sweep", pa.int32()), ("guests", pa.float64()), ("roots", pa.float64()), ("body", pa.binary())])
+
+
+def _open(buckets: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The first state of a word bucket, and its contexts for the buckets that sum their sizes."""
+    for row in _rows(pa.Table.from_batches([batch])):
+        words, word, contexts, context, count = _unpack(row["body"])
+        many = _many(count)
+        tables = np.bincount(context[many], minlength=len(contexts))
+        live = np.flatnonzero(tables)
+        target, fan = _bucket_of(contexts, buckets), np.bincount(word, minlength=len(words))
+        ones, none = np.ones(len(many), np.int32), np.zeros(len(many), np.float32)
+        state = _blob(count[many], word[many].astype(np.int32), np.searchsorted(live, context[many]).astype(np.int32), ones, none, np.zeros(len(many), np.int64), target[live].astype(np.int32), fan, np.ones(len(words), np.int64), np.zeros(len(words), np.float32))
+        customers, pairs = np.bincount(context, count, len(contexts)).astype(np.int64), np.bincount(context, minlength=len(contexts))
+        out = [(row["bucket"], -1, -1, 0.0, 0.0, state)]
+        bounds = np.searchsorted(target, np.arange(buckets + 1))
+        for c in np.flatnonzero(np.diff(bounds)):
+            own = slice(bounds[c], bounds[c + 1])
+            out.append((int(c), row["bucket"], -1, 0.0, 0.0, _blob(_gaps(contexts[own]), customers[own], (pairs - tables)[own], tables[own])))
+        yield pa.RecordBatch.from_pydict(_notes(out), _NOTE_ARROW)
+
+
+def _host(key: tuple, table: pa.Table) -> pa.Table:
+    """Sizes of all restaurants of a bucket; those of a table a pair are sent back as the first."""
+    c = key[0].as_py()
+    parts = []
+    for r in sorted(_rows(table), key=lambda r: r["peer"]):
+        gaps, customers, fixed, tables = _arrays(r["body"])
+        parts.append((r["peer"], np.cumsum(gaps, dtype=np.uint64), customers, fixed, tables))
+    contexts = np.unique(np.concatenate([p[1] for p in parts]))
+    customers, fixed, tables = (np.zeros(len(contexts), np.int64) for _ in range(3))
+    live = []
+    for _, own, *sums in parts:
+        at = np.searchsorted(contexts, own)
+        for total, x in zip((customers, fixed, tables), sums, strict=True):
+            total[at] += x
+        live.append(at[sums[2] > 0])
+    peers = np.array([p[0] for p in parts])
+    out = [(c, -1, -1, 0.0, 0.0, _blob(_gaps(contexts), customers, fixed, fixed + tables, peers, np.array([len(x) for x in live]), np.concatenate(live).astype(np.int32)))]
+    out += [(int(p), c, -1, 0.0, 0.0, _blob((fixed + tables)[x])) for p, x in zip(peers, live, strict=True) if len(x)]
+    return pa.table(_notes(out), _NOTE_ARROW)
+
+
+def _sweep(s: Settings, sweep: int, key: tuple, table: pa.Table) -> pa.Table:
+    """Seats all customers of a word bucket once, under sizes as they were after the last sweep."""
+    b, notes = key[0].as_py(), sorted(_rows(table), key=lambda r: r["peer"])
+    x = _State(notes[0]["body"])
+    tables = np.concatenate([np.zeros(0, np.int64), *(_arrays(r["body"])[0] for r in notes[1:])])
+    if len(tables) != len(x.to):
+        raise RuntimeError("a word bucket has not heard from all its contexts")
+    rng = np.random.default_rng([b, sweep])
+    words = len(x.fan)
+    guests = x.fan + np.bincount(x.w, x.now - 1, words).astype(np.int64)
+    new, fresh = _seat(rng, x.n, tables[x.u] - x.now, _parent(guests, x.root, s)[x.w], s.discount)
+    take = np.ones(len(new), bool) if not sweep else np.log(rng.random(len(new))) < fresh - x.weight
+    x.now, x.weight = np.where(take, new, x.now).astype(np.int32), np.where(take, fresh, x.weight).astype(np.float32)
+    guests = x.fan + np.bincount(x.w, x.now - 1, words).astype(np.int64)
+    order = np.argsort(-guests, kind="stable")
+    new, fresh = np.empty(words), np.empty(words)
+    new[order], fresh[order] = _seat(rng, guests[order], np.maximum(s.tables - x.root[order], 0), np.full(words, 1.0 / (s.words + 1)), s.parent_discount)
+    take = np.ones(words, bool) if not sweep else np.log(rng.random(words)) < fresh - x.root_weight
+    x.root = np.minimum(np.where(take, new, x.root), guests).astype(np.int64)
+    x.root_weight = np.where(take, fresh, x.root_weight).astype(np.float32)
+    if sweep >= BURN_IN:
+        x.seats = x.seats + x.now
+        x.kept += [guests, x.root]
+    sums = np.bincount(x.u, x.now, len(x.to)).astype(np.int64)
+    out = [(b, -1, sweep, float(guests.sum()), float(x.root.sum()), x.blob())]
+    heads = np.flatnonzero(np.concatenate(([True], x.to[1:] != x.to[:-1]))) if len(x.to) else []
+    out += [(int(x.to[lo]), b, sweep, 0.0, 0.0, _blob(part)) for lo, part in zip(heads, np.split(sums, heads[1:]), strict=True)] if len(heads) else []
+    return pa.table(_notes(out), _NOTE_ARROW)
+
+
+def _summed(table: pa.Table) -> tuple[list[np.ndarray], dict[int, np.ndarray], list[tuple[int, np.ndarray]]]:
+    """A host's arrays, its restaurants' tables after each sweep heard of, and the contexts of each peer."""
+    host = next(_arrays(r["body"]) for r in _rows(table) if r["peer"] < 0)
+    peers = list(zip(host[4].tolist(), np.split(host[6], np.cumsum(host[5])[:-1]), strict=True))
+    at, tables = dict(peers), {}
+    for r in _rows(table):
+        if r["peer"] >= 0:
+            own = tables.setdefault(r["sweep"], host[2].copy())
+            own[at[r["peer"]]] += _arrays(r["body"])[0]
+    return host, tables, peers
+
+
+def _resum(sweep: int, key: tuple, table: pa.Table) -> pa.Table:
+    """Tables of the restaurants after a sweep, for the word buckets that asked."""
+    host, tables, peers = _summed(table)
+    now = tables.get(sweep, host[2])
+    return pa.table(_notes([(p, key[0].as_py(), sweep, 0.0, 0.0, _blob(now[x])) for p, x in peers if len(x)]), _NOTE_ARROW)
+
+
+def _settle(key: tuple, table: pa.Table) -> pa.Table:
+    """Contexts, customers, first tables and the tables after every kept sweep."""
+    host, tables, _ = _summed(table)
+    kept = [tables.get(k, host[2]) for k in range(BURN_IN, SWEEPS)]
+    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "sizes": pa.array([_blob(host[0], host[1], host[3], *kept)], pa.binary())})
+
+
+def _parent(guests: np.ndarray, roots: np.ndarray, s: Settings) -> np.ndarray:
+    return (guests - s.parent_discount * roots + _unknown(s) * (CONCENTRATION + s.pairs)) / (CONCENTRATION + s.pairs)
+
+
+def _unknown(s: Settings) -> float:
+    """The parent's probability of a word that was never learned."""
+    return (CONCENTRATION + s.parent_discount * s.tables) / (s.words + 1) / (CONCENTRATION + s.pairs)
 
 
 def _ordered(table: pa.Table) -> pa.Table:
@@ -271,7 +367,7 @@ def _ordered(table: pa.Table) -> pa.Table:
 
 
 def _ask(buckets: int, key: tuple, table: pa.Table) -> pa.Table:
-    t = _Tokens(_ordered(table).column("text"))
+    t = _Tokens(_ordered(table).column("text"), asking=True)
     out = t.requests(buckets, np.unique(t.pair_key), None, key[0].as_py())
     return pa.table(out, pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("n_words", pa.int32()), ("n_pairs", pa.int32()), ("body", pa.binary())]))
 
@@ -279,49 +375,74 @@ def _ask(buckets: int, key: tuple, table: pa.Table) -> pa.Table:
 _ANSWER_ARROW = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("n_words", pa.int32()), ("n_pairs", pa.int32()), ("body", pa.binary())])
 
 
-def _reply(first: Settings, s: Settings, sizes, key: tuple, asked: pa.Table, merged: pa.Table) -> pa.Table:
-    """For each request, the training counts of its words and the log-probabilities of its pairs.
-
-    The seating is drawn again under the first settings, which gives the one that was summed.
-    """
+def _reply(key: tuple, asked: pa.Table, model: pa.Table) -> pa.Table:
+    """For each request, what the model knows of its words, as words and as contexts, and of its pairs: whole numbers."""
     if not asked.num_rows:
         return _ANSWER_ARROW.empty_table()
-    customers, before, tables = sizes.value
-    own = next((_Bucket(r, first, before) for r in _rows(merged)), None)
+    row: dict = {}
+    for r in _rows(model):
+        row |= {k: v for k, v in r.items() if v is not None}
+    own = _Bucket(row) if "body" in row else None
+    contexts, customers, _, *tables = _arrays(row["sizes"]) if "sizes" in row else [np.zeros(0, np.uint64)] * (3 + SWEEPS - BURN_IN)
+    contexts = np.cumsum(contexts, dtype=np.uint64)
     out: dict[str, list] = {"chunk": [], "bucket": [], "n_words": [], "n_pairs": [], "body": []}
     for r in _rows(asked):
-        words, word, context, _ = _unpack(r["body"], r["n_words"], r["n_pairs"], False)
-        count, parent, seen = np.zeros(len(words)), np.full(len(words), _unknown(s)), np.zeros(len(word))
+        words, word, near, context, _ = _unpack(r["body"])
+        of_words = np.zeros((2 + 3 * (SWEEPS - BURN_IN), len(words)), np.int64)
+        of_pairs = np.zeros((2, len(word)), np.int64)
         if own is not None:
-            at = np.minimum(np.searchsorted(own.words, words), len(own.words) - 1)
-            known = own.words[at] == words
-            count[known] = own.word_count[at[known]]
-            parent[known] = _parent(own.guests[at[known]], own.roots[at[known]], s)
-            keys = (at[word] << CONTEXT_BITS) | context
-            pos = np.minimum(np.searchsorted(own.keys, keys), len(own.keys) - 1)
-            hit = (own.keys[pos] == keys) & known[word]
-            seen[hit] = np.maximum(own.count[pos[hit]] - s.discount * own.seats[pos[hit]], 0)
-        p = (seen + (CONCENTRATION + s.discount * tables[context]) * parent[word]) / (CONCENTRATION + customers[context])
-        steps = np.clip(np.rint(-np.log10(p) * _STEP), 0, 65535).astype(np.uint16)
-        body = tk.squeeze(_planes(count.astype(np.uint64)) + _planes(steps))
-        for k, v in zip(out, (r["chunk"], r["bucket"], len(words), len(word), body), strict=True):
+            at, known = _find(own.words, words)
+            of_words[0, known] = own.word_count[at[known]]
+            for k, x in enumerate((*own.drawn[0], *own.drawn[1])):
+                of_words[2 + k, known] = x[at[known]]
+            there, met = _find(own.contexts, near)
+            pos, hit = _find(own.keys, at[word] * len(own.contexts) + there[context])
+            hit &= known[word] & met[context]
+            of_pairs[:, hit] = own.count[pos[hit]], own.summed[pos[hit]]
+        if len(contexts):
+            at, known = _find(contexts, words)
+            for k, x in zip((1, *range(2 + 2 * len(tables), len(of_words))), (customers, *tables), strict=True):
+                of_words[k, known] = x[at[known]]
+        for k, v in zip(out, (r["chunk"], r["bucket"], len(words), len(word), _blob(of_words.ravel(), of_pairs.ravel())), strict=True):
             out[k].append(v)
     return pa.table(out, _ANSWER_ARROW)
 
 
-def _score(s: Settings, key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
+def _find(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted values, and whether they are hits."""
+    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    return at, values[at] == wanted
+
+
+def _probability(sweeps: tuple[Settings, ...], words: np.ndarray, pairs: np.ndarray, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Predictive probabilities of pairs, averaged over the kept sweeps.
+
+    Each sweep has the parent's probabilities, the tables of the restaurants and those of
+    the dish of its own; the number of customers is the same in all.
+    """
+    kept, d = len(sweeps), sweeps[0].discount
+    p = pairs[0] - d * pairs[1] / kept
+    for k, s in enumerate(sweeps):
+        parent, tables = _parent(words[2 + k], words[2 + kept + k], s), words[2 + 2 * kept + k]
+        p += (CONCENTRATION + d * tables[context]) * parent[word] / kept
+    return p / (CONCENTRATION + words[1][context])
+
+
+def _score(s: Settings, sweeps: tuple[Settings, ...], key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
     docs = _ordered(docs)
-    t = _Tokens(docs.column("text"))
+    t = _Tokens(docs.column("text"), asking=True)
     pairs, pair_of = np.unique(t.pair_key, return_inverse=True)
-    count, steps = [], []
+    of_words, of_pairs = [], []
     for r in sorted(_rows(answers), key=lambda r: r["bucket"]):
-        data = tk.expand(r["body"])
-        n, at = _flat(data, 0, r["n_words"], np.uint64)
-        count.append(n.astype(np.float64))
-        steps.append(_flat(data, at, r["n_pairs"], np.uint16)[0])
-    count, steps = np.concatenate(count), np.concatenate(steps)
-    if len(count) != len(t.words) or len(steps) != len(pairs):
+        a, b = _arrays(r["body"])
+        of_words.append(a.reshape(-1, r["n_words"]))
+        of_pairs.append(b.reshape(2, -1))
+    of_words, of_pairs = np.concatenate(of_words, axis=1), np.concatenate(of_pairs, axis=1)
+    if of_words.shape[1] != len(t.words) or of_pairs.shape[1] != len(pairs):
         raise RuntimeError("a chunk changed between its request and its answer")
+    count = of_words[0]
+    word, context = np.divmod(pairs, len(t.contexts))
+    p = np.log10(_probability(sweeps, of_words, of_pairs, word, np.searchsorted(t.words, t.contexts)[context]))
     base = np.log10((count + 0.5) / (s.tokens + 0.5 * (s.words + 1)))[t.word_of]
     heads = t.bounds[:-1]
     cols = [
@@ -329,20 +450,49 @@ def _score(s: Settings, key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Tab
         pa.array(t.sizes),
         pa.array(np.add.reduceat((count > 0)[t.word_of].astype(np.int64), heads)),
         pa.array(np.add.reduceat(base, heads)),
-        pa.array(np.add.reduceat(-(steps.astype(np.float64) / _STEP)[pair_of], heads)),
+        pa.array(np.add.reduceat(p[pair_of], heads)),
     ]
     return pa.table(cols, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
+def _classes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for blob in batch.column(0):
+        gaps, customers, first, *kept = _arrays(blob.as_py())
+        at = (np.cumsum(gaps, dtype=np.uint64) >> np.uint64(64 - _CLASS_BITS)).astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"class": at, "customers": customers.astype(float), "first": first.astype(float), "mean": np.mean(kept, axis=0)})
+
+
 @dataclass
 class LanguageModel:
-    """A fitted model: merged counts in word buckets (a checkpointed table) and the sampled sizes."""
+    """A fitted model, in checkpointed tables of one row a bucket: counts, what was drawn for words, sizes of contexts."""
 
-    merged: DataFrame
+    counts: DataFrame
+    drawn: DataFrame
+    sizes: DataFrame
     first: Settings
     settings: Settings
-    start: np.ndarray
-    sampled: np.ndarray
+    sweeps: tuple[Settings, ...]
+
+    @property
+    def merged(self) -> DataFrame:
+        return self.counts.join(self.drawn, "bucket")
+
+    def _by_class(self, tables: str) -> np.ndarray:
+        sums = self.sizes.select("sizes").mapInArrow(on_batches(_classes), "class long, customers double, first double, mean double").groupBy("class").agg(F.sum("customers"), F.sum(tables)).collect()
+        out = np.zeros((2, _CONTEXTS))
+        for at, customers, n in sums:
+            out[:, at] = customers, n
+        return out
+
+    @property
+    def start(self) -> np.ndarray:
+        """Customers and first tables of all contexts, added up by class; for looking at."""
+        return self._by_class("first")
+
+    @property
+    def sampled(self) -> np.ndarray:
+        """The same with the mean tables of the kept sweeps."""
+        return self._by_class("mean")
 
     def score(self, docs: DataFrame) -> DataFrame:
         """``doc_id``, ``n_tokens``, ``n_known``, ``base_score`` and ``score`` of every text.
@@ -353,13 +503,12 @@ class LanguageModel:
         """
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         s = self.settings
-        sizes = docs.sparkSession.sparkContext.broadcast((self.start[0], self.start[1], self.sampled[1]))
         n = measure(docs)
         own = dealt(in_chunks(docs, n.chunks), "__chunk", n.partitions)
         asked = own.applyInArrow(on_group(_ask, s.buckets), _REQUEST)
-        merged = dealt(self.merged.select("bucket", "n_words", "n_pairs", "body"), "bucket", n.partitions)
-        answers = dealt(asked, "bucket", n.partitions).cogroup(merged).applyInArrow(on_pair(_reply, self.first, s, sizes), _ANSWER)
-        return own.cogroup(dealt(answers, "chunk", n.partitions)).applyInArrow(on_pair(_score, s), _SCORES)
+        model = self.counts.unionByName(self.drawn, True).unionByName(self.sizes, True)
+        answers = dealt(asked, "bucket", n.partitions).cogroup(dealt(model, "bucket", n.partitions)).applyInArrow(on_pair(_reply), _ANSWER)
+        return own.cogroup(dealt(answers, "chunk", n.partitions)).applyInArrow(on_pair(_score, s, self.sweeps), _SCORES)
 
 
 def _discount(once: int | None, twice: int | None) -> float:
@@ -375,15 +524,24 @@ def fit(docs: DataFrame) -> LanguageModel:
     merged = cut(dealt(docs.mapInArrow(on_batches(_count, buckets), _REQUEST), "bucket", n.partitions).applyInArrow(on_group(_merge), _MERGED))
     names = ("n_words", "n_pairs", "tokens", "once", "twice", "alone", "pairs_of_two")
     total = merged.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names)).first()
-    start = _restaurant_sizes(merged.select("sizes"))
-    s = Settings(total["tokens"], total["n_words"], float(total["n_pairs"]), float(total["n_words"]), _discount(total["once"], total["twice"]), _discount(total["alone"], total["pairs_of_two"]), buckets)
-    shared = docs.sparkSession.sparkContext.broadcast(start[1])
-    drawn = merged.select("bucket", "n_words", "n_pairs", "body").mapInArrow(on_batches(_sample, s, shared), "pairs double, tables double, sizes binary")
-    drawn = cut(drawn)
-    after = drawn.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("tables"), F.lit(0.0)).alias("tables")).first()
-    sampled = _restaurant_sizes(drawn.select("sizes"))
-    settled = Settings(s.tokens, s.words, after["pairs"], after["tables"], s.discount, s.parent_discount, buckets)
-    return LanguageModel(merged, s, settled, start, sampled)
+    s = first = Settings(total["tokens"], total["n_words"], float(total["n_pairs"]), float(total["n_words"]), _discount(total["once"], total["twice"]), _discount(total["alone"], total["pairs_of_two"]), buckets)
+    counts = merged.select("bucket", "body")
+    opened = cut(counts.mapInArrow(on_batches(_open, buckets), _NOTE))
+    state = opened.filter("peer < 0")
+    hosted = cut(dealt(opened.filter("peer >= 0"), "bucket", n.partitions).applyInArrow(on_group(_host), _NOTE))
+    hosts, sizes, sweeps, kept = hosted.filter("peer < 0"), hosted.filter("peer >= 0"), [], hosted.filter("peer < 0")
+    for sweep in range(SWEEPS):
+        done = cut(dealt(state.unionByName(sizes), "bucket", n.partitions).applyInArrow(on_group(_sweep, s, sweep), _NOTE))
+        state, sent = done.filter("peer < 0"), done.filter("peer >= 0")
+        sizes = dealt(hosts.unionByName(sent), "bucket", n.partitions).applyInArrow(on_group(_resum, sweep), _NOTE)
+        after = state.agg(F.coalesce(F.sum("guests"), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("roots"), F.lit(0.0)).alias("tables")).first()
+        s = replace(s, pairs=after["pairs"], tables=after["tables"])
+        if sweep >= BURN_IN:
+            sweeps.append(s)
+            kept = kept.unionByName(sent)
+    settled = cut(dealt(kept, "bucket", n.partitions).applyInArrow(on_group(_settle), "bucket int, sizes binary"))
+    mean = replace(s, pairs=sum(k.pairs for k in sweeps) / len(sweeps), tables=sum(k.tables for k in sweeps) / len(sweeps))
+    return LanguageModel(counts, state.select("bucket", F.col("body").alias("drawn")), settled, first, mean, tuple(sweeps))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
