@@ -100,3 +100,19 @@ def test_each_previous_word_is_a_restaurant_of_its_own(spark):
     assert sorted(customers) == [200, 200, 200, 200, 400]
     # p(b | start) is a half, and all else nearly 1; one restaurant for both words gives another half.
     assert got[1] > math.log10(0.5) - 0.05 and got[1] > got[2] + 1
+
+
+def test_sizes_are_renewed_after_each_sweep_and_probabilities_averaged(spark):
+    data = [(i, " ".join(["the cat sat on the mat", "a dog ran to the park", "the cat ran"][i % 3].split() * 4), None, None, None) for i in range(60)]
+    model = lm.fit(frame(spark, data))
+    tables = [0] * len(model.sweeps)
+    for r in model.sizes.collect():
+        for k, x in enumerate(lm._arrays(r["sizes"])[3:]):
+            tables[k] += int(x.sum())
+    assert tables == [s.pairs for s in model.sweeps] and len(set(tables)) > 1
+    # p is the mean over sweeps of each sweep's own p, not p of the means.
+    s = [lm.replace(model.first, pairs=100.0, tables=50.0), lm.replace(model.first, pairs=300.0, tables=90.0)]
+    words = np.array([[5], [40], [20], [90], [6], [8], [3], [30]])
+    each = [(7 - s[0].discount * t + (1 + s[0].discount * n) * lm._parent(np.array([g]), np.array([r]), x)[0]) / 41 for x, t, n, g, r in ((s[0], 2, 3, 20, 6), (s[1], 4, 30, 90, 8))]
+    got = lm._probability(tuple(s), words, np.array([[7], [6]]), np.array([0]), np.array([0]))
+    assert math.isclose(got[0], sum(each) / 2)
