@@ -60,3 +60,21 @@ def test_other_templates_and_awkward_rows(spark):
     assert [tuple(r)[1:] for r in find_licenses(frame(spark, [(1, "by the Zebra rule!", "", "", 0)]), own).collect()] == [("own", 1.0, 3, 1, 4)]
     assert find_licenses(frame(spark, rows())).collect() == []
     assert find_licenses(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_texts_without_the_trigger_word_are_found(spark):
+    """Up to a fifth of a template's words may differ, whichever they are."""
+    rng = random.Random(3)
+    data, want = [], set()
+    for i, t in enumerate(TEMPLATES):
+        words = [w.strip("().,;:").lower() for w in t.text.split()]
+        lost = {k for k, w in enumerate(words) if t.trigger in w}
+        if len(lost) > len(words) // 10:
+            continue
+        text = " ".join("qqq" if k in lost else w for k, w in enumerate(t.text.split()))
+        data.append((i, " ".join("x%d" % rng.randrange(50) for _ in range(30)) + " " + text, None, None, None))
+        want.add((i, t.license, 30))
+    got = {(r["doc_id"], r["license"], r["start_word"]) for r in find_licenses(frame(spark, data)).collect()}
+    assert len(want) >= 6 and {w[:2] for w in want} <= {g[:2] for g in got}
+    mit = TEMPLATES[8].text.replace("sublicense", "sub-license")
+    assert [(r["license"], r["start_word"]) for r in find_licenses(frame(spark, [(1, mit, None, None, None)])).collect()] == [("MIT", 0)]

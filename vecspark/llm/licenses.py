@@ -1,6 +1,8 @@
 """License scans by patience alignment of templates.
 
-A text is aligned with a template around each occurrence of the template's trigger word.
+A text is aligned with a template around each occurrence of the template's trigger word,
+and, outside what that finds, of its other seeds: as many of its words as may be missing at
+the least coverage, and one more, so that every text with that coverage has a seed.
 Alignment anchors on words that occur once in both, takes the longest increasing
 subsequence of the anchors, and aligns the gaps between them in the same way; equal words at
 the ends of a gap match as they stand. The share of template words matched is the coverage.
@@ -9,7 +11,7 @@ the ends of a gap match as they stand. The share of template words matched is th
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -118,23 +120,38 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    """Templates ready for use, with one automaton over all trigger words."""
+    """Templates ready for use at one least coverage, with one automaton over all seeds."""
 
-    def __init__(self, templates: tuple[Template, ...]):
+    def __init__(self, templates: tuple[Template, ...], coverage: float = COVERAGE):
         import ahocorasick
 
+        self.coverage = coverage
         self.by_trigger: dict[bytes, list[tuple[str, list[bytes]]]] = {}
+        self.seeds: list[tuple[str, list[bytes], Counter, int, list[bytes]]] = []
         for t in templates:
             words, trigger = _WORD.findall(t.text.encode().lower()), t.trigger.encode().lower()
             if trigger not in words:
                 raise ValueError(f"the trigger {t.trigger!r} is no word of its template")
             self.by_trigger.setdefault(trigger, []).append((t.license, words))
+            self.seeds.append((t.license, words, Counter(words), *self._others(words, trigger)))
         self.automaton = ahocorasick.Automaton()
-        for trigger in self.by_trigger:
-            self.automaton.add_word(trigger.decode("latin-1"), trigger)
+        for seed in {*self.by_trigger, *(w for t in self.seeds for w in t[4])}:
+            self.automaton.add_word(seed.decode("latin-1"), seed)
         self.automaton.make_automaton()
 
-    def scan(self, raw: bytes, coverage: float) -> list[tuple[str, float, int, int, int]]:
+    def _others(self, words: list[bytes], trigger: bytes) -> tuple[int, list[bytes]]:
+        """Least number of matched words, and seeds besides the trigger: long words first, as they are rare."""
+        least = next(n for n in range(len(words) + 1) if n / len(words) >= self.coverage)
+        places, out = words.count(trigger), []
+        for w in sorted(dict.fromkeys(words), key=len, reverse=True):
+            if places > len(words) - least:
+                break
+            if w != trigger:
+                out.append(w)
+                places += words.count(w)
+        return least, out
+
+    def scan(self, raw: bytes) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, matched words, first word, end word), by place and license."""
         low = raw.lower()
         if next(self.automaton.iter(low.decode("latin-1")), None) is None:
@@ -145,15 +162,41 @@ class Scanner:
             spots = [i for i, w in enumerate(words) if w == trigger]
             for n, p in enumerate(spots):
                 for name, template in templates:
-                    hit = self._near(words, template, trigger, p, spots, n, coverage)
+                    hit = self._near(words, template, trigger, p, spots, n, self.coverage)
                     if hit and ((name, p) not in found or hit[1] > found[name, p][1]):
                         found[name, p] = (name, *hit[1:])
+        self._unseen(words, found)
         best: dict[tuple[str, int, int], tuple[str, float, int, int, int]] = {}
         for hit in found.values():
             key = (hit[0], hit[3], hit[4])
             best[key] = max(best.get(key, hit), hit)
         return sorted(best.values(), key=lambda h: (h[3], h[4], h[0]))
 
+    def _unseen(self, words: list[bytes], found: dict) -> None:
+        """Adds what other seeds than the triggers find where nothing of the license was found."""
+        have = Counter(words)
+        for name, template, need, least, seeds in self.seeds:
+            if sum(min(n, have[w]) for w, n in need.items()) < least:
+                continue
+            taken = sorted((hit[3], hit[4]) for hit in found.values() if hit[0] == name)
+            where: dict[bytes, list[int]] = {w: [] for w in seeds}
+            for i, w in enumerate(words):
+                if w in where:
+                    where[w].append(i)
+            for seed in seeds:
+                spots = where[seed]
+                for n, p in enumerate(spots):
+                    at = bisect_left(taken, (p + 1,)) - 1
+                    if at >= 0 and p < taken[at][1]:
+                        continue
+                    near = Counter(words[max(0, p - 2 * len(template)) : p + 2 * len(template)])
+                    if sum(min(k, near[w]) for w, k in need.items()) < least:
+                        continue
+                    hit = self._near(words, template, seed, p, spots, n, self.coverage)
+                    if hit and not any(lo < hit[4] and hit[3] < hi for lo, hi in taken):
+                        found[name, p] = (name, *hit[1:])
+                        insort(taken, (hit[3], hit[4]))
+
     @staticmethod
     def _near(words: list[bytes], template: list[bytes], trigger: bytes, p: int, spots: list[int], n: int, coverage: float):
         """The alignment around the trigger at p; other spots bound it if the template has the trigger once."""
@@ -183,12 +226,13 @@ _scanners: dict[tuple, Scanner] = {}
 
 
 def _scan(templates: tuple[Template, ...], coverage: float, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    if templates not in _scanners:
-        _scanners[templates] = Scanner(templates)
+    scanner = _scanners.get((templates, coverage))
+    if scanner is None:
+        scanner = _scanners[templates, coverage] = Scanner(templates, coverage)
     for part in tk.slices(batch, "text"):
         buf, offs = tk.text_buffer(part.column(1))
         raw, ids = buf.tobytes(), part.column(0).to_pylist()
-        rows = [(ids[d], *hit) for d in range(part.num_rows) for hit in _scanners[templates].scan(raw[offs[d] : offs[d + 1]], coverage)]
+        rows = [(ids[d], *hit) for d in range(part.num_rows) for hit in scanner.scan(raw[offs[d] : offs[d + 1]])]
         yield pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(_RESULT_ARROW.names)}, _RESULT_ARROW)
 
 
