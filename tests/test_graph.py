@@ -125,3 +125,12 @@ def test_residual_estimates(spark, base):
         assert np.isclose(one, ((q - x[d]) ** 2).sum())
     nodes = {r["node"]: r for r in finger.node_table(base, m, 24).collect()}
     assert np.allclose(nodes[5]["c_p"], x[5] @ m) and np.isclose(nodes[5]["c2"], x[5] @ x[5])
+
+
+def test_many_copies_of_a_vector_all_have_an_inbound_link(spark):
+    x = np.concatenate([X[:60], np.repeat(X[7:8], 120, axis=0), X[60:120]])
+    index = hnsw.build(frame(spark, x), HOW, 2).cache()
+    assert hnsw.integrity(index).count() == 0
+    assert hnsw.links(index).filter("level = 0").groupBy("node").count().agg(F.max("count")).first()[0] <= 2 * HOW.m
+    asked = [(7, x[7])]
+    assert rows(hnsw.search(index, as_queries(frame(spark, x[7:8], [7])), 121, hnsw.Search(ef=400))) == exact(x, asked, 121)

@@ -66,6 +66,8 @@ class Graph:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.x = ids, vectors
         self.links: list[list[np.ndarray]] = []
+        #: While building: links of level 0 that stay, one to every node, forming a tree from the first.
+        self.kept: list[list[int]] = []
         self.entry, self.top = -1, -1
 
     def distances(self, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
@@ -129,6 +131,7 @@ class Graph:
         for node in range(len(self.ids)):
             level = _level(int(self.ids[node]), build)
             self.links.append([np.zeros(0, np.int64) for _ in range(level + 1)])
+            self.kept.append([])
             if node:
                 q = self.x[node]
                 start = self.descend(q, min(level, self.top))
@@ -144,13 +147,30 @@ class Graph:
     def _connect(self, node: int, chosen: list[int], level: int, build: Build) -> None:
         most = 2 * build.m if level == 0 else build.m
         self.links[node][level] = np.array(chosen, np.int64)
-        for other in chosen:
+        parent = self._adopt(node, chosen, most) if level == 0 else node
+        for other in [*chosen, *([parent] if parent != node and parent not in chosen else [])]:
             near = np.append(self.links[other][level], node)
             if len(near) > most:
                 d = self.distances(self.x[other], near)
-                near = np.array(self.spread(sorted(zip(d.tolist(), near.tolist(), strict=True)), most), np.int64)
+                have = self.spread(sorted(zip(d.tolist(), near.tolist(), strict=True)), most)
+                if level == 0 and (lost := [n for n in self.kept[other] if n not in have]):
+                    give = [n for n in have if n not in self.kept[other]][-len(lost) :]
+                    have = [n for n in have if n not in give] + lost
+                near = np.array(have, np.int64)
             self.links[other][level] = near
 
+    def _adopt(self, node: int, chosen: list[int], most: int) -> int:
+        """A node whose link to this one stays: the first chosen with room, or else the next below them."""
+        queue = list(chosen)
+        for parent in queue:
+            if len(self.kept[parent]) < most:
+                break
+            queue += self.kept[parent]
+        self.kept[parent].append(node)
+        if node == 1:
+            self.kept[1].append(0)
+        return parent
+
     @staticmethod
     def of(ids: np.ndarray, vectors: np.ndarray, links: list[list[list[int]]]) -> Graph:
         """A stored graph; links to ids that are gone are dropped."""
