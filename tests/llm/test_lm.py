@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -66,6 +67,103 @@ def test_contexts_are_distributions(spark):
     assert np.allclose(p, 1)
 
 
+def test_groups_do_not_change_what_is_sampled(monkeypatch):
+    """The mean weight and the weighted mean of tables are those of seating one by one."""
+    size, d = 30000, 0.5
+    args = (np.full(size, 700), np.full(size, 40.0), np.full(size, 0.005), d)
+    t, w = lm._seat(np.random.default_rng(1), *args)
+    monkeypatch.setattr(lm, "_GROUP", 10**9)
+    t1, w1 = lm._seat(np.random.default_rng(2), *args)
+    scale = w1.max()
+    a, b = np.exp(w - scale), np.exp(w1 - scale)
+    error = 4 * math.sqrt((a.var() / a.mean() ** 2 + b.var() / b.mean() ** 2) / size)
+    assert abs(math.log(a.mean() / b.mean())) < error < 0.2
+    mean, mean1 = (a * t).sum() / a.sum(), (b * t1).sum() / b.sum()
+    assert abs(mean - mean1) < 5 * math.sqrt((((a / a.mean() * (t - mean)) ** 2).mean() + ((b / b.mean() * (t1 - mean1)) ** 2).mean()) / size)
+    assert np.allclose(lm._log_gamma(np.array([0.3, 1.0, 4.5, 40.0, 1e6])), [math.lgamma(x) for x in (0.3, 1.0, 4.5, 40.0, 1e6)], rtol=1e-9, atol=1e-9)
+
+
+def test_subsets_are_uniform():
+    row, at = lm._subsets(np.random.default_rng(3), np.array([5, 5, 4] * 4000), np.array([2, 4, 0] * 4000))
+    assert (np.bincount(row % 3, minlength=3) == [8000, 16000, 0]).all()
+    for kind, share in ((0, 0.4), (1, 0.8)):
+        assert np.allclose(np.bincount(at[row % 3 == kind], minlength=5) / 4000, share, atol=0.04)
+
+
+def one_by_one(texts, discount, parent_discount, sweeps, asked, seed=0):
+    """Mean predictive probabilities of (context, word) pairs, from a sampler that reseats single customers."""
+    rng = random.Random(seed)
+    pairs = [(u, w) for x in texts for u, w in zip(["^", *tokens(x)], tokens(x), strict=False)]
+    vocabulary = len({w for _, w in pairs})
+    seats, root = {}, {}
+    total, theta = Counter(), lm.CONCENTRATION
+
+    def parent(w):
+        own, guests, tables = root.get(w, []), sum(map(sum, root.values())), sum(map(len, root.values()))
+        return (sum(own) - parent_discount * len(own) + (theta + parent_discount * tables) / (vocabulary + 1)) / (theta + guests)
+
+    def sit(tables, new, d):
+        """The table a customer takes: its place, or -1 for a new one."""
+        x = rng.random() * (sum(tables) - d * len(tables) + new)
+        for i, n in enumerate(tables):
+            x -= n - d
+            if x < 0:
+                return i
+        return -1
+
+    def add(u, w):
+        own = seats.setdefault(u, {}).setdefault(w, [])
+        i = sit(own, (theta + discount * sum(map(len, seats[u].values()))) * parent(w), discount)
+        if i >= 0:
+            own[i] += 1
+            return
+        own.append(1)
+        up = root.setdefault(w, [])
+        j = sit(up, (theta + parent_discount * sum(map(len, root.values()))) / (vocabulary + 1), parent_discount)
+        if j >= 0:
+            up[j] += 1
+        else:
+            up.append(1)
+
+    def leave(tables):
+        """One customer goes; whether a table closes."""
+        i = rng.choices(range(len(tables)), tables)[0]
+        tables[i] -= 1
+        if not tables[i]:
+            del tables[i]
+            return True
+        return False
+
+    for u, w in pairs:
+        add(u, w)
+    for sweep in range(sweeps):
+        for u, w in pairs:
+            if leave(seats[u][w]):
+                leave(root[w])
+            add(u, w)
+        if sweep >= sweeps // 5:
+            for u, w in asked:
+                own = seats.get(u, {})
+                tables, customers = sum(map(len, own.values())), sum(map(sum, own.values()))
+                here = own.get(w, [])
+                total[u, w] += (sum(here) - discount * len(here) + (theta + discount * tables) * parent(w)) / (theta + customers)
+    kept = sweeps - sweeps // 5
+    return {k: total[k] / kept for k in asked}
+
+
+def test_scores_agree_with_a_sampler_of_single_customers(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("red blue green fast slow cat dog bird".split(), [9, 5, 3, 3, 2, 2, 1, 1], k=rng.randint(3, 9))) for _ in range(40)]
+    model = lm.fit(frame(spark, [(i, x, None, None, None) for i, x in enumerate(texts)]))
+    new = ["red blue cat", "green green dog bird", "slow unseen fast red", ""]
+    asked = {(u, w) for x in new for u, w in zip(["^", *tokens(x)], tokens(x), strict=False)}
+    p = one_by_one(texts, model.settings.discount, model.settings.parent_discount, 60, asked)
+    got = {r["doc_id"]: r["score"] for r in model.score(frame(spark, [(i, x, None, None, None) for i, x in enumerate(new)])).collect()}
+    for i, x in enumerate(new):
+        want = sum(math.log10(p[u, w]) for u, w in zip(["^", *tokens(x)], tokens(x), strict=False))
+        assert abs(got[i] - want) < 0.03 * len(tokens(x)) + 0.02, (x, got[i], want)
+
+
 def test_seating_follows_the_restaurant_rule():
     rng = np.random.default_rng(0)
     n, others, base, d = 3, 4.0, 0.2, 0.5
@@ -89,7 +187,7 @@ def test_each_previous_word_is_a_restaurant_of_its_own(spark):
     seen: dict = {}
     for i in range(4000):
         words = lm._Tokens(pa.array([f"v{i}"])).words
-        k = int(lm.tk.mix64(words[words != lm._END])[0]) >> (64 - 18)
+        k = int(lm.tk.mix64(words[(words != lm._END) & (words != lm._START)])[0]) >> (64 - 18)
         if k in seen:
             break
         seen[k] = f"v{i}"

@@ -3,8 +3,11 @@
 Every context (the previous word, by its 64-bit hash) is a restaurant; all share one parent
 over words, whose own base is uniform over the learned words and one unknown word. Seating
 is sampled by Gibbs sweeps: all customers of a dish leave their restaurant and are seated
-again one by one by the Chinese-restaurant rule, and the new seating is accepted by the
-Metropolis ratio of its normalisers. Every table sends one customer to the parent.
+again by the Chinese-restaurant rule, and the new seating is accepted by the Metropolis
+ratio of its weights. Customers come singly until 64 are seated, then in groups of a 32nd
+of those seated, in which each opens a table with the group's middle probability; a
+seating's weight is that of the one-by-one rule over the chance of having drawn it, so
+groups do not change what is sampled from. Every table sends one customer to the parent.
 Predictive probabilities are averaged over the sweeps after burn-in; perplexity is
 ``10 ** (-score / n_tokens)``.
 
@@ -12,9 +15,9 @@ Counts of (context, word) pairs are merged in word buckets. A bucket holds all r
 tables for its words, so the parent's share of these is exact there; a restaurant's size is
 summed in the bucket of its context's hash and sent back to the word buckets after each
 sweep, and so are the parent's totals. Within a sweep sizes are those of the sweep before,
-as in approximate distributed Gibbs sampling (a seating's normaliser is kept from its own
-sweep). Scoring deals the documents into chunks, each of which asks the buckets for its
-distinct pairs and words.
+as in approximate distributed Gibbs sampling (a seating's weight is kept from its own
+sweep). Scoring takes documents in chunks of what one task reads, each of which asks the
+buckets for its distinct pairs and words; texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -24,61 +27,78 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm import textkit as tk
-from vecspark.llm.chunks import cut, dealt, in_chunks, measure, on_batches, on_group, on_pair
+from vecspark.llm.chunks import Steps, cut, cut_alone, dealt, measure, on_batches, on_group, on_pair
 
 SWEEPS, BURN_IN = 6, 2
 CONCENTRATION = 1.0
-#: Customers seated singly before seats are drawn for blocks of an eighth of those seated.
-_SINGLE = 32
+#: Customers seated at once, as a share of those seated.
+_GROUP = 32
+#: Parts that documents are scored in; the exchanges of one part are on disk at a time.
+PARTS = 2
 
 #: Classes that ``LanguageModel.start`` and ``sampled`` add contexts up in; the model has none.
 _CLASS_BITS = 18
 _CONTEXTS = 1 << _CLASS_BITS
 _END, _START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
-_REQUEST = "bucket int, chunk int, n_words int, n_pairs int, body binary"
-_MERGED = "bucket int, n_words int, n_pairs long, tokens long, once long, twice long, alone long, pairs_of_two long, body binary"
-_ANSWER = "chunk int, bucket int, n_words int, n_pairs int, body binary"
+_REQUEST = "bucket long, chunk long, n_words int, n_pairs int, body binary"
+_MERGED = "bucket long, n_words int, n_pairs long, tokens long, once long, twice long, alone long, pairs_of_two long, body binary"
+_ANSWER = "chunk long, bucket long, n_words int, n_pairs int, body binary"
 #: What buckets send each other: ``peer`` is the sender, or -1 for what a bucket keeps.
-_NOTE = "bucket int, peer int, sweep int, guests double, roots double, body binary"
+_NOTE = "bucket long, peer long, sweep int, guests double, roots double, body binary"
 _SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
 class _Tokens:
-    """Tokens of all texts of a batch (words, then one end each) and their distinct (word, context) pairs.
+    """Tokens of all texts of a table (words, then one end each) and their (word, context) pairs.
 
-    With ``asking``, the mark before a text's first word is among ``words``, so that each context is.
+    ``words`` also has the mark before a text's first word, the context there.
     """
 
-    def __init__(self, column: pa.ChunkedArray | pa.Array, asking: bool = False):
+    def __init__(self, column: pa.ChunkedArray | pa.Array):
         buf, offs = tk.text_buffer(column)
         buf = tk.lower_ascii(buf)
         starts, ends, first = tk.words(buf, offs)
         rows = len(offs) - 1
-        self.sizes = np.diff(first) + 1
-        token = np.full(len(starts) + rows, _END, np.uint64)
+        token = np.full(len(starts) + rows + 1, _END, np.uint64)
         token[np.arange(len(starts)) + np.repeat(np.arange(rows), np.diff(first))] = tk.word_hashes(buf, starts, ends)
-        before = np.empty_like(token)
-        before[1:] = token[:-1]
-        self.bounds = np.concatenate(([0], np.cumsum(self.sizes)))
-        before[self.bounds[:-1]] = _START
-        self.words = np.unique(np.append(token, _START) if asking else token)
-        self.word_of = np.searchsorted(self.words, token)
-        self.contexts, context = np.unique(before, return_inverse=True)
-        self.pair_key = self.word_of * len(self.contexts) + context
+        token[-1] = _START
+        self.words, of = np.unique(token, return_inverse=True)
+        self._pair(of[:-1], np.diff(first) + 1, int(of[-1]))
+
+    def _pair(self, word_of: np.ndarray, sizes: np.ndarray, start: int) -> None:
+        self.word_of, self.sizes, self.start = word_of, sizes, start
+        self.bounds = np.concatenate(([0], np.cumsum(sizes)))
+        before = np.empty_like(word_of)
+        before[1:] = word_of[:-1]
+        before[self.bounds[:-1]] = start
+        self.pair_key = word_of * len(self.words) + before
+
+    def blob(self, *more: np.ndarray) -> bytes:
+        return _blob(self.word_of.astype(np.uint32), self.sizes, np.array([self.start, len(self.words)]), *more)
+
+    @staticmethod
+    def of(blob: bytes) -> tuple[_Tokens, list[np.ndarray]]:
+        """The tokens again, words being known by number only, and what was packed with them."""
+        word_of, sizes, (start, n), *more = _arrays(blob)
+        t = _Tokens.__new__(_Tokens)
+        t.words = np.arange(n)
+        t._pair(word_of.astype(np.int64), sizes, int(start))
+        return t, more
 
     def requests(self, buckets: int, pairs: np.ndarray, counts: np.ndarray | None, chunk: int) -> dict[str, list]:
         """One packed row per word bucket."""
         bounds = _bucket_bounds(self.words, buckets)
-        word, context = np.divmod(pairs, len(self.contexts))
+        word, context = np.divmod(pairs, len(self.words))
         at = np.searchsorted(word, bounds)
         out: dict[str, list] = {"bucket": [], "chunk": [], "n_words": [], "n_pairs": [], "body": []}
         for b in np.flatnonzero(np.diff(bounds)):
             own = slice(at[b], at[b + 1])
-            body = _pack(self.words[bounds[b] : bounds[b + 1]], word[own] - bounds[b], self.contexts[context[own]], None if counts is None else counts[own])
+            body = _pack(self.words[bounds[b] : bounds[b + 1]], word[own] - bounds[b], self.words[context[own]], None if counts is None else counts[own])
             for k, v in zip(out, (int(b), chunk, int(bounds[b + 1] - bounds[b]), int(at[b + 1] - at[b]), body), strict=True):
                 out[k].append(v)
         return out
@@ -133,11 +153,17 @@ def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return np.cumsum(words, dtype=np.uint64), np.repeat(np.arange(len(words)), each), np.cumsum(contexts, dtype=np.uint64), at.astype(np.int64), counts[0] if counts else None
 
 
-def _count(buckets: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for part in tk.slices(batch, "text"):
-        t = _Tokens(part.column(0))
-        pairs, counts = np.unique(t.pair_key, return_counts=True)
-        yield pa.RecordBatch.from_pydict(t.requests(buckets, pairs, counts, 0), pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("n_words", pa.int32()), ("n_pairs", pa.int32()), ("body", pa.binary())]))
+_REQUEST_ARROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("n_words", pa.int32()), ("n_pairs", pa.int32()), ("body", pa.binary())])
+
+
+def _count(buckets: int):
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in tk.filled(batches, "text"):
+            t = _Tokens(part.column(0))
+            pairs, counts = np.unique(t.pair_key, return_counts=True)
+            yield pa.RecordBatch.from_pydict(t.requests(buckets, pairs, counts, 0), _REQUEST_ARROW)
+
+    return call
 
 
 def _rows(table: pa.Table) -> Iterator[dict]:
@@ -150,7 +176,10 @@ def _merge(key: tuple, table: pa.Table) -> pa.Table:
     """All counts of a word bucket."""
     keys, counts = [], []
     parts = [_unpack(r["body"]) for r in _rows(table)]
-    known = np.unique(np.concatenate([p[0] for p in parts]))
+    # A word without pairs is the mark before the first word, which is a context only.
+    known = np.unique(np.concatenate([p[0][np.bincount(p[1], minlength=len(p[0])) > 0] for p in parts]))
+    if not len(known):
+        return pa.table([pa.array([], t) for t in _MERGED_TYPES], names=_MERGED_NAMES)
     contexts = np.unique(np.concatenate([p[2] for p in parts]))
     while parts:
         words, word, near, context, n = parts.pop()
@@ -164,9 +193,11 @@ def _merge(key: tuple, table: pa.Table) -> pa.Table:
     word, context = np.divmod(key_, len(contexts))
     fan = np.bincount(word, minlength=len(known))
     row = [key[0].as_py(), len(known), len(key_), int(count.sum()), int((count == 1).sum()), int((count == 2).sum()), int((fan == 1).sum()), int((fan == 2).sum()), _pack(known, word, contexts[context], count)]
-    names = ["bucket", "n_words", "n_pairs", "tokens", "once", "twice", "alone", "pairs_of_two", "body"]
-    types = [pa.int32(), pa.int32(), *[pa.int64()] * 6, pa.binary()]
-    return pa.table([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
+    return pa.table([pa.array([v], t) for v, t in zip(row, _MERGED_TYPES, strict=True)], names=_MERGED_NAMES)
+
+
+_MERGED_NAMES = ["bucket", "n_words", "n_pairs", "tokens", "once", "twice", "alone", "pairs_of_two", "body"]
+_MERGED_TYPES = [pa.int64(), pa.int32(), *[pa.int64()] * 6, pa.binary()]
 
 
 @dataclass
@@ -182,25 +213,83 @@ class Settings:
     buckets: int
 
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """The logarithm of the gamma function, for x > 0."""
+    shift = sum(np.log(x + i) for i in range(8))
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - (1 / 360 - 1 / (1260 * y * y)) / (y * y)) / y - shift
+
+
+def _subsets(rng: np.random.Generator, size: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A uniform subset of ``take`` of the first ``size`` numbers for each row: rows and numbers, in order."""
+    # Of a set and the rest the smaller is drawn, by drawing until all are distinct.
+    small = np.where(2 * take > size, size - take, take)
+    key = np.zeros(0, np.int64)
+    width = int(size.max(initial=0)) + 1
+    missing = np.repeat(np.arange(len(size)), small)
+    while len(missing):
+        key = np.unique(np.concatenate([key, missing * width + (rng.random(len(missing)) * size[missing]).astype(np.int64)]))
+        missing = np.repeat(np.arange(len(size)), small - np.bincount(key // width, minlength=len(size)))
+    rest = np.flatnonzero(2 * take > size)
+    if len(rest):
+        every = np.concatenate([r * width + np.arange(size[r]) for r in rest])
+        key = np.sort(np.concatenate([key[~np.isin(key // width, rest)], np.setdiff1d(every, key, assume_unique=True)]))
+    return key // width, key % width
+
+
+def _group_weight(rng: np.random.Generator, discount: float, seated: np.ndarray, tables: np.ndarray, size: np.ndarray, opened: np.ndarray, p: np.ndarray, first: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """For groups of customers: log of the one-by-one weight of a seating over the chance of having drawn it.
+
+    ``opened`` of ``size`` customers open tables, each with probability ``p``; which of them
+    is drawn here. ``first``: weight of a new table when the group comes, over ``base``.
+    """
+    row, at = _subsets(rng, size, opened)
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    out = np.bincount(row, np.log((first[row] + discount * nth) * base[row]), len(size)).astype(float)
+    # Between two new tables all customers sit down at known ones, of which there is a constant number.
+    lo, hi = [np.zeros(len(size), np.int64)], [size.copy()]
+    last = np.concatenate((row[1:] != row[:-1], [True])) if len(row) else np.zeros(0, bool)
+    hi[0][row[nth == 0]] = at[nth == 0]
+    lo.append(at + 1)
+    hi.append(np.where(last, size[row], np.append(at[1:], 0)))
+    row_, have = np.concatenate([np.arange(len(size)), row]), np.concatenate([tables, tables[row] + nth + 1])
+    lo_, hi_ = np.concatenate(lo), np.concatenate(hi)
+    full = hi_ > lo_
+    start = seated[row_] - discount * have
+    gain = _log_gamma(start[full] + hi_[full]) - _log_gamma(start[full] + lo_[full])
+    out += np.bincount(row_[full], gain, len(size))
+    return out - opened * np.log(p) - (size - opened) * np.log1p(-p)
+
+
 def _seat(rng: np.random.Generator, n: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
-    """Tables that n customers of one dish take, and the log of the product of normalisers.
+    """Tables that n customers of one dish take, and the log weight of the seating.
 
     ``n`` falls; ``others``: tables of other dishes in the restaurant; ``base``: the
     parent's probability of the dish.
     """
     tables, weight = np.ones(len(n)), np.zeros(len(n))
     seated, top, falling = 1, int(n[0]) if len(n) else 0, -n
+    groups: list[tuple] = []
     while seated < top:
-        block = 1 if seated < _SINGLE else seated // 8
+        block = max(1, seated // _GROUP)
         live = int(np.searchsorted(falling, -seated, "left"))
-        new = (CONCENTRATION + discount * (others[:live] + tables[:live])) * base[:live]
-        total = new + np.maximum(seated - discount * tables[:live], 0)
-        weight[:live] += np.log(total) * np.minimum(block, n[:live] - seated)
+        first = CONCENTRATION + discount * (others[:live] + tables[:live])
         if block == 1:
+            new = first * base[:live]
+            total = new + (seated - discount * tables[:live])
+            weight[:live] += np.log(total)
             tables[:live] += rng.random(live) * total < new
         else:
-            tables[:live] += rng.binomial(np.minimum(block, n[:live] - seated), new / total)
+            size = np.minimum(block, n[:live] - seated)
+            new = first * base[:live]
+            p = np.clip(new / (new + seated + (size - 1) / 2 - discount * tables[:live]), 1e-15, 1 - 1e-9)
+            opened = rng.binomial(size, p)
+            groups.append((np.arange(live), np.full(live, seated), tables[:live].copy(), size, opened, p, first, base[:live]))
+            tables[:live] += opened
         seated += block
+    if groups:
+        of, *parts = (np.concatenate(x) for x in zip(*groups, strict=True))
+        weight += np.bincount(of, _group_weight(rng, discount, *parts), len(n))
     return tables, weight
 
 
@@ -254,7 +343,7 @@ def _notes(rows: list[tuple]) -> dict[str, list]:
     return {name: [r[i] for r in rows] for i, name in enumerate(_NOTE_ARROW.names)}
 
 
-_NOTE_ARROW = pa.schema([("bucket", pa.int32()), ("peer", pa.int32()), ("sweep", pa.int32()), ("guests", pa.float64()), ("roots", pa.float64()), ("body", pa.binary())])
+_NOTE_ARROW = pa.schema([("bucket", pa.int64()), ("peer", pa.int64()), ("sweep", pa.int32()), ("guests", pa.float64()), ("roots", pa.float64()), ("body", pa.binary())])
 
 
 def _open(buckets: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -350,7 +439,7 @@ def _settle(key: tuple, table: pa.Table) -> pa.Table:
     """Contexts, customers, first tables and the tables after every kept sweep."""
     host, tables, _ = _summed(table)
     kept = [tables.get(k, host[2]) for k in range(BURN_IN, SWEEPS)]
-    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "sizes": pa.array([_blob(host[0], host[1], host[3], *kept)], pa.binary())})
+    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "sizes": pa.array([_blob(host[0], host[1], host[3], *kept)], pa.binary())})
 
 
 def _parent(guests: np.ndarray, roots: np.ndarray, s: Settings) -> np.ndarray:
@@ -362,23 +451,35 @@ def _unknown(s: Settings) -> float:
     return (CONCENTRATION + s.parent_discount * s.tables) / (s.words + 1) / (CONCENTRATION + s.pairs)
 
 
-def _ordered(table: pa.Table) -> pa.Table:
-    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if table.num_rows > 1 else table
+def _ask(buckets: int):
+    """For each chunk its requests, and under a negative bucket its tokens, which go on to its answers."""
 
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for i, part in enumerate(tk.filled(batches, "text")):
+            chunk = task + i * _STRIDE
+            t = _Tokens(part.column("text"))
+            out = t.requests(buckets, np.unique(t.pair_key), None, chunk)
+            ids = part.column("doc_id")
+            own = t.blob(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy().astype(np.int8))
+            for k, v in zip(out, (-1 - chunk, chunk, len(t.words), 0, own), strict=True):
+                out[k].append(v)
+            yield pa.RecordBatch.from_pydict(out, _REQUEST_ARROW)
 
-def _ask(buckets: int, key: tuple, table: pa.Table) -> pa.Table:
-    t = _Tokens(_ordered(table).column("text"), asking=True)
-    out = t.requests(buckets, np.unique(t.pair_key), None, key[0].as_py())
-    return pa.table(out, pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("n_words", pa.int32()), ("n_pairs", pa.int32()), ("body", pa.binary())]))
+    return call
 
 
-_ANSWER_ARROW = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("n_words", pa.int32()), ("n_pairs", pa.int32()), ("body", pa.binary())])
+_ANSWER_ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("n_words", pa.int32()), ("n_pairs", pa.int32()), ("body", pa.binary())])
+#: Numbers of a task's chunks lie this far apart, so that chunks of all tasks have numbers of their own.
+_STRIDE = 1_000_003
 
 
 def _reply(key: tuple, asked: pa.Table, model: pa.Table) -> pa.Table:
     """For each request, what the model knows of its words, as words and as contexts, and of its pairs: whole numbers."""
     if not asked.num_rows:
         return _ANSWER_ARROW.empty_table()
+    if key[0].as_py() < 0:
+        return asked.select(_ANSWER_ARROW.names).cast(_ANSWER_ARROW)
     row: dict = {}
     for r in _rows(model):
         row |= {k: v for k, v in r.items() if v is not None}
@@ -428,12 +529,14 @@ def _probability(sweeps: tuple[Settings, ...], words: np.ndarray, pairs: np.ndar
     return p / (CONCENTRATION + words[1][context])
 
 
-def _score(s: Settings, sweeps: tuple[Settings, ...], key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-    docs = _ordered(docs)
-    t = _Tokens(docs.column("text"), asking=True)
+def _score(s: Settings, sweeps: tuple[Settings, ...], key: tuple, table: pa.Table) -> pa.Table:
+    rows = sorted(_rows(table), key=lambda r: r["bucket"])
+    if not rows or rows[0]["bucket"] >= 0:
+        raise RuntimeError("a chunk changed between its request and its answer")
+    t, (ids, null) = _Tokens.of(rows[0]["body"])
     pairs, pair_of = np.unique(t.pair_key, return_inverse=True)
     of_words, of_pairs = [], []
-    for r in sorted(_rows(answers), key=lambda r: r["bucket"]):
+    for r in rows[1:]:
         a, b = _arrays(r["body"])
         of_words.append(a.reshape(-1, r["n_words"]))
         of_pairs.append(b.reshape(2, -1))
@@ -441,12 +544,12 @@ def _score(s: Settings, sweeps: tuple[Settings, ...], key: tuple, docs: pa.Table
     if of_words.shape[1] != len(t.words) or of_pairs.shape[1] != len(pairs):
         raise RuntimeError("a chunk changed between its request and its answer")
     count = of_words[0]
-    word, context = np.divmod(pairs, len(t.contexts))
-    p = np.log10(_probability(sweeps, of_words, of_pairs, word, np.searchsorted(t.words, t.contexts)[context]))
+    word, context = np.divmod(pairs, len(t.words))
+    p = np.log10(_probability(sweeps, of_words, of_pairs, word, context))
     base = np.log10((count + 0.5) / (s.tokens + 0.5 * (s.words + 1)))[t.word_of]
     heads = t.bounds[:-1]
     cols = [
-        docs.column("doc_id").combine_chunks(),
+        pa.array(ids, mask=null.astype(bool)),
         pa.array(t.sizes),
         pa.array(np.add.reduceat((count > 0)[t.word_of].astype(np.int64), heads)),
         pa.array(np.add.reduceat(base, heads)),
@@ -502,13 +605,15 @@ class LanguageModel:
         repeated rows are scored alike; an empty table gives an empty result.
         """
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        s = self.settings
-        n = measure(docs)
-        own = dealt(in_chunks(docs, n.chunks), "__chunk", n.partitions)
-        asked = own.applyInArrow(on_group(_ask, s.buckets), _REQUEST)
+        parts, done = measure(docs).partitions, None
         model = self.counts.unionByName(self.drawn, True).unionByName(self.sizes, True)
-        answers = dealt(asked, "bucket", n.partitions).cogroup(dealt(model, "bucket", n.partitions)).applyInArrow(on_pair(_reply), _ANSWER)
-        return own.cogroup(dealt(answers, "chunk", n.partitions)).applyInArrow(on_pair(_score, s, self.sweeps), _SCORES)
+        of = F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARTS))
+        for i in range(PARTS):
+            asked = docs.filter(of == i).mapInArrow(_ask(self.settings.buckets), _REQUEST)
+            answers = dealt(asked, "bucket", parts).cogroup(dealt(model, "bucket", parts)).applyInArrow(on_pair(_reply), _ANSWER)
+            own = cut_alone(dealt(answers, "chunk", parts).applyInArrow(on_group(_score, self.settings, self.sweeps), _SCORES))
+            done = own if done is None else done.unionByName(own)
+        return done
 
 
 def _discount(once: int | None, twice: int | None) -> float:
@@ -521,27 +626,35 @@ def fit(docs: DataFrame) -> LanguageModel:
     docs = docs.select(F.col("text").cast("string").alias("text"))
     n = measure(docs)
     buckets = n.buckets(1 / 12, 1_000_000)
-    merged = cut(dealt(docs.mapInArrow(on_batches(_count, buckets), _REQUEST), "bucket", n.partitions).applyInArrow(on_group(_merge), _MERGED))
+    grouped = lambda frame: dealt(frame, "bucket", n.partitions)
+    merged = cut_alone(grouped(docs.mapInArrow(_count(buckets), _REQUEST)).applyInArrow(on_group(_merge), _MERGED))
     names = ("n_words", "n_pairs", "tokens", "once", "twice", "alone", "pairs_of_two")
     total = merged.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names)).first()
     s = first = Settings(total["tokens"], total["n_words"], float(total["n_pairs"]), float(total["n_words"]), _discount(total["once"], total["twice"]), _discount(total["alone"], total["pairs_of_two"]), buckets)
-    counts = merged.select("bucket", "body")
-    opened = cut(counts.mapInArrow(on_batches(_open, buckets), _NOTE))
-    state = opened.filter("peer < 0")
-    hosted = cut(dealt(opened.filter("peer >= 0"), "bucket", n.partitions).applyInArrow(on_group(_host), _NOTE))
-    hosts, sizes, sweeps, kept = hosted.filter("peer < 0"), hosted.filter("peer >= 0"), [], hosted.filter("peer < 0")
-    for sweep in range(SWEEPS):
-        done = cut(dealt(state.unionByName(sizes), "bucket", n.partitions).applyInArrow(on_group(_sweep, s, sweep), _NOTE))
-        state, sent = done.filter("peer < 0"), done.filter("peer >= 0")
-        sizes = dealt(hosts.unionByName(sent), "bucket", n.partitions).applyInArrow(on_group(_resum, sweep), _NOTE)
-        after = state.agg(F.coalesce(F.sum("guests"), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("roots"), F.lit(0.0)).alias("tables")).first()
-        s = replace(s, pairs=after["pairs"], tables=after["tables"])
-        if sweep >= BURN_IN:
-            sweeps.append(s)
-            kept = kept.unionByName(sent)
-    settled = cut(dealt(kept, "bucket", n.partitions).applyInArrow(on_group(_settle), "bucket int, sizes binary"))
+    counts, sweeps = merged.select("bucket", "body"), []
+    keeps = F.col("kept")
+    with Steps(docs.sparkSession) as steps:
+        # Every table has what a bucket keeps for itself apart from what it sends to others.
+        write = lambda frame: steps.write(frame.withColumn("kept", F.col("peer") < 0), "kept")
+        done = write(counts.mapInArrow(on_batches(_open, buckets), _NOTE))
+        hosts = write(grouped(done.filter(~keeps).drop("kept")).applyInArrow(on_group(_host), _NOTE))
+        own, sizes, heard = hosts.filter(keeps).drop("kept"), hosts.filter(~keeps).drop("kept"), []
+        for sweep in range(SWEEPS):
+            last, done = done, write(grouped(done.filter(keeps).drop("kept").unionByName(sizes)).applyInArrow(on_group(_sweep, s, sweep), _NOTE))
+            steps.drop(*(t for t in [last] if not any(t is h for h in heard)))
+            sizes = grouped(own.unionByName(done.filter(~keeps).drop("kept"))).applyInArrow(on_group(_resum, sweep), _NOTE)
+            after = done.filter(keeps).agg(F.coalesce(F.sum("guests"), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("roots"), F.lit(0.0)).alias("tables")).first()
+            s = replace(s, pairs=after["pairs"], tables=after["tables"])
+            if sweep >= BURN_IN:
+                sweeps.append(s)
+                heard.append(done)
+        kept = own
+        for t in heard:
+            kept = kept.unionByName(t.filter(~keeps).drop("kept"))
+        drawn = cut(done.filter(keeps).select("bucket", F.col("body").alias("drawn")))
+        settled = cut_alone(grouped(kept).applyInArrow(on_group(_settle), "bucket long, sizes binary"))
     mean = replace(s, pairs=sum(k.pairs for k in sweeps) / len(sweeps), tables=sum(k.tables for k in sweeps) / len(sweeps))
-    return LanguageModel(counts, state.select("bucket", F.col("body").alias("drawn")), settled, first, mean, tuple(sweeps))
+    return LanguageModel(counts, drawn, settled, first, mean, tuple(sweeps))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:

@@ -62,9 +62,10 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column (null: empty) and the offsets of its rows."""
+    column = column.cast(pa.large_binary())
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-    column = column.cast(pa.large_binary()).fill_null(b"")
+    column = column.fill_null(b"")
     _, offsets, data = column.buffers()
     offs = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
     if data is None:
@@ -85,6 +86,22 @@ def slices(batch: pa.RecordBatch | pa.Table, text: str, limit: int = SLICE_BYTES
         at = end
 
 
+def filled(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.Table]:
+    """The rows of all batches in tables of nearly ``limit`` bytes of text (more only for a single longer text)."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, text, limit):
+            column = part.column(part.schema.get_field_index(text))
+            n = int(text_buffer(column)[1][-1])
+            if held and size + n > limit:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each row the index of its first word."""
     sep = _IS_SEP[buf]
