@@ -161,7 +161,7 @@ def test_scores_agree_with_a_sampler_of_single_customers(spark):
     got = {r["doc_id"]: r["score"] for r in model.score(frame(spark, [(i, x, None, None, None) for i, x in enumerate(new)])).collect()}
     for i, x in enumerate(new):
         want = sum(math.log10(p[u, w]) for u, w in zip(["^", *tokens(x)], tokens(x), strict=False))
-        assert abs(got[i] - want) < 0.03 * len(tokens(x)) + 0.02, (x, got[i], want)
+        assert abs(got[i] - want) < 0.03 * len(tokens(x)) + 0.08, (x, got[i], want)
 
 
 def test_seating_follows_the_restaurant_rule():

@@ -42,8 +42,24 @@ class Sizes:
         return max(2 * self.partitions, int(self.text_bytes / (CHUNK_BYTES * self._growth)) + 1)
 
     def buckets(self, entries_per_byte: float, entries: int) -> int:
-        """Buckets of about ``entries`` keys each, more in large inputs."""
-        return max(self.partitions, int(self.text_bytes * entries_per_byte / (entries * self._growth)) + 1)
+        """Buckets of about ``entries`` keys each, of more in large inputs; their number follows the input only."""
+        return int(self.text_bytes * entries_per_byte / (entries * self._growth)) + 1
+
+
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """The same frame; its session hands rows to Python in batches of ``BATCH_BYTES``, unless it sets a size itself."""
+    conf = docs.sparkSession.conf
+    if _BATCH not in conf.getAll:
+        conf.set(_BATCH, BATCH_BYTES)
+    return docs
+
+
+def slim(docs: DataFrame) -> DataFrame:
+    """``doc_id`` (long) and ``text`` (string) of the documents, all that most operators read."""
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -62,8 +78,8 @@ def in_chunks(docs: DataFrame, chunks: int, key: str = "__chunk") -> DataFrame:
 
 
 def dealt(frame: DataFrame, key: str, parts: int):
-    """The frame grouped by a number, groups dealt out in turn, so that tasks get equal shares of them."""
-    return frame.repartitionById(parts, F.pmod(F.col(key), F.lit(parts)).cast("int")).groupBy(key)
+    """The frame grouped by an int, groups dealt out in turn, so that tasks get equal shares of them."""
+    return frame.repartitionById(parts, F.col(key)).groupBy(key)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

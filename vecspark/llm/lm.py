@@ -13,7 +13,7 @@ Predictive probabilities are averaged over the sweeps after burn-in; perplexity
 
 Counts of (context, word) pairs are merged in word buckets. A bucket holds all restaurants'
 tables for its words, so the parent's share of these is exact there; a restaurant's size is
-summed in the bucket of its context's hash and sent back to the word buckets after each
+summed by the host of its context's hash and sent back to the word buckets after each
 sweep, and so are the parent's totals. Within a sweep sizes are those of the sweep before,
 as in approximate distributed Gibbs sampling (a seating's weight is kept from its own
 sweep). Scoring takes documents in chunks of what one task reads, each of which asks the
@@ -27,17 +27,20 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm import textkit as tk
-from vecspark.llm.chunks import Steps, cut, cut_alone, dealt, measure, on_batches, on_group, on_pair
+from vecspark.llm.chunks import Steps, bounded, cut, cut_alone, dealt, measure, on_batches, on_group, on_pair, slim
 
 SWEEPS, BURN_IN = 6, 2
 CONCENTRATION = 1.0
 #: Customers seated at once, as a share of those seated.
 _GROUP = 32
+#: Word buckets for each host, which sums the sizes of as many contexts (there are fewer of these than pairs).
+HOSTED = 8
 #: Parts that documents are scored in; the exchanges of one part are on disk at a time.
 PARTS = 2
 
@@ -45,11 +48,11 @@ PARTS = 2
 _CLASS_BITS = 18
 _CONTEXTS = 1 << _CLASS_BITS
 _END, _START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
-_REQUEST = "bucket long, chunk long, n_words int, n_pairs int, body binary"
-_MERGED = "bucket long, n_words int, n_pairs long, tokens long, once long, twice long, alone long, pairs_of_two long, body binary"
-_ANSWER = "chunk long, bucket long, n_words int, n_pairs int, body binary"
+_REQUEST = "bucket int, slot int, chunk long, n_words int, n_pairs int, body binary"
+_MERGED = "bucket int, n_words int, n_pairs long, tokens long, once long, twice long, alone long, pairs_of_two long, body binary"
+_ANSWER = "slot int, chunk long, bucket int, n_words int, n_pairs int, body binary"
 #: What buckets send each other: ``peer`` is the sender, or -1 for what a bucket keeps.
-_NOTE = "bucket long, peer long, sweep int, guests double, roots double, body binary"
+_NOTE = "bucket int, peer int, sweep int, guests double, roots double, body binary"
 _SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -95,11 +98,11 @@ class _Tokens:
         bounds = _bucket_bounds(self.words, buckets)
         word, context = np.divmod(pairs, len(self.words))
         at = np.searchsorted(word, bounds)
-        out: dict[str, list] = {"bucket": [], "chunk": [], "n_words": [], "n_pairs": [], "body": []}
+        out: dict[str, list] = {name: [] for name in _REQUEST_ARROW.names}
         for b in np.flatnonzero(np.diff(bounds)):
             own = slice(at[b], at[b + 1])
             body = _pack(self.words[bounds[b] : bounds[b + 1]], word[own] - bounds[b], self.words[context[own]], None if counts is None else counts[own])
-            for k, v in zip(out, (int(b), chunk, int(bounds[b + 1] - bounds[b]), int(at[b + 1] - at[b]), body), strict=True):
+            for k, v in zip(out, (int(b), chunk % _SLOTS, chunk, int(bounds[b + 1] - bounds[b]), int(at[b + 1] - at[b]), body), strict=True):
                 out[k].append(v)
         return out
 
@@ -153,7 +156,7 @@ def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return np.cumsum(words, dtype=np.uint64), np.repeat(np.arange(len(words)), each), np.cumsum(contexts, dtype=np.uint64), at.astype(np.int64), counts[0] if counts else None
 
 
-_REQUEST_ARROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("n_words", pa.int32()), ("n_pairs", pa.int32()), ("body", pa.binary())])
+_REQUEST_ARROW = pa.schema([("bucket", pa.int32()), ("slot", pa.int32()), ("chunk", pa.int64()), ("n_words", pa.int32()), ("n_pairs", pa.int32()), ("body", pa.binary())])
 
 
 def _count(buckets: int):
@@ -174,20 +177,27 @@ def _rows(table: pa.Table) -> Iterator[dict]:
 
 def _merge(key: tuple, table: pa.Table) -> pa.Table:
     """All counts of a word bucket."""
-    keys, counts = [], []
-    parts = [_unpack(r["body"]) for r in _rows(table)]
-    # A word without pairs is the mark before the first word, which is a context only.
-    known = np.unique(np.concatenate([p[0][np.bincount(p[1], minlength=len(p[0])) > 0] for p in parts]))
+    bodies = [x.as_py() for x in table.column("body")]
+    known_, contexts_, size = [], [], 0
+    for body in bodies:
+        words, each, near, at, _ = _arrays(body)
+        # A word without pairs is the mark before the first word, which is a context only.
+        known_.append(np.cumsum(words, dtype=np.uint64)[each > 0])
+        contexts_.append(np.cumsum(near, dtype=np.uint64))
+        size += len(at)
+    known, contexts = np.unique(np.concatenate(known_)), np.unique(np.concatenate(contexts_))
+    del known_, contexts_
     if not len(known):
         return pa.table([pa.array([], t) for t in _MERGED_TYPES], names=_MERGED_NAMES)
-    contexts = np.unique(np.concatenate([p[2] for p in parts]))
-    while parts:
-        words, word, near, context, n = parts.pop()
-        keys.append(np.searchsorted(known, words)[word] * len(contexts) + np.searchsorted(contexts, near)[context])
-        counts.append(n)
-    key_, count = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key_, kind="stable")
+    key_, count, seen = np.empty(size, np.int64), np.empty(size, np.int64), 0
+    for body in bodies:
+        words, word, near, context, n = _unpack(body)
+        key_[seen : seen + len(n)] = np.searchsorted(known, words)[word] * len(contexts) + np.searchsorted(contexts, near)[context]
+        count[seen : seen + len(n)] = n
+        seen += len(n)
+    order = np.argsort(key_)
     key_, count = key_[order], count[order]
+    del order
     heads = np.flatnonzero(np.concatenate(([True], key_[1:] != key_[:-1])))
     count, key_ = np.add.reduceat(count, heads), key_[heads]
     word, context = np.divmod(key_, len(contexts))
@@ -197,7 +207,7 @@ def _merge(key: tuple, table: pa.Table) -> pa.Table:
 
 
 _MERGED_NAMES = ["bucket", "n_words", "n_pairs", "tokens", "once", "twice", "alone", "pairs_of_two", "body"]
-_MERGED_TYPES = [pa.int64(), pa.int32(), *[pa.int64()] * 6, pa.binary()]
+_MERGED_TYPES = [pa.int32(), pa.int32(), *[pa.int64()] * 6, pa.binary()]
 
 
 @dataclass
@@ -343,22 +353,22 @@ def _notes(rows: list[tuple]) -> dict[str, list]:
     return {name: [r[i] for r in rows] for i, name in enumerate(_NOTE_ARROW.names)}
 
 
-_NOTE_ARROW = pa.schema([("bucket", pa.int64()), ("peer", pa.int64()), ("sweep", pa.int32()), ("guests", pa.float64()), ("roots", pa.float64()), ("body", pa.binary())])
+_NOTE_ARROW = pa.schema([("bucket", pa.int32()), ("peer", pa.int32()), ("sweep", pa.int32()), ("guests", pa.float64()), ("roots", pa.float64()), ("body", pa.binary())])
 
 
-def _open(buckets: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The first state of a word bucket, and its contexts for the buckets that sum their sizes."""
+def _open(hosts: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The first state of a word bucket, and its contexts for the hosts that sum their sizes."""
     for row in _rows(pa.Table.from_batches([batch])):
         words, word, contexts, context, count = _unpack(row["body"])
         many = _many(count)
         tables = np.bincount(context[many], minlength=len(contexts))
         live = np.flatnonzero(tables)
-        target, fan = _bucket_of(contexts, buckets), np.bincount(word, minlength=len(words))
+        target, fan = _bucket_of(contexts, hosts), np.bincount(word, minlength=len(words))
         ones, none = np.ones(len(many), np.int32), np.zeros(len(many), np.float32)
         state = _blob(count[many], word[many].astype(np.int32), np.searchsorted(live, context[many]).astype(np.int32), ones, none, np.zeros(len(many), np.int64), target[live].astype(np.int32), fan, np.ones(len(words), np.int64), np.zeros(len(words), np.float32))
         customers, pairs = np.bincount(context, count, len(contexts)).astype(np.int64), np.bincount(context, minlength=len(contexts))
         out = [(row["bucket"], -1, -1, 0.0, 0.0, state)]
-        bounds = np.searchsorted(target, np.arange(buckets + 1))
+        bounds = np.searchsorted(target, np.arange(hosts + 1))
         for c in np.flatnonzero(np.diff(bounds)):
             own = slice(bounds[c], bounds[c + 1])
             out.append((int(c), row["bucket"], -1, 0.0, 0.0, _blob(_gaps(contexts[own]), customers[own], (pairs - tables)[own], tables[own])))
@@ -366,7 +376,7 @@ def _open(buckets: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _host(key: tuple, table: pa.Table) -> pa.Table:
-    """Sizes of all restaurants of a bucket; those of a table a pair are sent back as the first."""
+    """Sizes of all restaurants of a host; those of a table a pair are sent back as the first."""
     c = key[0].as_py()
     parts = []
     for r in sorted(_rows(table), key=lambda r: r["peer"]):
@@ -435,11 +445,16 @@ def _resum(sweep: int, key: tuple, table: pa.Table) -> pa.Table:
     return pa.table(_notes([(p, key[0].as_py(), sweep, 0.0, 0.0, _blob(now[x])) for p, x in peers if len(x)]), _NOTE_ARROW)
 
 
-def _settle(key: tuple, table: pa.Table) -> pa.Table:
-    """Contexts, customers, first tables and the tables after every kept sweep."""
+def _settle(buckets: int, key: tuple, table: pa.Table) -> pa.Table:
+    """Contexts, customers, first tables and the tables after every kept sweep, by the bucket of the context as a word."""
     host, tables, _ = _summed(table)
+    contexts = np.cumsum(host[0], dtype=np.uint64)
     kept = [tables.get(k, host[2]) for k in range(BURN_IN, SWEEPS)]
-    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "sizes": pa.array([_blob(host[0], host[1], host[3], *kept)], pa.binary())})
+    bounds = _bucket_bounds(contexts, buckets)
+    full = np.flatnonzero(np.diff(bounds))
+    part = lambda b: slice(bounds[b], bounds[b + 1])
+    bodies = [_blob(_gaps(contexts[part(b)]), *(x[part(b)] for x in (host[1], host[3], *kept))) for b in full]
+    return pa.table({"bucket": pa.array(full, pa.int32()), "sizes": pa.array(bodies, pa.binary())})
 
 
 def _parent(guests: np.ndarray, roots: np.ndarray, s: Settings) -> np.ndarray:
@@ -462,16 +477,16 @@ def _ask(buckets: int):
             out = t.requests(buckets, np.unique(t.pair_key), None, chunk)
             ids = part.column("doc_id")
             own = t.blob(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy().astype(np.int8))
-            for k, v in zip(out, (-1 - chunk, chunk, len(t.words), 0, own), strict=True):
+            for k, v in zip(out, (-1 - chunk % _SLOTS, chunk % _SLOTS, chunk, len(t.words), 0, own), strict=True):
                 out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, _REQUEST_ARROW)
 
     return call
 
 
-_ANSWER_ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("n_words", pa.int32()), ("n_pairs", pa.int32()), ("body", pa.binary())])
-#: Numbers of a task's chunks lie this far apart, so that chunks of all tasks have numbers of their own.
-_STRIDE = 1_000_003
+_ANSWER_ARROW = pa.schema([("slot", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("n_words", pa.int32()), ("n_pairs", pa.int32()), ("body", pa.binary())])
+#: Chunks of a task are numbered this far apart, so that each has a number of its own; groups go by the number's lower part.
+_STRIDE, _SLOTS = 10_000_019, 1 << 30
 
 
 def _reply(key: tuple, asked: pa.Table, model: pa.Table) -> pa.Table:
@@ -486,7 +501,7 @@ def _reply(key: tuple, asked: pa.Table, model: pa.Table) -> pa.Table:
     own = _Bucket(row) if "body" in row else None
     contexts, customers, _, *tables = _arrays(row["sizes"]) if "sizes" in row else [np.zeros(0, np.uint64)] * (3 + SWEEPS - BURN_IN)
     contexts = np.cumsum(contexts, dtype=np.uint64)
-    out: dict[str, list] = {"chunk": [], "bucket": [], "n_words": [], "n_pairs": [], "body": []}
+    out: dict[str, list] = {name: [] for name in _ANSWER_ARROW.names}
     for r in _rows(asked):
         words, word, near, context, _ = _unpack(r["body"])
         of_words = np.zeros((2 + 3 * (SWEEPS - BURN_IN), len(words)), np.int64)
@@ -504,7 +519,7 @@ def _reply(key: tuple, asked: pa.Table, model: pa.Table) -> pa.Table:
             at, known = _find(contexts, words)
             for k, x in zip((1, *range(2 + 2 * len(tables), len(of_words))), (customers, *tables), strict=True):
                 of_words[k, known] = x[at[known]]
-        for k, v in zip(out, (r["chunk"], r["bucket"], len(words), len(word), _blob(of_words.ravel(), of_pairs.ravel())), strict=True):
+        for k, v in zip(out, (r["slot"], r["chunk"], r["bucket"], len(words), len(word), _blob(of_words.ravel(), of_pairs.ravel())), strict=True):
             out[k].append(v)
     return pa.table(out, _ANSWER_ARROW)
 
@@ -530,8 +545,13 @@ def _probability(sweeps: tuple[Settings, ...], words: np.ndarray, pairs: np.ndar
 
 
 def _score(s: Settings, sweeps: tuple[Settings, ...], key: tuple, table: pa.Table) -> pa.Table:
+    chunks = pc.unique(table.column("chunk"))
+    return pa.concat_tables([_score_chunk(s, sweeps, table.filter(pc.equal(table.column("chunk"), c))) for c in chunks])
+
+
+def _score_chunk(s: Settings, sweeps: tuple[Settings, ...], table: pa.Table) -> pa.Table:
     rows = sorted(_rows(table), key=lambda r: r["bucket"])
-    if not rows or rows[0]["bucket"] >= 0:
+    if rows[0]["bucket"] >= 0:
         raise RuntimeError("a chunk changed between its request and its answer")
     t, (ids, null) = _Tokens.of(rows[0]["body"])
     pairs, pair_of = np.unique(t.pair_key, return_inverse=True)
@@ -604,14 +624,14 @@ class LanguageModel:
         Null text counts as empty (one end token); a null ``doc_id`` is returned as null;
         repeated rows are scored alike; an empty table gives an empty result.
         """
-        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        docs = slim(docs)
         parts, done = measure(docs).partitions, None
         model = self.counts.unionByName(self.drawn, True).unionByName(self.sizes, True)
         of = F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARTS))
         for i in range(PARTS):
             asked = docs.filter(of == i).mapInArrow(_ask(self.settings.buckets), _REQUEST)
             answers = dealt(asked, "bucket", parts).cogroup(dealt(model, "bucket", parts)).applyInArrow(on_pair(_reply), _ANSWER)
-            own = cut_alone(dealt(answers, "chunk", parts).applyInArrow(on_group(_score, self.settings, self.sweeps), _SCORES))
+            own = cut_alone(dealt(answers, "slot", parts).applyInArrow(on_group(_score, self.settings, self.sweeps), _SCORES))
             done = own if done is None else done.unionByName(own)
         return done
 
@@ -623,9 +643,11 @@ def _discount(once: int | None, twice: int | None) -> float:
 
 def fit(docs: DataFrame) -> LanguageModel:
     """Learns from all texts of ``docs`` (null: empty); only column ``text`` is read."""
-    docs = docs.select(F.col("text").cast("string").alias("text"))
+    docs = bounded(docs).select(F.col("text").cast("string").alias("text"))
     n = measure(docs)
     buckets = n.buckets(1 / 12, 1_000_000)
+    hosts = -(-buckets // HOSTED)
+    buckets = buckets if hosts == 1 else hosts * HOSTED
     grouped = lambda frame: dealt(frame, "bucket", n.partitions)
     merged = cut_alone(grouped(docs.mapInArrow(_count(buckets), _REQUEST)).applyInArrow(on_group(_merge), _MERGED))
     names = ("n_words", "n_pairs", "tokens", "once", "twice", "alone", "pairs_of_two")
@@ -636,7 +658,7 @@ def fit(docs: DataFrame) -> LanguageModel:
     with Steps(docs.sparkSession) as steps:
         # Every table has what a bucket keeps for itself apart from what it sends to others.
         write = lambda frame: steps.write(frame.withColumn("kept", F.col("peer") < 0), "kept")
-        done = write(counts.mapInArrow(on_batches(_open, buckets), _NOTE))
+        done = write(counts.mapInArrow(on_batches(_open, hosts), _NOTE))
         hosts = write(grouped(done.filter(~keeps).drop("kept")).applyInArrow(on_group(_host), _NOTE))
         own, sizes, heard = hosts.filter(keeps).drop("kept"), hosts.filter(~keeps).drop("kept"), []
         for sweep in range(SWEEPS):
@@ -652,7 +674,7 @@ def fit(docs: DataFrame) -> LanguageModel:
         for t in heard:
             kept = kept.unionByName(t.filter(~keeps).drop("kept"))
         drawn = cut(done.filter(keeps).select("bucket", F.col("body").alias("drawn")))
-        settled = cut_alone(grouped(kept).applyInArrow(on_group(_settle), "bucket long, sizes binary"))
+        settled = cut_alone(grouped(kept).applyInArrow(on_group(_settle, buckets), "bucket int, sizes binary"))
     mean = replace(s, pairs=sum(k.pairs for k in sweeps) / len(sweeps), tables=sum(k.tables for k in sweeps) / len(sweeps))
     return LanguageModel(counts, drawn, settled, first, mean, tuple(sweeps))
 
