@@ -57,3 +57,16 @@ def test_pruning_keeps_every_answer():
     for i in range(30):
         want = np.lexsort((np.arange(5000), -exact[i]))[:7]
         assert found[i][0].tolist() == want.tolist() and found[i][1].tolist() == exact[i][want].tolist()
+
+
+def test_large_components_are_exact(spark):
+    """Scores beyond what doubles hold are whole numbers, beyond a long its ends."""
+    data = [(0, [1e17, 1.0]), (50, [1e17, -3.0]), (1, [2.0, 5.0]), (2, [-1e17, 4.0]), (3, [2.0**40, 2.0**20]), (4, [2.0**41, 3.0])]
+    x = {i: [int(c * 256) if abs(c * 256) < 2**53 else int(c * 256.0) for c in v] for i, v in data}
+    want = []
+    for q in (0, 50):
+        scored = sorted((-max(-(2**63 - 1), min(2**63 - 1, sum(a * b for a, b in zip(x[q], x[i], strict=True)))), i) for i in x if i != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:5])]
+    vectors = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = top_products(integer_vectors(vectors), F.col("vec_id") % 50 == 0).collect()
+    assert sorted(map(tuple, got)) == sorted(want)

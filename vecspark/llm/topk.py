@@ -5,8 +5,10 @@ accumulated over one block of dimensions at a time; what the other dimensions ca
 is at most the product of the remaining norms, and candidates that cannot reach the query's
 k-th best score any more are dropped, the survivors being compacted once few are left.
 
-Query blocks meet shards of the base by an equi-join on both numbers; a shard starts from
-a few full scores and tightens its thresholds block by block.
+Each shard of the base is held by one task, which its queries pass in blocks: the base is
+exchanged once, and a query once for each shard. A shard starts from a few full scores and
+tightens its thresholds block by block. Where sums of products may leave the whole numbers
+that doubles hold (``EXACT``), those pairs are scored with integers of any size.
 """
 
 from __future__ import annotations
@@ -16,22 +18,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecspark.llm.chunks import on_pair
+from vecspark.llm.chunks import bounded
+from vecspark.operators.blocks import Block, through_shards
 
 K = 5
 DIMENSIONS = 16
-#: Queries and base vectors in one block; base vectors scored at once.
-QUERY_BLOCK, SHARD, STRIP = 1024, 8192, 2048
+#: Queries of one block and base vectors of one shard, about; base vectors scored at once.
+QUERY_BLOCK, SHARD, STRIP = 1024, 65_536, 2048
+#: Sums of products under this size are exact in doubles; scores are kept within a long.
+EXACT, MOST = 2.0**52, (1 << 63) - 1
 #: Share of survivors under which candidates are compacted.
 SPARSE = 0.25
 
 _FOUND = "query_id long, vec_id long, score long"
 
 
-def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors (columns: vectors, shorter ones filled with zeros), by id."""
-    ids = table.column("vec_id").to_numpy()
-    column = table.column("x").combine_chunks()
+    ids, column = block.ids, block.vectors
     sizes = np.diff(column.offsets.to_numpy())
     out = np.zeros((int(sizes.max(initial=0)), len(ids)))
     row = np.repeat(np.arange(len(ids)), sizes)
@@ -96,41 +100,63 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, base: np
     return top
 
 
-def _search(k: int, key: tuple, base: pa.Table, queries: pa.Table) -> pa.Table:
-    if not base.num_rows or not queries.num_rows:
-        return pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
-    query_ids, q = _matrix(queries)
-    ids, x = _matrix(base)
-    found = search(query_ids, q, ids, x, k)
-    sizes = [len(f[0]) for f in found]
-    return pa.table({"query_id": np.repeat(query_ids, sizes).astype(np.int64), "vec_id": np.concatenate([f[0] for f in found]).astype(np.int64), "score": np.rint(np.concatenate([f[1] for f in found])).astype(np.int64)})
+def _whole(x: np.ndarray) -> list[list[int]]:
+    return [[int(v) for v in column] for column in x.T]
+
+
+def _large(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, base: np.ndarray, k: int) -> list[tuple[list, list]]:
+    """The same in integers of any size, scores held within a long."""
+    q, x, out = _whole(queries), _whole(base), []
+    for i, own in enumerate(query_ids.tolist()):
+        scored = [(-max(-MOST, min(MOST, sum(a * b for a, b in zip(q[i], x[j], strict=False)))), int(ids[j])) for j in range(len(x)) if ids[j] != own]
+        best = sorted(scored)[:k]
+        out.append(([v for _, v in best], [-s for s, _ in best]))
+    return out
+
+
+def _answer(k: int, base: tuple[np.ndarray, np.ndarray], block: Block) -> pa.RecordBatch:
+    (ids, x), (query_ids, q) = base, _matrix(block)
+    size_q, size_x = np.sqrt((q**2).sum(axis=0)), np.sqrt((x**2).sum(axis=0))
+    large_x = size_x * size_q.max(initial=0) >= EXACT
+    rows: dict[str, list] = {c: [] for c in ("query_id", "vec_id", "score")}
+
+    def put(own, of, scores) -> None:
+        rows["query_id"] += [int(own)] * len(of)
+        rows["vec_id"] += [int(v) for v in of]
+        rows["score"] += [int(s) for s in scores]
+
+    for own, (of, scores) in zip(query_ids, search(query_ids, q, ids[~large_x], x[:, ~large_x], k), strict=True):
+        put(own, of, np.rint(scores))
+    if large_x.any():
+        for own, (of, scores) in zip(query_ids, _large(query_ids, q, ids[large_x], x[:, large_x], k), strict=True):
+            put(own, of, scores)
+    return pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in rows.items()})
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """``vec_id`` and ``x``, the floors of ``scale`` times each component; unusable vectors go."""
-    x = F.col("embedding").cast("array<double>")
+    x = F.transform(F.col("embedding").cast("array<double>"), lambda c: c * scale)
     fine = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-    return vectors.filter(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("double")).alias("x"))
+    # A double beyond 2**53 is whole; its floor would not fit a long.
+    whole = F.transform(x, lambda c: F.when(F.abs(c) < 2.0**53, F.floor(c).cast("double")).otherwise(c))
+    return vectors.filter(fine).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("x"))
 
 
 def top_products(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: each query's k highest inner products.
 
-    ``vectors``: ``vec_id`` (long), ``x`` (array of whole doubles, sums of products under
-    2**53); ``is_query`` picks the queries by ``vec_id``. Candidates are all rows with
-    another ``vec_id``; repeated rows are candidates of their own, while queries that share
-    a ``vec_id`` count once (their least vector). Ties go to the smaller ``vec_id``. Missing
-    trailing dimensions count as 0; an empty table gives an empty result. Every block of
-    queries meets every shard of the base, each pair as one task input of bounded size.
+    ``vectors``: ``vec_id`` (long), ``x`` (array of whole doubles); ``is_query`` picks the
+    queries by ``vec_id``. Candidates are all rows with another ``vec_id``; repeated rows
+    are candidates of their own, while queries that share a ``vec_id`` count once (their
+    least vector). Ties go to the smaller ``vec_id``. Scores are exact whatever their size,
+    and those beyond a long count as its ends. Missing trailing dimensions count as 0; an
+    empty table gives an empty result.
     """
-    queries = vectors.filter(is_query).groupBy("vec_id").agg(F.min("x").alias("x"))
-    n, m = vectors.count(), queries.count()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // QUERY_BLOCK))
-    spread = lambda seed, count: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(count)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    base = vectors.withColumn("shard", spread(1, shards))
-    base = base.withColumn("block", every(blocks)).select("block", "shard", "vec_id", "x")
-    asked = queries.withColumn("block", spread(2, blocks)).withColumn("shard", every(shards)).select("block", "shard", "vec_id", "x")
-    found = base.groupBy("block", "shard").cogroup(asked.groupBy("block", "shard")).applyInArrow(on_pair(_search, k), _FOUND)
+    queries = bounded(vectors).filter(is_query).groupBy("vec_id").agg(F.min("x").alias("x"))
+    shards = max(1, -(-vectors.count() // SHARD))
+    # Rows with one id are spread by the partition they are in.
+    base = vectors.select(F.pmod(F.xxhash64("vec_id", "x", F.spark_partition_id()), F.lit(shards)).cast("int").alias("shard"), F.col("vec_id").alias("id"), F.col("x").alias("v"))
+    asked = queries.select(F.col("vec_id").alias("id"), F.col("x").alias("v"))
+    found = through_shards(base, asked, shards, QUERY_BLOCK, _matrix, lambda held, block: _answer(k, held, block), _FOUND)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", place.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
