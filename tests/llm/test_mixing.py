@@ -79,3 +79,15 @@ def test_targets_of_no_words_and_empty_table(spark):
     assert allocate(spark.createDataFrame([], DOCS)).collect() == []
     assert mix(spark.createDataFrame([], DOCS)).collect() == []
     assert all(r["copies"] == 0 for r in allocate(frame(spark, [(1, None, "", "a", 0), (2, " ", "", None, 0)])).collect())
+
+
+def test_a_thousand_equal_rows_keep_to_the_target(spark):
+    """Copies of rows alike differ by one at most and add up to the target."""
+    for text in ("one two", "three four", "five six"):
+        data = [(None, text, None, "a", 1)] * 1000 + [(i, "seven eight", None, "b", 1) for i in range(2000)]
+        got = allocate(frame(spark, data)).filter("source = 'a'").collect()
+        target = got[0]["target"]
+        taken = [r["copies"] for r in got]
+        assert len(got) == 1000 and max(taken) - min(taken) <= 1 and abs(sum(taken) * 2 - target) <= 2
+        mixed = mix(frame(spark, data)).filter("source = 'a'").count()
+        assert mixed == sum(taken)

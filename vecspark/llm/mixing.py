@@ -5,7 +5,9 @@ of a source stand in order of falling size; the prefix sum of the rates plus one
 per source gives a document as many copies as it crosses integers. The order by size
 keeps the words taken close to the target. Positions come from a range partitioning, so no
 task holds a whole source: counts of each range are summed first, rows are numbered
-within their range after.
+within their range after. Rows alike stand side by side as one unit; each gets its share of
+the unit's copies and the first ones the odd copies, so that a unit of any size keeps to the
+target. They are numbered in the same way: counted by partition first, then within it.
 """
 
 from __future__ import annotations
@@ -84,8 +86,8 @@ def allocate(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
     ``docs``: ``doc_id``, ``text``, ``source``. The size is the number of words (null text:
     0). Null is a source of its own, the last. Rows alike in id, source and size share
-    their copies evenly, the odd ones by a hash of the text; so reruns agree and a null
-    ``doc_id`` is no special case. A source of no words has target 0 and gives no copies.
+    their copies evenly, the odd ones going to the first by a hash of the text; so a null
+    ``doc_id`` is no special case, and reruns agree but for which of equal rows they name. A source of no words has target 0 and gives no copies.
     An empty table gives an empty result. Other columns are ignored.
     """
     slim = cut(_sized(docs.select("doc_id", "text", "source")).drop("text"))
@@ -93,11 +95,28 @@ def allocate(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def _spread(sized: DataFrame, units: DataFrame) -> DataFrame:
+    """The rows with the copies of each (``__times``)."""
     units = units.withColumnsRenamed({"id": "__id", "src": "__src", "size": "__own", "same": "__same", "copies": "__copies"})
     met = sized.join(units, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__src")) & (F.col("__size") == F.col("__own")))
     each = F.floor(F.col("__copies") / F.col("__same"))
-    odd = (F.col("__tie") < F.col("__copies") / F.col("__same") - each).cast("long")
-    return met.withColumn("__times", each + F.when(F.col("__same") > 1, odd).otherwise(0))
+    alone = met.filter("__same = 1").withColumn("__times", F.col("__copies"))
+    alike = _numbered(met.filter("__same > 1")).withColumn("__times", each + (F.col("__nth") <= F.col("__copies") - each * F.col("__same")).cast("long"))
+    return alone.unionByName(alike.drop("__nth"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows of units numbered from 1 (``__nth``), no task holding more of a unit than one partition of the rows has."""
+    unit = ["__id", "__src", "__own"]
+    rows = cut(rows).withColumn("__part", F.spark_partition_id())
+    counts = rows.groupBy("__part", *unit).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*unit).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(F.col("__part").alias("p"), *(F.col(c).alias(f"u{c}") for c in unit), F.coalesce(before, F.lit(0)).alias("__before"))
+    here = F.row_number().over(Window.partitionBy("__part", *unit).orderBy("__tie"))
+    same = F.col("__part") == F.col("p")
+    for c in unit:
+        same = same & F.col(c).eqNullSafe(F.col(f"u{c}"))
+    done = rows.withColumn("__here", here).join(counts, same).withColumn("__nth", F.col("__before") + F.col("__here"))
+    return done.drop("p", "__part", "__before", "__here", *(f"u{c}" for c in unit))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:

@@ -59,8 +59,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-           ('0x' || substr(md5(coalesce(text, '')), 1, 8))::BIGINT / 4294967296.0 AS tie FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source),
 c AS (SELECT *, 2 * source_size::DOUBLE AS cap FROM s),
 l AS (SELECT *, row_number() OVER o AS k,
@@ -73,10 +72,11 @@ u AS (SELECT doc_id, source, size, count(*) AS same FROM d GROUP BY ALL),
 p AS (SELECT u.*, source_size, target, shift, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
       sum(same) OVER (PARTITION BY u.source ORDER BY size DESC, doc_id NULLS LAST ROWS UNBOUNDED PRECEDING) AS upto
       FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source),
-q AS (SELECT *, floor(rate * upto + shift) - floor(rate * (upto - same) + shift) AS copies FROM p)
+q AS (SELECT *, (floor(rate * upto + shift) - floor(rate * (upto - same) + shift))::BIGINT AS copies FROM p),
+d2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) AS nth FROM d)
 SELECT d.doc_id, d.size, q.source_size, q.target,
-       ((floor(copies / same) + CASE WHEN same > 1 AND tie < copies / same - floor(copies / same) THEN 1 ELSE 0 END) * d.size)::BIGINT AS taken
-FROM d JOIN q ON d.doc_id IS NOT DISTINCT FROM q.doc_id AND d.source IS NOT DISTINCT FROM q.source AND d.size = q.size
+       ((copies // same + CASE WHEN nth <= copies % same THEN 1 ELSE 0 END) * d.size)::BIGINT AS taken
+FROM d2 d JOIN q ON d.doc_id IS NOT DISTINCT FROM q.doc_id AND d.source IS NOT DISTINCT FROM q.source AND d.size = q.size
 """
 
 
