@@ -27,6 +27,8 @@ _LOWER[65:91] += 32
 U64 = np.uint64
 _MASK = (1 << 64) - 1
 _BYTE_BASE = 0x9E3779B97F4A7C15
+#: Base of a second hash of words, independent of the first.
+OTHER_BYTE_BASE = 0xBF58476D1CE4E5B9
 #: Bases of the two independent window polynomials.
 WINDOW_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -116,15 +118,15 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, np.flatnonzero(ends_at) + 1, np.searchsorted(starts, offs)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial of its bytes, mixed with its length."""
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BYTE_BASE) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial of its bytes, mixed with its length; another base gives another hash."""
     out = np.empty(len(starts), U64)
     at = 0
     while at < len(starts):
         end = max(at + 1, int(np.searchsorted(ends, starts[at] + _STRETCH, "right")))
         lo = int(starts[at])
         part = buf[lo : int(ends[end - 1])]
-        up, down = powers(_BYTE_BASE, len(part) + 1)
+        up, down = powers(base, len(part) + 1)
         sums = np.zeros(len(part) + 1, U64)
         np.cumsum((part.astype(U64) + U64(1)) * up[:-1], out=sums[1:])
         s, e = starts[at:end] - lo, ends[at:end] - lo
