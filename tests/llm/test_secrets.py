@@ -45,7 +45,7 @@ def test_base_kinds_match_brute_force(spark):
 def test_checksums_decide(spark):
     body = "aB3" * 10
     good, bad = "ghp_" + body + checksum62(body.encode()), "ghp_" + body + "000000"
-    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "QUJD" * 20 + "\n-----END RSA PRIVATE KEY-----"
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + base64.b64encode(bytes([0x30, 58]) + b"k" * 58).decode() + "\n-----END RSA PRIVATE KEY-----"
     texts = [good, bad, "é " + good + " npm_" + good[4:], jwt(), "eyJub.eyJub." + "z" * 40, pem]
     got = [r["spans"] for r in digest(find_secrets(frame(spark, [(i, x, None, None, None) for i, x in enumerate(texts)]))).orderBy("doc_id").collect()]
     assert got[0] == "github:0:40" and got[1] == ""
@@ -65,3 +65,22 @@ def test_redaction_keeps_rows_and_columns(spark):
 def test_empty_table(spark):
     assert digest(find_secrets(spark.createDataFrame([], DOCS))).collect() == []
     assert redact_secrets(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_structure_decides_and_work_is_linear(spark):
+    import base64
+    import time
+
+    def jwt(header: bytes) -> str:
+        enc = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+        return f"{enc(header)}.{enc(b'{"b":2}')}.{'s' * 20}"
+
+    deep = jwt(b'{"a":' + b"[" * 200_000)
+    assert deep.startswith("eyJ")
+    body = bytes([0x30, 60]) + bytes(range(60))
+    pem = lambda b: f"-----BEGIN RSA PRIVATE KEY-----\n{base64.b64encode(b).decode()}\n-----END RSA PRIVATE KEY-----"
+    texts = [deep, "eyJ" * 340_000, pem(body), pem(body[:-1]), pem(body).replace("MDwA", "MDwA="), jwt(b'{"a":1}'), "x" + "eyJ" * 3 + jwt(b'{"a":1}')[3:], "-----BEGIN " * 90_000]
+    began = time.time()
+    got = {r["doc_id"]: [f["kind"] for f in r["findings"]] for r in find_secrets(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect()}
+    assert time.time() - began < 20
+    assert [("jwt" in got[i], "pem" in got[i]) for i in range(8)] == [(False, False), (False, False), (False, True), (False, False), (False, False), (True, False), (False, False), (False, False)]

@@ -3,7 +3,8 @@
 One Aho-Corasick pass over each text finds the keywords of all kinds; an expression is
 tried only at a hit. Runs of hexadecimal digits have no keyword and are found by their
 run lengths over the whole buffer. Kinds with an embedded checksum or structure
-(``github``, ``npm``, ``jwt``, ``pem``) are reported only if that holds.
+(``github``, ``npm``: CRC-32; ``jwt``: two JSON objects; ``pem``: a DER sequence or an
+OpenSSH key) are reported only if that holds. The work is linear in the text.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecspark.llm import textkit as tk
-from vecspark.llm.chunks import on_batches
+from vecspark.llm.chunks import bounded, on_batches, slim
 
 #: Kinds in the order in which findings of one start are listed; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pem")
@@ -36,7 +37,8 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 GITHUB = re.compile(rb"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 NPM = re.compile(rb"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]{16,}")
-PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----[A-Za-z0-9+/=\s]{32,}-----END \1-----")
+PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]{32,})-----END \1-----")
+JWT_RUN = re.compile(rb"[A-Za-z0-9_-]+")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 _HEX = np.zeros(256, bool)
@@ -61,9 +63,25 @@ def _sound(kind: str, m: re.Match) -> bool:
     if kind == "jwt":
         try:
             return all(isinstance(json.loads(base64.urlsafe_b64decode(p + b"=" * (-len(p) % 4))), dict) for p in (m[1], m[2]))
-        except (ValueError, binascii.Error):
+        except (ValueError, RecursionError):
             return False
-    return True
+    return _key_block(b"".join(m[2].split()))
+
+
+def _key_block(body: bytes) -> bool:
+    """Whether base64 text holds an OpenSSH key, or one DER sequence that is as long as it says."""
+    try:
+        data = base64.b64decode(body, validate=True)
+    except binascii.Error:
+        return False
+    if data.startswith(b"openssh-key-v1\0"):
+        return True
+    if len(data) < 2 or data[0] != 0x30:
+        return False
+    if data[1] < 0x80:
+        return len(data) == 2 + data[1]
+    n = data[1] & 0x7F
+    return 0 < n <= 4 and len(data) == 2 + n + int.from_bytes(data[2 : 2 + n], "big")
 
 
 _EXPRESSIONS = {"assign": ASSIGN, "access": ACCESS, "github": GITHUB, "npm": NPM, "jwt": JWT, "pem": PEM}
@@ -85,10 +103,15 @@ def _keywords():
 
 def _near_keywords(raw: bytes) -> list[tuple[int, int, str]]:
     """Byte spans of all kinds but hex; a match consumes its text even if it is then dropped."""
-    found, until = [], dict.fromkeys(KINDS, 0)
+    found, until, refused = [], dict.fromkeys(KINDS, 0), 0
     hits = sorted((end + 1 - n, kind) for end, (n, kind) in _keywords().iter(raw.lower().decode("latin-1")))
     for at, kind in hits:
-        if at < until[kind] or not (m := _EXPRESSIONS[kind].match(raw, at)):
+        if at < until[kind] or kind == "jwt" and at < refused:
+            continue
+        if not (m := _EXPRESSIONS[kind].match(raw, at)):
+            if kind == "jwt" and (run := JWT_RUN.match(raw, at)):
+                # What follows the run decides, so no other start in it can match.
+                refused = run.end()
             continue
         until[kind] = m.end()
         if kind == "assign":
@@ -149,7 +172,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     ``doc_id`` and ``text`` are ignored; an empty table gives an empty result. Kinds may
     overlap each other; within a kind, matches are leftmost and do not overlap.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = slim(docs)
     return docs.mapInArrow(on_batches(_find), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("findings", FINDINGS)]))
 
 
@@ -178,7 +201,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     All rows and columns stay; the ``n_chars`` of a changed text, where present and not null,
     is set to its new length. Rows without findings, null and empty texts do not change.
     """
-    return docs.mapInArrow(on_batches(_blank), docs.schema)
+    return bounded(docs).mapInArrow(on_batches(_blank), docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
