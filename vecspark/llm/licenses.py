@@ -1,17 +1,21 @@
 """License scans by patience alignment of templates.
 
-A text is aligned with a template around each occurrence of the template's trigger word,
-and, outside what that finds, of its other seeds: as many of its words as may be missing at
-the least coverage, and one more, so that every text with that coverage has a seed.
-Alignment anchors on words that occur once in both, takes the longest increasing
-subsequence of the anchors, and aligns the gaps between them in the same way; equal words at
-the ends of a gap match as they stand. The share of template words matched is the coverage.
+A template is aligned around each of its seeds in a text: words that a text holding the
+template must have at least one of. These are a word that names the license, where the
+template has such words, and otherwise as many of its words as may be missing at the least
+coverage, and one more. Alignment anchors on words that occur once in both, takes the
+longest increasing subsequence of the anchors, and aligns the gaps between them in the same
+way; equal words at the ends of a gap match as they stand. The share of template words
+matched is the coverage.
+
+Where findings of several templates overlap, the one that leaves the least unexplained
+stands: most words matched, less those missing and those of the text in between.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,59 +25,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm import textkit as tk
-from vecspark.llm.chunks import on_batches
+from vecspark.llm.chunks import on_batches, slim
 
 COVERAGE = 0.8
-#: Least share of matched words in the stretch of text they span.
-DENSITY = 0.5
+#: Least share of matched words in the stretch of text they span, and what a word in between costs when the stretch is chosen.
+DENSITY, GAP = 0.5, 0.25
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
 @dataclass(frozen=True)
 class Template:
-    """A license's text or notice; ``trigger`` is a word that occurs in it and is rare in prose."""
+    """A license's text or notice; ``naming``: words of it without which a text names another license, in order."""
 
     license: str
-    trigger: str
+    naming: str
     text: str
 
 
-# Notices and texts of common licenses.
+# Notices, headings and texts of common licenses.
+_MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_MIT_DISCLAIMER = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD_TWO = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THIRD = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_DISCLAIMER = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_DISCLAIMER = "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_GNU_NOTICE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
 TEMPLATES = (
-    Template("MIT", "license", "Released under the MIT License."),
-    Template("MIT", "license", "Licensed under the MIT License."),
-    Template("Apache-2.0", "apache", "Licensed under the Apache License, Version 2.0."),
-    Template("GPL-3.0", "gnu", "This work is licensed under the GNU General Public License, version 3."),
-    Template("CC-BY-NC-4.0", "cc", "Licensed under CC BY-NC 4.0."),
-    Template("CC-BY-4.0", "cc", "Licensed under CC BY 4.0."),
-    Template("CC-BY-SA-4.0", "cc", "Licensed under CC BY-SA 4.0."),
-    Template("MPL-2.0", "mozilla", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    Template(
-        "MIT",
-        "sublicense",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    ),
-    Template(
-        "Apache-2.0",
-        "apache",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    ),
-    Template(
-        "GPL-3.0",
-        "gnu",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
-    Template(
-        "ISC",
-        "permission",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    ),
-    Template(
-        "BSD-2-Clause",
-        "redistribution",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    ),
+    Template("MIT", "mit", "Released under the MIT License."),
+    Template("MIT", "mit", "Licensed under the MIT License."),
+    Template("Apache-2.0", "apache 2 0", "Licensed under the Apache License, Version 2.0."),
+    Template("GPL-2.0", "gnu general 2", "This work is licensed under the GNU General Public License, version 2."),
+    Template("GPL-3.0", "gnu general 3", "This work is licensed under the GNU General Public License, version 3."),
+    Template("LGPL-2.1", "gnu lesser 2 1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    Template("LGPL-3.0", "gnu lesser 3", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    Template("AGPL-3.0", "gnu affero 3", "This work is licensed under the GNU Affero General Public License, version 3."),
+    Template("CC-BY-NC-4.0", "cc by nc 4 0", "Licensed under CC BY-NC 4.0."),
+    Template("CC-BY-4.0", "cc by 4 0", "Licensed under CC BY 4.0."),
+    Template("CC-BY-SA-4.0", "cc by sa 4 0", "Licensed under CC BY-SA 4.0."),
+    Template("CC-BY-ND-4.0", "cc by nd 4 0", "Licensed under CC BY-ND 4.0."),
+    Template("CC-BY-NC-SA-4.0", "cc by nc sa 4 0", "Licensed under CC BY-NC-SA 4.0."),
+    Template("CC-BY-NC-ND-4.0", "cc by nc nd 4 0", "Licensed under CC BY-NC-ND 4.0."),
+    Template("MPL-2.0", "mozilla 2 0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    Template("MPL-2.0", "mozilla 2 0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    Template("MIT", "", _MIT_GRANT),
+    Template("MIT", "", _MIT_GRANT + " " + _MIT_DISCLAIMER),
+    Template("ISC", "", _ISC_GRANT),
+    Template("ISC", "", _ISC_GRANT + " " + _ISC_DISCLAIMER),
+    Template("BSD-2-Clause", "", _BSD_TWO),
+    Template("BSD-2-Clause", "", _BSD_TWO + " " + _BSD_DISCLAIMER),
+    Template("BSD-3-Clause", "", _BSD_TWO + " " + _BSD_THIRD),
+    Template("BSD-3-Clause", "", _BSD_TWO + " " + _BSD_THIRD + " " + _BSD_DISCLAIMER),
+    Template("Unlicense", "", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    Template("Zlib", "", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."),
+    Template("Apache-2.0", "", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    Template("Apache-2.0", "apache 2 0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    Template("GPL-2.0", "general 2", _GNU_NOTICE.format("General Public License", "2")),
+    Template("GPL-3.0", "general 3", _GNU_NOTICE.format("General Public License", "3")),
+    Template("LGPL-2.1", "lesser 2 1", _GNU_NOTICE.format("Lesser General Public License", "2.1")),
+    Template("LGPL-3.0", "lesser 3", _GNU_NOTICE.format("Lesser General Public License", "3")),
+    Template("AGPL-3.0", "affero 3", _GNU_NOTICE.format("Affero General Public License", "3")),
+    Template("GPL-2.0", "general 2 1991", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    Template("GPL-3.0", "general 3 2007", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    Template("LGPL-2.1", "lesser 2 1 1999", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    Template("LGPL-3.0", "lesser 3 2007", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    Template("LGPL-3.0", "lesser 3", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    Template("AGPL-3.0", "affero 3 2007", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
 )
 
 
@@ -119,6 +137,47 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+class _Prepared:
+    """A template's words, the least number that must match, and its seeds."""
+
+    def __init__(self, template: Template, coverage: float):
+        self.license, self.words = template.license, _WORD.findall(template.text.encode().lower())
+        self.naming = _WORD.findall(template.naming.encode().lower())
+        if not self.words or not _within(self.naming, self.words):
+            raise ValueError(f"the words that name {template.license} are not in order in its template")
+        self.need = Counter(self.words)
+        self.least = next(n for n in range(len(self.words) + 1) if n / len(self.words) >= coverage)
+        # Long words are rare, words that name the license rarer.
+        order = sorted(dict.fromkeys(self.naming or self.words), key=len, reverse=True)
+        self.seeds, places = [], 0
+        for w in order:
+            self.seeds.append(w)
+            places += self.words.count(w)
+            if self.naming or places > len(self.words) - self.least:
+                break
+
+    def likely(self, have: Counter) -> bool:
+        """Whether a bag of words has enough of the template's, and those that name it."""
+        return sum(min(n, have[w]) for w, n in self.need.items()) >= self.least and all(have[w] for w in self.naming)
+
+
+def _within(some: list, words: list) -> bool:
+    """Whether ``some`` occur in ``words`` in their order."""
+    rest = iter(words)
+    return all(w in rest for w in some)
+
+
+@dataclass(frozen=True)
+class Hit:
+    license: str
+    coverage: float
+    matched: int
+    start: int
+    end: int
+    #: Words matched, less those missing and those in between.
+    gain: int
+
+
 class Scanner:
     """Templates ready for use at one least coverage, with one automaton over all seeds."""
 
@@ -126,98 +185,82 @@ class Scanner:
         import ahocorasick
 
         self.coverage = coverage
-        self.by_trigger: dict[bytes, list[tuple[str, list[bytes]]]] = {}
-        self.seeds: list[tuple[str, list[bytes], Counter, int, list[bytes]]] = []
-        for t in templates:
-            words, trigger = _WORD.findall(t.text.encode().lower()), t.trigger.encode().lower()
-            if trigger not in words:
-                raise ValueError(f"the trigger {t.trigger!r} is no word of its template")
-            self.by_trigger.setdefault(trigger, []).append((t.license, words))
-            self.seeds.append((t.license, words, Counter(words), *self._others(words, trigger)))
+        self.templates = [_Prepared(t, coverage) for t in templates]
+        self.seeds = {w for t in self.templates for w in t.seeds}
         self.automaton = ahocorasick.Automaton()
-        for seed in {*self.by_trigger, *(w for t in self.seeds for w in t[4])}:
+        for seed in self.seeds:
             self.automaton.add_word(seed.decode("latin-1"), seed)
         self.automaton.make_automaton()
 
-    def _others(self, words: list[bytes], trigger: bytes) -> tuple[int, list[bytes]]:
-        """Least number of matched words, and seeds besides the trigger: long words first, as they are rare."""
-        least = next(n for n in range(len(words) + 1) if n / len(words) >= self.coverage)
-        places, out = words.count(trigger), []
-        for w in sorted(dict.fromkeys(words), key=len, reverse=True):
-            if places > len(words) - least:
-                break
-            if w != trigger:
-                out.append(w)
-                places += words.count(w)
-        return least, out
-
-    def scan(self, raw: bytes) -> list[tuple[str, float, int, int, int]]:
-        """(license, coverage, matched words, first word, end word), by place and license."""
+    def scan(self, raw: bytes) -> list[Hit]:
+        """All findings, by place and license."""
         low = raw.lower()
         if next(self.automaton.iter(low.decode("latin-1")), None) is None:
             return []
         words = _WORD.findall(low)
-        found: dict[tuple[str, int], tuple[str, float, int, int, int]] = {}
-        for trigger, templates in self.by_trigger.items():
-            spots = [i for i, w in enumerate(words) if w == trigger]
-            for n, p in enumerate(spots):
-                for name, template in templates:
-                    hit = self._near(words, template, trigger, p, spots, n, self.coverage)
-                    if hit and ((name, p) not in found or hit[1] > found[name, p][1]):
-                        found[name, p] = (name, *hit[1:])
-        self._unseen(words, found)
-        best: dict[tuple[str, int, int], tuple[str, float, int, int, int]] = {}
-        for hit in found.values():
-            key = (hit[0], hit[3], hit[4])
-            best[key] = max(best.get(key, hit), hit)
-        return sorted(best.values(), key=lambda h: (h[3], h[4], h[0]))
-
-    def _unseen(self, words: list[bytes], found: dict) -> None:
-        """Adds what other seeds than the triggers find where nothing of the license was found."""
         have = Counter(words)
-        for name, template, need, least, seeds in self.seeds:
-            if sum(min(n, have[w]) for w, n in need.items()) < least:
-                continue
-            taken = sorted((hit[3], hit[4]) for hit in found.values() if hit[0] == name)
-            where: dict[bytes, list[int]] = {w: [] for w in seeds}
-            for i, w in enumerate(words):
-                if w in where:
-                    where[w].append(i)
-            for seed in seeds:
-                spots = where[seed]
-                for n, p in enumerate(spots):
-                    at = bisect_left(taken, (p + 1,)) - 1
-                    if at >= 0 and p < taken[at][1]:
-                        continue
-                    near = Counter(words[max(0, p - 2 * len(template)) : p + 2 * len(template)])
-                    if sum(min(k, near[w]) for w, k in need.items()) < least:
-                        continue
-                    hit = self._near(words, template, seed, p, spots, n, self.coverage)
-                    if hit and not any(lo < hit[4] and hit[3] < hi for lo, hi in taken):
-                        found[name, p] = (name, *hit[1:])
-                        insort(taken, (hit[3], hit[4]))
-
-    @staticmethod
-    def _near(words: list[bytes], template: list[bytes], trigger: bytes, p: int, spots: list[int], n: int, coverage: float):
-        """The alignment around the trigger at p; other spots bound it if the template has the trigger once."""
-        once = template.count(trigger) == 1
-        lo = max(0, p - 2 * len(template), spots[n - 1] + 1 if once and n else 0)
-        hi = min(len(words), p + 2 * len(template), spots[n + 1] if once and n + 1 < len(spots) else len(words))
-        pairs = patience(words[lo:hi], template)
-        # Words far from the rest are chance matches: the longest run of matches with short gaps counts.
-        runs, slack = [[]], 3 + len(template) // 10
-        for pair in pairs:
-            if runs[-1] and pair[0] - runs[-1][-1][0] > slack:
-                runs.append([])
-            runs[-1].append(pair)
-        run = max(runs, key=len)
-        if not run:
+        templates = [t for t in self.templates if t.likely(have)]
+        if not templates:
+            return []
+        wanted = {w for t in templates for w in t.seeds}
+        where: dict[bytes, list[int]] = {w: [] for w in wanted}
+        for i, w in enumerate(words):
+            if w in wanted:
+                where[w].append(i)
+        return settle([hit for t in templates for hit in self._places(words, t, where)])
+
+    def _places(self, words: list[bytes], t: _Prepared, where: dict[bytes, list[int]]) -> list[Hit]:
+        """Findings of one template around its seeds; a seed within one is not tried again."""
+        found: list[Hit] = []
+        for seed in t.seeds:
+            spots = where[seed]
+            for n, p in enumerate(spots):
+                if any(h.start <= p < h.end for h in found[-8:]):
+                    continue
+                # A stretch of the least density is no longer than this.
+                far = 2 * len(t.words)
+                lo, hi = max(0, p - far), min(len(words), p + far)
+                if not t.likely(Counter(words[lo:hi])):
+                    continue
+                # Other places of a seed that the template has once belong to other copies, or to chance.
+                near = (spots[n - 1] + 1 if n else 0, spots[n + 1] if n + 1 < len(spots) else len(words))
+                tries = [(lo, hi)] if t.words.count(seed) > 1 else [(max(lo, near[0]), min(hi, near[1])), (lo, hi)]
+                hits = [h for a, b in dict.fromkeys(tries) if (h := self.align(words, t, a, b)) and h.start <= p < h.end]
+                if hits:
+                    found.append(max(hits, key=lambda h: (h.gain, -h.start)))
+        return found
+
+    def align(self, words: list[bytes], t: _Prepared, lo: int, hi: int) -> Hit | None:
+        """The template's finding between two words of the text, if it is covered enough."""
+        pairs = patience(words[lo:hi], t.words)
+        if len(pairs) < t.least:
             return None
-        start, end = run[0][0] + lo, run[-1][0] + lo + 1
-        share = len(run) / len(template)
-        if share < coverage or len(run) < DENSITY * (end - start):
+        # The stretch of most matches, less a part of the words in between: matches far from the rest are chance.
+        best, gain, start = (0.0, 0, 0), 0.0, 0
+        for k, (at, _) in enumerate(pairs):
+            gain = gain + 1 - GAP * (at - pairs[k - 1][0]) if k else 1 - GAP
+            if gain < 1 - GAP:
+                gain, start = 1 - GAP, k
+            if gain > best[0]:
+                best = (gain, start, k + 1)
+        run = pairs[best[1] : best[2]]
+        a, b = run[0][0] + lo, run[-1][0] + lo + 1
+        if len(run) < t.least or len(run) < DENSITY * (b - a) or not _within(t.naming, [t.words[j] for _, j in run]):
             return None
-        return True, share, len(run), start, end
+        return Hit(t.license, len(run) / len(t.words), len(run), a, b, len(run) - (len(t.words) - len(run)) - (b - a - len(run)))
+
+
+def settle(hits: list[Hit]) -> list[Hit]:
+    """Of overlapping findings those with the most gain, by place and license."""
+    kept: list[Hit] = []
+    starts: list[int] = []
+    for hit in sorted(hits, key=lambda h: (-h.gain, h.start, h.end, h.license)):
+        n = bisect_right(starts, hit.start)
+        if (n and kept[n - 1].end > hit.start) or (n < len(kept) and kept[n].start < hit.end):
+            continue
+        kept.insert(n, hit)
+        starts.insert(n, hit.start)
+    return kept
 
 
 _RESULT = "doc_id long, license string, coverage double, n_matched long, start_word long, end_word long"
@@ -232,7 +275,7 @@ def _scan(templates: tuple[Template, ...], coverage: float, batch: pa.RecordBatc
     for part in tk.slices(batch, "text"):
         buf, offs = tk.text_buffer(part.column(1))
         raw, ids = buf.tobytes(), part.column(0).to_pylist()
-        rows = [(ids[d], *hit) for d in range(part.num_rows) for hit in scanner.scan(raw[offs[d] : offs[d + 1]])]
+        rows = [(ids[d], h.license, h.coverage, h.matched, h.start, h.end) for d in range(part.num_rows) for h in scanner.scan(raw[offs[d] : offs[d + 1]])]
         yield pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(_RESULT_ARROW.names)}, _RESULT_ARROW)
 
 
@@ -243,8 +286,7 @@ def find_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     words ``start_word`` to ``end_word`` (end exclusive). Words ignore case and ASCII
     punctuation. Null and empty texts give no rows; a null ``doc_id`` is returned as null;
     repeated rows give repeated rows; columns other than ``doc_id`` and ``text`` are
-    ignored; an empty table gives an empty result. Of several templates of one license at
-    one place, the best covered counts.
+    ignored; an empty table gives an empty result. Findings of one result never overlap.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = slim(docs)
     return docs.mapInArrow(on_batches(_scan, tuple(templates), coverage), _RESULT)
