@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm import textkit as tk
-from vecspark.llm.chunks import cut, on_batches, on_group, shuffle_partitions
+from vecspark.llm.chunks import cut, on_batches, on_group, shuffle_partitions, slim
 from vecspark.llm.graph import components
 from vecspark.llm.idfilter import likely_rows
 
@@ -187,6 +187,15 @@ def _settled(members: DataFrame, labels: DataFrame, docs: DataFrame, k: int, sim
     return held.groupBy("task").applyInArrow(on_group(_settle, k, similarity), "a long, b long").distinct()
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels of the components that come of joining labelled ones by further links, which are few."""
+    at = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_"))
+    met = links.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    joined = components(met.select(F.coalesce("a_", "a").alias("a"), F.coalesce("b_", "b").alias("b")).distinct())
+    moved = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")).unionByName(joined)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Groups of documents connected by shingle-set similarity of ``similarity`` or more.
 
@@ -198,7 +207,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     share a ``doc_id`` count as one document. A null ``doc_id`` cannot be linked: its
     ``component_id`` is null and it is kept. An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = slim(docs)
     features = cut(docs.mapInArrow(on_batches(_features, bands, rows, shingle), _FEATURES))
     ready = features.filter("n_shingles > 0 and doc_id is not null")
     # Written out, so that the join on it below is a plain shuffle join, which Spark splits where copies abound.
@@ -213,7 +222,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     links = cut(_verified(pairs, docs, shingle, similarity).unionByName(same))
     labels = components(links)
     more = _settled(members.select("key", "node", "n").distinct(), labels, docs, shingle, similarity)
-    labels = components(links.unionByName(more))
+    labels = _joined(labels, more)
     own = features.join(classes, "digest", "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")))
     done = own.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
     done = done.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")))
