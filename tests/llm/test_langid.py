@@ -75,3 +75,32 @@ def test_no_labels_and_empty_tables(spark):
     model = langid.fit(empty)
     assert langid.predict(model, empty).collect() == []
     assert [tuple(r) for r in langid.predict(model, frame(spark, [(1, "abc", None, None, None)])).collect()] == [(1, "und", 0.0)]
+
+
+def test_a_text_repeated_at_will_counts_once(spark):
+    """Copies of one text do not drive the others out of the sample, and fits agree."""
+    data = prose()
+    few = {lang: [r for r in data if r[2] == lang] for lang in ("aa", "bb", "cc")}
+    copies = [(10_000 + i, few["aa"][0][1], "aa", "s", 1) for i in range(3000)]
+    docs = frame(spark, data + copies)
+    model = langid.fit(docs, sample=40)
+    again = langid.fit(docs.repartition(7), sample=40)
+    assert np.array_equal(model.table, again.table) and model.languages == ["aa", "bb", "cc"]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(model, frame(spark, data)).collect()}
+    assert np.mean([got[r[0]] == r[2] for r in data]) > 0.97
+    with pytest.raises(ValueError):
+        langid.fit(spark.range(200).selectExpr("'a' || id as text", "string(id) as lang"))
+
+
+def test_held_out_accuracy_of_the_tables(spark):
+    """At least 99 % of the held-out documents of the test tables, of which any without letters are ``und``."""
+    import os
+
+    at = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(at):
+        pytest.skip("the tables are not here")
+    docs = spark.read.parquet(at)
+    out = langid.held_out(F.col("doc_id"))
+    done = langid.predict(langid.fit(docs.filter(~out)), docs.filter(out)).filter("lang_pred <> 'und'").join(docs.select("doc_id", "lang"), "doc_id").filter("lang is not null")
+    right, n = done.filter("lang = lang_pred").count(), done.count()
+    assert n > 200 and right >= 0.99 * n

@@ -16,16 +16,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecspark.llm import textkit as tk
-from vecspark.llm.chunks import on_batches, on_group
+from vecspark.llm.chunks import bounded, on_batches, on_group, slim
 
 FEATURE_BITS, LONGEST = 16, 3
-#: Bound of the fitted sample: documents of each language.
+#: Bound of the fitted sample: different texts of each language.
 SAMPLE = 400
+#: Languages that a model may have; each is a row of weights sent to all tasks (64 MB at most).
+MOST_LANGUAGES = 128
 UNKNOWN = "und"
 EPOCHS, RATE, SMOOTH, L1, L2 = 4, 0.5, 1.0, 1e-4, 1e-4
 _SLOTS = 1 << FEATURE_BITS
@@ -98,7 +100,7 @@ def _features(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             s, n = np.unique(np.concatenate([x[at[0, d] : at[1, d]] for x, at in grams]), return_counts=True)
             slots.append(s.astype(np.int32))
             counts.append(n.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([part.column(1), pa.array(slots, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["lang", "slots", "counts"])
+        yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(slots, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["lang", "spot", "slots", "counts"])
 
 
 def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], classes: int, slots: int = _SLOTS, epochs: int = EPOCHS, rate: float = RATE, l1: float = L1, l2: float = L2) -> np.ndarray:
@@ -168,11 +170,16 @@ def _examples(rows: list, weight: np.ndarray, languages: list[str]) -> list[tupl
 def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Learns from ``text`` and ``lang`` of all rows where both are given.
 
-    ``lang`` values other than null are the languages; their number is assumed small. The
-    sample takes rows by a hash of their text, about ``sample`` of each language.
+    ``lang`` values other than null are the languages; more than ``MOST_LANGUAGES`` raise.
+    The sample is the ``sample`` different texts of each language with the least hashes, so
+    it is the same at every run, and a text repeated at will counts once.
     """
-    known = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = bounded(docs).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
+    spot = F.xxhash64("text", F.lit(1))
+    totals = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(spot).alias("texts")).limit(MOST_LANGUAGES + 1).collect()
+    if len(totals) > MOST_LANGUAGES:
+        raise ValueError(f"there are more than {MOST_LANGUAGES} languages")
+    counts = {r["lang"]: r["n"] for r in totals}
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], np.zeros((0, _SLOTS)), np.zeros(0))
@@ -181,10 +188,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     for r in parts.collect():
         df[r["part"]] = np.frombuffer(r["df"], np.float64)
     weight = np.log((1 + sum(counts.values())) / (1 + df.ravel())) + 1
-    share = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, sample / counts[k]))))
-    spot = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = known.filter(spot < share[F.col("lang")]).limit(2 * sample * len(languages) + 100)
-    rows = sorted(picked.mapInArrow(on_batches(_features), "lang string, slots array<int>, counts array<int>").collect(), key=lambda r: (hash(tuple(r["slots"][:50])) & 0xFFFFFFFF, r["lang"]))
+    # Twice the share that is wanted surely holds the least hashes; of these each text is taken once, then the first.
+    share = {r["lang"]: min(1.0, 2 * (sample + 50) / max(1, r["texts"])) for r in totals}
+    top = F.create_map(*(F.lit(x) for k in languages for x in (k, share[k])))
+    near = known.withColumn("spot", spot).filter((F.col("spot").cast("double") / 2.0**64 + 0.5) < top[F.col("lang")])
+    once = near.groupBy("lang", "spot").agg(F.min("text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("spot"))
+    picked = once.withColumn("nth", first).filter(F.col("nth") <= sample).select("text", "lang", "spot")
+    rows = picked.mapInArrow(on_batches(_features), "lang string, spot long, slots array<int>, counts array<int>").collect()
+    rows = sorted(rows, key=lambda r: ((r["spot"] * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF, r["lang"]))
     made = _examples(rows, weight, languages)
     held = [e for i, e in enumerate(made) if i % 5 == 0] if len(made) >= 20 else made
     w = ftrl([e for i, e in enumerate(made) if i % 5] if len(made) >= 20 else made, len(languages))
@@ -233,7 +245,7 @@ def predict(model: LanguageModel, docs: DataFrame) -> DataFrame:
     language was learned. Ties go to the first language by name. A null ``doc_id`` is
     returned as null; repeated rows are predicted alike; an empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = slim(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(on_batches(_predict, shared), "doc_id long, lang_pred string, score double")
 
