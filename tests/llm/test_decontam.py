@@ -91,3 +91,23 @@ def test_awkward_and_empty(spark):
     some = spark.createDataFrame([(1, "a b c d e f")], ITEMS)
     assert contaminated(spark.createDataFrame([], DOCS), some).collect() == []
     assert remove_contaminated(frame(spark), some).count() == len(rows())
+
+
+def test_repeated_words_and_blocks(spark, monkeypatch):
+    """A text of one word against an item of the same, and both ways of tiling."""
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(150):
+        a, b = (rng.integers(0, 3, rng.integers(0, 40)).astype(np.uint64) for _ in range(2))
+        pairs = np.array([(i, j) for i in range(len(a) - 2) for j in range(len(b) - 2) if (a[i : i + 3] == b[j : j + 3]).all()], np.int64).reshape(-1, 2)
+        assert decontam.tile(pairs, 3) == decontam.tile_by_length(a, b, 3)
+    began = time.time()
+    docs = frame(spark, [(1, "spam " * 200_000, None, None, None), (2, "spam " * 300 + "egg", None, None, None), (3, "egg", None, None, None)])
+    bench = spark.createDataFrame([(7, "spam " * 400)] * 3, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["n_covered"], r["n_tiles"]) for r in decontam.contaminated(docs, bench).collect())
+    assert got == [(1, 7, 400, 1)] * 3 + [(2, 7, 300, 1)] * 3 and time.time() - began < 60
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 100)
+    assert sorted((r["doc_id"], r["item_id"], r["n_covered"], r["n_tiles"]) for r in decontam.contaminated(docs, bench).collect()) == got

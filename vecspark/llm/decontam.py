@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecspark.llm import textkit as tk
-from vecspark.llm.chunks import on_batches
+from vecspark.llm.chunks import bounded, on_batches, slim
 
 SEED = 5
 COVERAGE = 0.5
@@ -64,6 +64,45 @@ def tile(pairs: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
     return out
 
 
+#: Pairs of equal seeds of a document and an item that are held at once.
+MOST_PAIRS = 1 << 20
+
+
+def tile_by_length(a: np.ndarray, b: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
+    """The tiles of ``tile`` from the word hashes themselves, for texts whose equal seeds are too many to list.
+
+    The length of the next tile is found by bisection: the windows of a length in one
+    sequence, unmarked, are looked up among those in the other by their rolling hashes.
+    """
+    out: list[tuple[int, int, int]] = []
+    free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
+
+    def common(n: int) -> tuple[int, int] | None:
+        """The first window of n words that both have."""
+        starts = [np.flatnonzero(np.convolve(f, np.ones(n, np.int64), "valid") == n) if len(f) >= n else np.zeros(0, np.int64) for f in (free_a, free_b)]
+        if not len(starts[0]) or not len(starts[1]):
+            return None
+        x, y = (tk.windows(h, n, tk.WINDOW_BASES[0])[s] for h, s in zip((a, b), starts, strict=True))
+        known, first = np.unique(y, return_index=True)
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        hit = np.flatnonzero(known[at] == x)
+        return (int(starts[0][hit[0]]), int(starts[1][first[at[hit[0]]]])) if len(hit) else None
+
+    top = len(b)
+    while (found := common(seed)) is not None:
+        lo, hi = seed, top
+        while lo < hi:
+            n = (lo + hi + 1) // 2
+            if (at := common(n)) is not None:
+                found, lo = at, n
+            else:
+                hi = n - 1
+        x, y = found
+        out.append((x, y, lo))
+        free_a[x : x + lo], free_b[y : y + lo], top = False, False, lo
+    return out
+
+
 class Index:
     """Seeds of a block of benchmark items."""
 
@@ -99,26 +138,41 @@ class Index:
             rolled = tk.windows(hashes, n, tk.WINDOW_BASES[0])
             inside = tk.inside_rows(first, n)
             inside = inside[table[(rolled[inside] >> np.uint64(44)).astype(np.int64)]]
-            lo, hi = np.searchsorted(seeds, rolled[inside], "left"), np.searchsorted(seeds, rolled[inside], "right")
+            near = np.minimum(np.searchsorted(seeds, rolled[inside]), len(seeds) - 1)
+            inside = inside[seeds[near] == rolled[inside]]
+            if not len(inside):
+                continue
+            # Different seeds of each document first: a seed repeated in a document is looked up once.
+            row = np.searchsorted(first, inside, "right") - 1
+            order = np.lexsort((inside, rolled[inside], row))
+            inside, row = inside[order], row[order]
+            key = rolled[inside]
+            new = np.concatenate(([True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])))
+            heads, times = np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(inside)))
+            lo, hi = np.searchsorted(seeds, key[heads], "left"), np.searchsorted(seeds, key[heads], "right")
             many = hi - lo
-            pos = np.repeat(inside, many)
+            head = np.repeat(np.arange(len(heads)), many)
             of = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            pos = inside[heads[head]]
             same = np.ones(len(pos), bool)
             for k in range(n):
                 same &= hashes[pos + k] == self.hashes[self.first[item[of]] + at[of] + k]
-            pos, of = pos[same], of[same]
-            if not len(pos):
-                continue
-            row = np.searchsorted(first, pos, "right") - 1
-            order = np.lexsort((pos, item[of], row))
-            pos, of, row = pos[order], of[order], row[order]
-            which = item[of]
-            heads = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(which) != 0))))
-            for s, e in zip(heads.tolist(), np.append(heads[1:], len(pos)).tolist(), strict=True):
-                i, r = int(which[s]), int(row[s])
+            head, of = head[same], of[same]
+            which, in_row = item[of], row[heads[head]]
+            order = np.lexsort((head, which, in_row))
+            head, of, which, in_row = head[order], of[order], which[order], in_row[order]
+            edges = np.flatnonzero(np.concatenate(([True], (np.diff(in_row) != 0) | (np.diff(which) != 0)))) if len(of) else np.zeros(0, np.int64)
+            for s, e in zip(edges.tolist(), np.append(edges[1:], len(of)).tolist(), strict=True):
+                i, r = int(which[s]), int(in_row[s])
                 if self._reach(at[of[s:e]], n) < coverage * self.sizes[i]:
                     continue
-                tiles = tile(np.stack([pos[s:e] - first[r], at[of[s:e]]], axis=1), n)
+                own = times[head[s:e]]
+                if own.sum() <= MOST_PAIRS:
+                    k = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+                    places = inside[np.repeat(heads[head[s:e]], own) + k]
+                    tiles = tile(np.stack([places - first[r], np.repeat(at[of[s:e]], own)], axis=1), n)
+                else:
+                    tiles = tile_by_length(hashes[first[r] : first[r + 1]], self.hashes[self.first[i] : self.first[i + 1]], n)
                 covered = sum(t[2] for t in tiles)
                 if covered >= coverage * self.sizes[i]:
                     yield r, i, covered, tiles
@@ -131,13 +185,18 @@ class Index:
 
 
 def _blocks(benchmark: DataFrame, seed: int) -> Iterator[Index]:
-    """The benchmark in indexed blocks of bounded size."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = int(-(-total // BLOCK_BYTES))
-    for i in range(count):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == i).collect()
-        yield Index([r["item_id"] for r in rows], [r["text"] for r in rows], seed)
+    """The benchmark in indexed blocks of bounded size, read one partition at a time."""
+    rows, size = [], 0
+    items = bounded(benchmark).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    for r in items.toLocalIterator():
+        n = len((r["text"] or "").encode())
+        if rows and size + n > BLOCK_BYTES:
+            yield Index([x["item_id"] for x in rows], [x["text"] for x in rows], seed)
+            rows, size = [], 0
+        rows.append(r)
+        size += n
+    if rows:
+        yield Index([x["item_id"] for x in rows], [x["text"] for x in rows], seed)
 
 
 def _tilings(index, coverage: float, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -175,7 +234,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, covera
     Null or empty texts and items match nothing; null ids are returned as null; repeated
     rows give repeated pairs; an empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = slim(docs)
     done = docs.sparkSession.createDataFrame([], _PAIRS)
     for index in _shared(docs.sparkSession, benchmark, seed):
         done = done.unionByName(docs.mapInArrow(on_batches(_tilings, index, coverage), _PAIRS))
@@ -184,7 +243,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, covera
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
     """The documents, all columns, without those that cover a benchmark item."""
-    schema = T.StructType(docs.schema.fields)
+    schema = T.StructType(bounded(docs).schema.fields)
     for index in _shared(docs.sparkSession, benchmark, seed):
         docs = docs.mapInArrow(on_batches(_clean, index, coverage), schema)
     return docs
