@@ -64,3 +64,26 @@ def test_vocabulary_must_be_complete(tmp_path, monkeypatch):
     monkeypatch.setattr(tokencount, "MOST_BYTES", 3)
     with pytest.raises(ValueError):
         Vocabulary.load(str(f))
+
+
+def test_long_pretokens_share_prefixes_and_are_quick(monkeypatch):
+    import random
+    import time
+
+    import numpy as np
+
+    from vecspark.llm import tokencount
+
+    rng = random.Random(6)
+    pieces = [bytes([b]) for b in range(256)] + sorted({bytes(rng.choices(b"abc", k=rng.randint(2, 6))) for _ in range(60)})
+    own = tokencount.Vocabulary(pieces)
+    words = sorted({bytes(rng.choices(b"abc", k=rng.randint(1, 30))) for _ in range(200)} | {b"abcab" * n for n in range(1, 9)})
+    want = tokencount._by_level(words, own)
+    assert np.array_equal(tokencount._depth_first(words, own), want)
+    monkeypatch.setattr(tokencount, "STRETCH", 5)
+    assert np.array_equal(tokencount._depth_first(words, own), want)
+    monkeypatch.undo()
+    began = time.time()
+    long = bytes(rng.choices(b"abcdefgh", k=1_000_000))
+    assert tokencount.count_tokens(sorted([long, long[:-1], b"ab"]), own)[-1] > 0 and time.time() - began < 30
+    assert tokencount.Vocabulary(pieces).key == own.key != tokencount.Vocabulary(pieces[:256]).key

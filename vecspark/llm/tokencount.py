@@ -2,14 +2,19 @@
 
 The distinct pre-tokens of a slice of text, sorted, are a trie: words that share a prefix
 stand together. Forward scores are computed level by level, once for each trie node, so
-once for each shared prefix; the node where a pre-token ends stores its token count. A
-piece of rank r has probability proportional to ``1 / (r + 1)`` and the best-scoring
-segmentation counts (ties: the longer last piece).
+once for each shared prefix; the node where a pre-token ends stores its token count. The
+few pre-tokens of more than ``LONG`` bytes are a trie of their own, walked depth first: each
+goes on from the scores of the prefix that it shares with the one before.
+
+A rank file has no probabilities; a piece of rank r gets one proportional to ``1 / (r + 1)``
+(Zipf's law, ranks being in order of frequency). The best-scoring segmentation counts
+(ties: the longer last piece).
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -19,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm import textkit as tk
-from vecspark.llm.chunks import on_batches
+from vecspark.llm.chunks import on_batches, slim
 
 #: Fixed value: the pattern that splits text for the byte-level rank files.
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -27,6 +32,8 @@ PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 MOST_BYTES = 64 << 20
 #: Pre-tokens whose counts a worker remembers, and text counted at once.
 REMEMBERED, SLICE = 400_000, 1 << 20
+#: Bytes beyond which pre-tokens are walked depth first, and positions whose pieces are looked up at once.
+LONG, STRETCH = 64, 1 << 16
 
 _BASE = 0x9E3779B97F4A7C15
 
@@ -35,10 +42,13 @@ class Vocabulary:
     """Pieces of a rank file, by length and hash, with their log-probabilities."""
 
     def __init__(self, pieces: list[bytes]):
-        if not all(bytes([b]) in set(pieces) for b in range(256)):
+        known = set(pieces)
+        if not all(bytes([b]) in known for b in range(256)):
             raise ValueError("the vocabulary must hold every single byte")
         score = -np.log(np.arange(1, len(pieces) + 1)) - np.log((1 / np.arange(1, len(pieces) + 1)).sum())
         self.by_length: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        #: Names the vocabulary by its content.
+        self.key = hashlib.blake2b(b"".join(len(p).to_bytes(4, "little") + p for p in pieces), digest_size=16).hexdigest()
         sizes = np.array([len(p) for p in pieces])
         for n in np.unique(sizes).tolist():
             own = np.flatnonzero(sizes == n)
@@ -73,6 +83,50 @@ def _spans(sums: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
 
 def count_tokens(words: list[bytes], vocabulary: Vocabulary) -> np.ndarray:
     """Tokens of each of the distinct words, which are sorted."""
+    long = np.array([len(w) > LONG for w in words], bool)
+    out = np.zeros(len(words), np.int64)
+    out[~long] = _by_level([w for w in words if len(w) <= LONG], vocabulary)
+    out[long] = _depth_first([w for w in words if len(w) > LONG], vocabulary)
+    return out
+
+
+def _depth_first(words: list[bytes], vocabulary: Vocabulary) -> list[int]:
+    """The same, word after word; forward scores and token counts of the last word's prefixes are kept."""
+    out: list[int] = []
+    score, tokens, last = [0.0], [0], np.zeros(0, np.uint8)
+    for word in words:
+        flat = np.frombuffer(word, np.uint8)
+        differ = np.flatnonzero(flat[: len(last)] != last[: len(flat)])
+        shared = int(differ[0]) if len(differ) else min(len(flat), len(last))
+        del score[shared + 1 :], tokens[shared + 1 :]
+        sums = _sums(flat)
+        for lo in range(shared, len(flat), STRETCH):
+            hi = min(len(flat), lo + STRETCH)
+            ends, sizes, gains = [], [], []
+            for n, hashes, scores, table in reversed(vocabulary.by_length):
+                start = np.arange(max(0, lo + 1 - n), hi + 1 - n)
+                h = _spans(sums, start, n)
+                may = np.flatnonzero(table[(h >> np.uint64(46)).astype(np.int64)])
+                at = np.minimum(np.searchsorted(hashes, h[may]), len(hashes) - 1)
+                hit = hashes[at] == h[may]
+                ends.append(start[may[hit]] + n)
+                sizes.append(np.full(len(ends[-1]), n))
+                gains.append(scores[at[hit]])
+            end = np.concatenate(ends)
+            order = np.argsort(end, kind="stable")  # of one end, the longest piece first
+            for e, n, gain in zip(end[order].tolist(), np.concatenate(sizes)[order].tolist(), np.concatenate(gains)[order].tolist(), strict=True):
+                total = score[e - n] + gain
+                if e == len(score):
+                    score.append(total)
+                    tokens.append(tokens[e - n] + 1)
+                elif total > score[e]:
+                    score[e], tokens[e] = total, tokens[e - n] + 1
+        out.append(tokens[len(flat)])
+        last = flat
+    return out
+
+
+def _by_level(words: list[bytes], vocabulary: Vocabulary) -> np.ndarray:
     sizes = np.array([len(w) for w in words], np.int64)
     out = np.zeros(len(words), np.int64)
     if not len(words):
@@ -119,7 +173,7 @@ def count_tokens(words: list[bytes], vocabulary: Vocabulary) -> np.ndarray:
 
 
 _known: dict[str, int] = {}
-_known_by: int | None = None
+_known_by: str | None = None
 _pattern = None
 
 
@@ -129,9 +183,9 @@ def _counts(shared, pattern: str, batch: pa.RecordBatch) -> Iterator[pa.RecordBa
 
     if _pattern is None or _pattern.pattern != pattern:
         _pattern = regex.compile(pattern)
-    if _known_by != shared.id:
+    if _known_by != shared.key:
         _known.clear()
-        _known_by = shared.id
+        _known_by = shared.key
     for part in tk.slices(batch, "text", SLICE):
         found = [_pattern.findall(t) if t else [] for t in part.column(1).to_pylist()]
         distinct = set().union(*found)
@@ -143,10 +197,10 @@ def _counts(shared, pattern: str, batch: pa.RecordBatch) -> Iterator[pa.RecordBa
 
 
 class _Shared:
-    """A broadcast vocabulary with an id that workers keep counts by."""
+    """A broadcast vocabulary with the key that workers keep counts by."""
 
-    def __init__(self, broadcast, id_: int):
-        self._broadcast, self.id = broadcast, id_
+    def __init__(self, broadcast, key: str):
+        self._broadcast, self.key = broadcast, key
 
     @property
     def value(self) -> Vocabulary:
@@ -160,6 +214,6 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, pattern: str = PRETOKE
     rows count alike; columns other than ``doc_id`` and ``text`` are ignored; an empty
     table gives an empty result. The vocabulary is of checked size.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = slim(docs)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    return docs.mapInArrow(on_batches(_counts, _Shared(sent, id(sent)), pattern), "doc_id long, n_pretokens long, n_tokens long")
+    return docs.mapInArrow(on_batches(_counts, _Shared(sent, vocabulary.key), pattern), "doc_id long, n_pretokens long, n_tokens long")
