@@ -16,8 +16,8 @@ from vecspark.llm.mixing import mix
 from vecspark.llm.neardup import near_duplicates
 from vecspark.llm.secrets import redact_secrets
 
-#: Least calibrated probability of a document's language; texts in two languages stay well above.
-LANGUAGE_SCORE = 0.35
+#: Least calibrated probability of a document's language: likelier than all others together.
+LANGUAGE_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +32,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that of the smallest id, in one row.
 
-    Documents without an id cannot be grouped and all stay.
+    Of rows with one id, that of the least text stays (null last; then by the other
+    columns), so reruns agree. Documents without an id cannot be grouped and all stay.
     """
-    kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    kept = cut(near_duplicates(docs).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    once = docs.join(kept.filter("n = 1").select("doc_id"), "doc_id", "left_semi")
+    again = docs.join(kept.filter("n > 1").select("doc_id"), "doc_id", "left_semi")
+    order = F.struct(F.col("text").isNull(), "text", F.to_json(F.struct(*(c for c in docs.columns if c != "text"))))
+    first = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
+    return once.unionByName(first).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
