@@ -11,7 +11,7 @@ from vecspark.plans import queries as vectors
 
 HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 DATA = "/root/testdata/sf0.001"
-HEADLINE = ["knn_exact", "knn_seeded_pca", "ivf_search", "pq_refine", "dco_ads", "hnsw_full_width", "finger_edges", "prune_summary", "fvecs_round_trip", "stream_ingest_and_search"]
+HEADLINE = ["knn_exact", "knn_seeded_pca", "knn_seeded_opq", "ivf_search", "ivf_recall", "pq_refine_recall", "kmeans_cells", "pca_spectrum", "dco_ads", "hnsw_full_width", "hnsw_update", "hnsw_pq_qeo", "hnsw_finger", "hnsw_two_hops", "finger_edges", "prune_summary", "fvecs_round_trip", "stream_ingest_and_search"]
 
 
 def norm(v):

@@ -1,10 +1,12 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.util import SCHEMA, exact, frame, rows, vectors
 from vecspark.functions import dco, transforms
 from vecspark.operators import ivf, knn as K, linear, metrics
+from vecspark.operators.blocks import through_shards
 from vecspark.plans import planner
 
 X = vectors()
@@ -41,6 +43,13 @@ def test_large_query_sets_go_in_blocks(spark, base, asked, monkeypatch):
     assert rows(K.knn(base, asked, 9)) == exact(X, QUERIES, 9)
     assert rows(K.knn_sql(base, asked, 9, 24)) == exact(X, QUERIES, 9)
     assert K.pairs(base, asked).count() == len(X) * len(QUERIES)
+    for metric, best in (("l2_via_ip", 0), ("ip", 1), ("ip_distance", 1)):
+        got = rows(K.knn_products(base, asked, 9, metric))
+        if best:
+            order = lambda q: np.lexsort((np.arange(len(X)), np.round(-(X.astype(float) @ np.asarray(q, float)), 9)))[:9]
+            assert got == sorted((q[0], r + 1, int(i)) for q in QUERIES for r, i in enumerate(order(q[1])))
+        else:
+            assert got == exact(X, QUERIES, 9)
     tau = K.seed_tau(base, asked, 9, F.col("vec_id") % 3 == 0)
     assert rows(K.knn(base, asked, 9, dco.paa_kernel(24, 6), tau)) == exact(X, QUERIES, 9)
 
@@ -53,6 +62,18 @@ def test_lossless_pruning_is_exact(spark, base, asked):
         assert rows(K.knn(base, asked, 10, kernel)) == exact(X, QUERIES, 10)
 
 
+def test_few_vectors_are_judged_alike(monkeypatch):
+    rng = np.random.default_rng(2)
+    q, x = rng.normal(size=(5, 24)), rng.normal(size=(60, 24))
+    tau = np.quantile(((x[None] - q[:, None]) ** 2).sum(axis=2), 0.3, axis=1)
+    for operator in (dco.Incremental(None, 5), dco.Incremental(transforms.random_rotation(24), 8, 1.0), dco.Incremental(None, 24), dco.Incremental(None, 7, amplify=np.linspace(3, 1, 24))):
+        few = operator.judge(q, operator.project(x), tau)
+        monkeypatch.setattr(dco, "FEW", 0)
+        many = operator.judge(q, operator.project(x), tau)
+        monkeypatch.undo()
+        assert (few[0] == many[0]).all() and np.allclose(few[1], many[1]) and (few[2] == many[2]).all()
+
+
 def test_lossy_pruning_has_recall(spark, base, asked):
     truth = K.knn(base, asked, 10)
     for kernel in (dco.Incremental(transforms.random_rotation(24), 8, 2.1), dco.lsh_kernel(transforms.gaussian_projection(24, 12)), dco.Codes(linear.codebook(base, 6, 16, 5), epsilon=1.2)):
@@ -153,6 +174,27 @@ def test_metrics(spark, base, asked, monkeypatch):
     assert {r["method"]: r["relative"] for r in metrics.relative_accuracy(runs, "a").collect()} == {"a": 1.0, "b": 0.5}
 
 
+def test_planner_raises_the_effort_until_the_recall_is_met(spark, base, asked):
+    truth = K.knn(base, asked, 5)
+    for plan in (planner.Plan("ivf", cells=12, nprobe=1), planner.Plan("hnsw", ef=1)):
+        found, used = planner.search(plan, base, asked, 5, 0.95)
+        assert metrics.recall(found, truth, 5).agg(F.avg("recall")).first()[0] >= 0.95 and (used.nprobe, used.ef) >= (plan.nprobe, plan.ef)
+
+
+def test_shards_stream_their_queries(spark):
+    """Every shard meets every query once, in blocks; shards without rows or queries are passed over."""
+    base = spark.range(50).selectExpr("cast(id % 5 * 2 as int) as shard", "id", "array(double(id)) as v")
+    asked = spark.range(100, 123).selectExpr("id", "array(1.0D) as v", "cast(id as string) as note")
+
+    def answer(held, block):
+        assert len(block.ids) <= 4 and block.column("note").to_pylist() == [str(i) for i in block.ids]
+        return pa.RecordBatch.from_pydict({"q": block.ids, "n": [len(held.ids)] * len(block.ids), "s": [float(held.matrix.sum())] * len(block.ids)})
+
+    got = through_shards(base, asked, 11, 4, lambda rows: rows, answer, "q long, n long, s double").collect()
+    assert len(got) == 23 * 5 and {r["n"] for r in got} == {10}
+    assert sum(r["s"] for r in got) == 23 * sum(range(50))
+
+
 def test_planner(spark, base, asked):
     assert planner.choose(10**9, 1000).method == "exact" and planner.choose(100, 5, 0.9).method == "exact"
     assert planner.choose(10**9, 1000, 0.95).method == "ivf" and planner.choose(10**7, 10**7, 0.9).method == "hnsw"

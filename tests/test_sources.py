@@ -103,3 +103,49 @@ def test_stream(spark, tmp_path):
     old = hnsw.build(frame(spark, X, range(100, 150)), hnsw.Build(m=6, width=40), 1)
     both = ingest.search(spark, str(tmp_path / "t2"), q, 4, lambda a, k: hnsw.search(old, a, k, hnsw.Search(ef=100)))
     assert rows(both) == exact(np.vstack([changed[ids], X]), asked, 4, [*ids, *range(100, 150)])
+
+
+def test_large_files_are_split(spark, tmp_path, monkeypatch):
+    x = vectors(300, 10)
+    for number, part in enumerate((x[:170], x[170:])):
+        (tmp_path / f"v{number}").write_bytes(files.encode_vecs(part, "<f4"))
+    (tmp_path / "bare").mkdir()
+    (tmp_path / "bare" / "b").write_bytes(x.tobytes())
+    whole = {r["vec_id"]: r["embedding"] for r in files.read_fvecs(spark, str(tmp_path / "v*")).collect()}
+    monkeypatch.setattr(files, "WHOLE", 100)
+    split = {r["vec_id"]: r["embedding"] for r in files.read_fvecs(spark, str(tmp_path / "v*")).collect()}
+    assert whole == split and len(split) == 300 and np.allclose(split[299], x[299])
+    bare = {r["vec_id"]: r["embedding"] for r in files.read_bin(spark, str(tmp_path / "bare"), 10).collect()}
+    assert bare == split
+    (tmp_path / "bad").write_bytes(files.encode_vecs(x, "<f4")[:-3])
+    with pytest.raises(files.FormatError):
+        files.read_fvecs(spark, str(tmp_path / "bad"))
+
+
+def test_graph_files_and_curves(spark, tmp_path):
+    x = vectors(120, 8)
+    index = hnsw.build(frame(spark, x), hnsw.Build(m=5, width=30), 2).cache()
+    assert indexes.write_graph_files(index, f"file://{tmp_path}/graph", 5, 30) == 2
+    back = indexes.read_graph_file(spark, f"{tmp_path}/graph", 8)
+    plain = lambda f: {r["vec_id"]: (r["embedding"], [sorted(n) for n in r["links"]]) for r in f.collect()}
+    assert plain(back) == plain(index) and hnsw.integrity(back).count() == 0
+    with pytest.raises(indexes.FormatError):
+        indexes.decode_graph(b"x" * 200, 8)
+    (tmp_path / "a.log").write_text("10 0.1 5 aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa\nagain\n||| note aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa\n100 95.5 1500.0 aaaaaaaaaaaaaaaaaaaaaaaaaaa\n200 99.0 2500.0 aaaaaaaaaaaaaaaaaaaaaaaaaaa\n")
+    got = [(r["setting"], r["recall"], r["ms"]) for r in indexes.read_curve(spark, str(tmp_path / "a.log")).orderBy("pos").collect()]
+    assert got == [("100", 95.5, 1.5), ("200", 99.0, 2.5)]
+
+
+def test_inserted_and_moved_nodes_keep_the_graph_sound(spark):
+    x = vectors(260, 12)
+    how = hnsw.Build(m=6, width=40)
+    index = hnsw.build(frame(spark, x[:150]), how, 2)
+    for lo in range(150, 250, 50):
+        more = np.vstack([x[lo : lo + 50], x[250:260]])
+        index = hnsw.insert(index, frame(spark, more, [*range(lo, lo + 50), *range(lo - 120, lo - 110)]), how, 2).cache()
+        assert hnsw.integrity(index).count() == 0
+    now = x[:250].copy()
+    now[30:40] = now[80:90] = x[250:260]
+    queries = [(i, now[i]) for i in (0, 33, 85, 160, 249)]
+    asked = frame(spark, np.array([q[1] for q in queries]), [q[0] for q in queries])
+    assert rows(hnsw.search(index, as_queries(asked), 10, hnsw.Search(ef=300))) == exact(now, queries, 10)

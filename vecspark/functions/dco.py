@@ -99,6 +99,10 @@ def quantised(pairs: DataFrame, parts: int, epsilon: float = PQ_EPSILON) -> Data
     return sketch(pairs, total, F.col("tau") * F.lit(epsilon), parts)
 
 
+#: Vectors judged all at once instead of step by step.
+FEW = 128
+
+
 class Estimator:
     """A distance-comparison operator as a numpy kernel over blocks of queries and base vectors."""
 
@@ -127,7 +131,23 @@ class Incremental(Estimator):
     def project(self, vectors: np.ndarray) -> np.ndarray:
         return vectors if self.matrix is None else vectors @ self.matrix
 
+    def _judge_few(self, q, x, tau):
+        """The same for few vectors, as a node's neighbours are: all partial distances at once."""
+        dims = x.shape[1]
+        ends = np.array([*range(self.every, dims, self.every), dims])
+        part = np.cumsum(np.add.reduceat((x - q) ** 2, ends - np.diff(ends, prepend=0), axis=1), axis=1)
+        if len(ends) == 1:
+            return np.zeros(len(x), bool), part[:, 0], np.full(len(x), dims)
+        ratio = np.array([(1.0 if self.epsilon is None else ads_ratio(dims, int(e), self.epsilon)) * (1 + SLACK) for e in ends[:-1]])
+        hit = part[:, :-1] > tau * ratio
+        pruned, first = hit.any(axis=1), hit.argmax(axis=1)
+        scale = np.array([dims / e if self.epsilon is not None else 1.0 if self.amplify is None else self.amplify[e - 1] for e in ends[:-1]])
+        return pruned, np.where(pruned, part[np.arange(len(x)), first] * scale[first], part[:, -1]), np.where(pruned, ends[first], dims)
+
     def judge(self, q, x, tau):
+        if 0 < len(x) <= FEW and len(q):
+            own = [self._judge_few(row, x, t) for row, t in zip(q, tau, strict=True)]
+            return tuple(np.stack([o[i] for o in own]) for i in range(3))
         dims = x.shape[1]
         total = np.zeros((len(q), len(x)))
         est = np.zeros_like(total)

@@ -20,12 +20,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.functions.dco import Estimator
-from vecspark.functions.transforms import matrix_of
-from vecspark.operators.knn import BLOCK, BROADCAST_BYTES, nearest, query_bytes
+from vecspark.functions.transforms import lists_of, matrix_of
+from vecspark.operators.blocks import Block, through_shards
+from vecspark.operators.knn import BLOCK, nearest
 
 SHARD_SIZE = 100_000
 _INDEX = "shard int, vec_id long, embedding array<{}>, links array<array<bigint>>"
@@ -127,8 +128,42 @@ class Graph:
         return chosen + rest[: most - len(chosen)]
 
     def build(self, build: Build) -> Graph:
+        self._enter(0, build)
+        return self
+
+    def extend(self, ids: np.ndarray, vectors: np.ndarray, build: Build) -> None:
+        """Adds nodes, in the order given, to a graph whose kept links are known."""
+        first = len(self.ids)
+        self.ids = np.concatenate([self.ids, ids])
+        self.x = np.concatenate([self.x, vectors]) if first else np.array(vectors)
+        self._enter(first, build)
+
+    def move(self, node: int, vector: np.ndarray, build: Build) -> None:
+        """Gives a node another vector: its neighbours choose their links again among theirs and its own, then it is linked anew."""
+        self.x[node] = vector
+        if len(self.ids) < 2:
+            return
+        for level, near in enumerate(self.links[node]):
+            most = 2 * build.m if level == 0 else build.m
+            for other in near.tolist():
+                pool = np.unique(np.concatenate([self.links[other][level], near]))
+                self._choose(other, pool[pool != other], level, most)
+        top = len(self.links[node]) - 1
+        for level in range(top, -1, -1):
+            seen = np.zeros(len(self.ids), np.int64)
+            start = self.descend(vector, level)
+            found = [x for x in self.beam(vector, start, max(build.width, build.m) + 1, level, seen, 1) if x[1] != node]
+            old, self.links[node][level] = self.links[node][level], np.zeros(0, np.int64)
+            own = self.kept[node] if level == 0 else []
+            chosen = list(dict.fromkeys([*own, *self.spread(found, build.m)]))[: 2 * build.m if level == 0 else build.m]
+            self.links[node][level] = np.array(chosen, np.int64) if chosen else old
+            for other in chosen:
+                if node not in self.links[other][level]:
+                    self._choose(other, np.append(self.links[other][level], node), level, 2 * build.m if level == 0 else build.m)
+
+    def _enter(self, first: int, build: Build) -> None:
         seen, epoch = np.zeros(len(self.ids), np.int64), 0
-        for node in range(len(self.ids)):
+        for node in range(first, len(self.ids)):
             level = _level(int(self.ids[node]), build)
             self.links.append([np.zeros(0, np.int64) for _ in range(level + 1)])
             self.kept.append([])
@@ -142,22 +177,24 @@ class Graph:
                     self._connect(node, self.spread(near, build.m), at, build)
             if level > self.top:
                 self.entry, self.top = node, level
-        return self
+
+    def _choose(self, node: int, near: np.ndarray, level: int, most: int) -> None:
+        """Sets a node's links to the best of some; on level 0 kept ones stay."""
+        if len(near) > most:
+            d = self.distances(self.x[node], near)
+            have = self.spread(sorted(zip(d.tolist(), near.tolist(), strict=True)), most)
+            if level == 0 and (lost := [n for n in self.kept[node] if n not in have]):
+                give = [n for n in have if n not in self.kept[node]][-len(lost) :]
+                have = [n for n in have if n not in give] + lost
+            near = np.array(have, np.int64)
+        self.links[node][level] = near
 
     def _connect(self, node: int, chosen: list[int], level: int, build: Build) -> None:
         most = 2 * build.m if level == 0 else build.m
         self.links[node][level] = np.array(chosen, np.int64)
         parent = self._adopt(node, chosen, most) if level == 0 else node
         for other in [*chosen, *([parent] if parent != node and parent not in chosen else [])]:
-            near = np.append(self.links[other][level], node)
-            if len(near) > most:
-                d = self.distances(self.x[other], near)
-                have = self.spread(sorted(zip(d.tolist(), near.tolist(), strict=True)), most)
-                if level == 0 and (lost := [n for n in self.kept[other] if n not in have]):
-                    give = [n for n in have if n not in self.kept[other]][-len(lost) :]
-                    have = [n for n in have if n not in give] + lost
-                near = np.array(have, np.int64)
-            self.links[other][level] = near
+            self._choose(other, np.append(self.links[other][level], node), level, most)
 
     def _adopt(self, node: int, chosen: list[int], most: int) -> int:
         """A node whose link to this one stays: the first chosen with room, or else the next below them."""
@@ -187,13 +224,34 @@ class Graph:
             g.entry, g.top = int(heights.argmax()), int(heights.max()) - 1
         return g
 
-
-class EdgeEstimator:
-    """What a residual estimator provides: judges all neighbours of one expanded node at once."""
-
-    def judge_edges(self, query: int, node: int, near: np.ndarray, dist: float, tau: float) -> tuple[np.ndarray, np.ndarray] | None:
-        """(pruned, estimate) of the neighbours, or None where no estimate can be made."""
-        raise NotImplementedError
+    def protect(self) -> Graph:
+        """Finds the kept links of a stored graph: a tree over level 0 from a node that reaches all, or nearly."""
+        n = len(self.ids)
+        best, parent = 0, np.full(n, -1)
+        for root in range(min(n, 8)):
+            up, queue = np.full(n, -1), [root]
+            up[root] = root
+            for at in queue:
+                near = self.links[at][0]
+                new = near[up[near] < 0]
+                up[new] = at
+                queue += new.tolist()
+            if len(queue) > best:
+                best, parent = len(queue), np.where(up == np.arange(n), -1, up)
+            if best == n:
+                break
+        inbound = {}
+        lone = {int(x) for x in np.flatnonzero(parent < 0)}
+        for at in range(n):
+            for other in self.links[at][0].tolist():
+                if other in lone:
+                    inbound.setdefault(other, at)
+        self.kept = [[] for _ in range(n)]
+        for node in range(n):
+            up = int(parent[node]) if parent[node] >= 0 else inbound.get(node)
+            if up is not None:
+                self.kept[up].append(node)
+        return self
 
 
 class _Counters:
@@ -201,7 +259,7 @@ class _Counters:
         self.full = self.approx = self.total = self.dims = 0
 
 
-def walk(g: Graph, q: np.ndarray, k: int, how: Search, judge=None, edges=None, deleted: np.ndarray | None = None, amplify: bool = False) -> tuple[list[tuple[float, int]], _Counters]:
+def walk(g: Graph, q: np.ndarray, k: int, how: Search, judge=None, edges=None, deleted: np.ndarray | None = None) -> tuple[list[tuple[float, int]], _Counters]:
     """The k nearest live nodes that the beam meets.
 
     ``judge(nodes, tau)`` gives (pruned, estimate, dims) of base vectors; ``edges(node, near,
@@ -296,16 +354,39 @@ def shard_count(index: DataFrame) -> int:
 
 
 def insert(index: DataFrame, more: DataFrame, how: Build = Build(), shards: int | None = None) -> DataFrame:
-    """The index with vectors added or replaced; only shards that receive some are built again.
+    """The index with vectors added or replaced, each by walks through its shard's graph; other shards are not touched.
 
-    ``shards``: their number where known, which saves a pass over the index.
+    Of ids in ``more``, each once, known ones get their new vectors and their links are
+    repaired; new ones enter in order of their ids. ``shards``: their number where known,
+    which saves a pass over the index.
     """
     shards = shards or shard_count(index)
-    news = more.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), "vec_id", F.col("embedding").cast(index.schema["embedding"].dataType).alias("embedding"))
+    kind = index.schema["embedding"].dataType
+    news = more.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), "vec_id", F.col("embedding").cast(kind).alias("embedding"))
     touched = news.select("shard").distinct()
-    old = index.join(touched, "shard", "left_semi").select("shard", "vec_id", "embedding").join(news.select("vec_id"), "vec_id", "left_anti")
-    again = old.select("shard", "vec_id", "embedding").unionByName(news)
-    return index.join(touched, "shard", "left_anti").select("shard", "vec_id", "embedding", "links").unionByName(build(again.select("vec_id", "embedding"), how, shards))
+    old = index.select("shard", "vec_id", "embedding", "links").join(touched, "shard", "left_semi")
+
+    def run(key, have, new):
+        have, new = have.sort_by("vec_id"), new.sort_by("vec_id")
+        x = np.array(matrix_of(new.column("embedding")))
+        ids = new.column("vec_id").to_numpy()
+        g = Graph(np.zeros(0, np.int64), np.zeros((0, x.shape[1])))
+        if have.num_rows:
+            g = Graph.of(have.column("vec_id").to_numpy(), np.array(matrix_of(have.column("embedding"))), have.column("links").to_pylist()).protect()
+        known = np.isin(ids, g.ids)
+        for i in np.flatnonzero(known).tolist():
+            g.move(int(np.searchsorted(g.ids, ids[i])), x[i], how)
+        if not known.all():
+            g.extend(ids[~known], x[~known], how)
+        n = len(g.ids)
+        links = [[g.ids[near].tolist() for near in levels] for levels in g.links]
+        vectors = lists_of(g.x, new.schema.field("embedding").type.value_type)
+        shard = (new if new.num_rows else have).column("shard")[0].as_py()
+        return pa.table({"shard": pa.array([shard] * n, pa.int32()), "vec_id": pa.array(g.ids, pa.int64()), "embedding": vectors, "links": pa.array(links, pa.list_(pa.list_(pa.int64())))})
+
+    both = (frame.repartition(shards, "shard").groupBy("shard") for frame in (old, news))
+    done = next(both).cogroup(next(both)).applyInArrow(run, _INDEX.format(kind.elementType.simpleString()))
+    return index.select("shard", "vec_id", "embedding", "links").join(touched, "shard", "left_anti").unionByName(done)
 
 
 def links(index: DataFrame) -> DataFrame:
@@ -333,44 +414,41 @@ def integrity(index: DataFrame) -> DataFrame:
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, how: Search = Search(), estimator: Estimator | None = None, deleted: DataFrame | None = None, finger=None, shards: int | None = None) -> DataFrame:
-    """``qid, rank, vec_id, dist`` and the counters ``full, approx, total, dims`` of each query.
+    """``qid, rank, vec_id, dist`` and the counters ``full, approx, total, dims`` of each query, over all its shards.
 
     ``deleted``: ids (``vec_id``) that are walked through but not returned. ``finger``: a
-    ``Residuals`` basis; its per-edge values are made where the shard is searched.
+    ``Residuals`` basis; its per-edge values are made where the shard is searched. The index
+    is exchanged once, whatever the number of queries; these pass each shard in blocks.
     ``shards``: their number where known, which saves a pass over the index.
     """
-    side = index.select("shard", "vec_id", F.col("embedding").cast("array<double>").alias("x"), "links")
-    gone = deleted.select("vec_id").distinct().withColumn("dead", F.lit(True)) if deleted is not None else None
-    side = side.join(gone, "vec_id", "left").withColumn("dead", F.coalesce("dead", F.lit(False))) if gone is not None else side.withColumn("dead", F.lit(False))
-    n, size = query_bytes(queries)
-    blocks = 1 if size <= BROADCAST_BYTES else -(-n // BLOCK)
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    count = shards or shard_count(index)
-    asked = queries.select("qid", "q", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", every(count))
-    side = side.withColumn("block", every(blocks))
-
-    def run(key, table, q):
+    side = index.select("shard", F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "links")
+    gone = deleted.select(F.col("vec_id").alias("id")).distinct().withColumn("dead", F.lit(True)) if deleted is not None else None
+    side = side.join(gone, "id", "left").withColumn("dead", F.coalesce("dead", F.lit(False))) if gone is not None else side.withColumn("dead", F.lit(False))
+
+    def load(rows: Block):
+        rows = Block(rows.table.sort_by("id"))
+        g = Graph.of(rows.ids, rows.matrix, rows.column("links").to_pylist())
+        dead = rows.column("dead").to_numpy()
+        return g, dead, estimator.project(g.x) if estimator is not None else None, finger.prepare(g) if finger is not None else None
+
+    def answer(held, asked: Block) -> pa.RecordBatch:
+        g, dead, sketched, prepared = held
+        points = asked.matrix
+        tables = estimator.table(points) if estimator is not None else None
         out: dict[str, list] = {c: [] for c in ("qid", "vec_id", "dist", "full", "approx", "total", "dims")}
-        if table.num_rows and q.num_rows:
-            table = table.sort_by("vec_id")
-            ids = table.column("vec_id").to_numpy()
-            g = Graph.of(ids, matrix_of(table.column("x")), table.column("links").to_pylist())
-            dead = np.array(table.column("dead").to_pylist(), bool)
-            points = matrix_of(q.column("q"))
-            sketched = estimator.project(g.x) if estimator is not None else None
-            tables = estimator.table(points) if estimator is not None else None
-            prepared = finger.prepare(g) if finger is not None else None
-            for i, qid in enumerate(q.column("qid").to_pylist()):
-                judge = (lambda near, tau, i=i: tuple(v[0] for v in estimator.judge(tables[i : i + 1], sketched[near], np.array([tau])))) if estimator is not None else None
-                on_edges = finger.judge_for(prepared, points[i]) if finger is not None else None
-                hits, c = walk(g, points[i], k, how, judge, on_edges, dead)
-                for d, node in hits:
-                    for name, value in zip(out, (qid, int(ids[node]), d, c.full, c.approx, c.total, c.dims), strict=True):
-                        out[name].append(value)
+        for i, qid in enumerate(asked.ids.tolist()):
+            judge = (lambda near, tau, i=i: tuple(v[0] for v in estimator.judge(tables[i : i + 1], sketched[near], np.array([tau])))) if estimator is not None else None
+            on_edges = finger.judge_for(prepared, points[i]) if finger is not None else None
+            hits, c = walk(g, points[i], k, how, judge, on_edges, dead)
+            for nth, (d, node) in enumerate(hits):
+                counts = (0, 0, 0, 0) if nth else (c.full, c.approx, c.total, c.dims)
+                for name, value in zip(out, (qid, int(g.ids[node]), d, *counts), strict=True):
+                    out[name].append(value)
         kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 4]
-        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds, strict=True)})
+        return pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds, strict=True)})
 
-    parts = count * blocks
-    side, asked = side.repartition(parts, "shard", "block"), asked.repartition(parts, "shard", "block")
-    found = side.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(run, _FOUND)
+    asked = queries.select(F.col("qid").alias("id"), F.col("q").alias("v"))
+    found = through_shards(side, asked, shards or shard_count(index), BLOCK, load, answer, _FOUND)
+    over = Window.partitionBy("qid")
+    found = found.withColumns({c: F.sum(c).over(over) for c in ("full", "approx", "total", "dims")})
     return nearest(found, k).select("qid", F.col("rank").cast("int").alias("rank"), "vec_id", "dist", "full", "approx", "total", "dims")

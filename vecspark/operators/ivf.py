@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from vecspark.functions.dco import Estimator
 from vecspark.functions.distance import l2sq
 from vecspark.functions.transforms import MOST_CELLS, matrix_of
-from vecspark.operators.knn import SHARD, TopK, _batch_knn, nearest
+from vecspark.operators.blocks import through_shards
+from vecspark.operators.knn import BLOCK, SHARD, _best_of, held_parts, nearest
 from vecspark.operators.linear import _closest
 
 _FOUND = "qid long, vec_id long, dist double"
@@ -74,29 +75,44 @@ def probes(queries: DataFrame, centroids: np.ndarray, nprobe: int) -> DataFrame:
     return queries.select("qid", "q").mapInArrow(run, "qid long, q array<double>, cell int")
 
 
+def _pieces(filed: DataFrame) -> DataFrame:
+    """``cell, pieces``: in how many pieces of about ``SHARD`` vectors a list is searched."""
+    return filed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("pieces"))
+
+
+def _probed(filed: DataFrame, asked: DataFrame, cells: int) -> DataFrame:
+    """The lists that are asked for; of lists stored by cell no others are read."""
+    wanted = sorted(r["cell"] for r in asked.select("cell").distinct().collect())
+    return filed if len(wanted) == cells else filed.filter(F.col("cell").isin(wanted))
+
+
 def search_sql(filed: DataFrame, queries: DataFrame, centroids: np.ndarray, nprobe: int, k: int, dims: int | None) -> DataFrame:
-    """``qid, rank, vec_id, dist`` over the probed lists, as an equi-join on the cell."""
+    """``qid, rank, vec_id, dist`` over the probed lists, as an equi-join on the cell and the piece of a long list."""
     asked = probes(queries, centroids, nprobe)
-    met = filed.select("cell", "vec_id", F.col("embedding").cast("array<double>").alias("x")).join(asked, "cell")
+    filed = _probed(filed, asked, len(centroids))
+    pieces = F.broadcast(_pieces(filed))
+    left = filed.join(pieces, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).alias("piece"), "vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    right = asked.join(pieces, "cell").withColumn("piece", F.explode(F.expr("sequence(0L, pieces - 1L)"))).drop("pieces")
+    met = left.join(right, ["cell", "piece"])
     return nearest(met.select("qid", "vec_id", l2sq(F.col("q"), F.col("x"), dims).alias("dist")), k).select("qid", "rank", "vec_id", "dist")
 
 
 def search(filed: DataFrame, queries: DataFrame, centroids: np.ndarray, nprobe: int, k: int, estimator: Estimator | None = None) -> DataFrame:
     """The same with a running k-th distance in every list, which an estimator is held against.
 
-    Lists longer than ``SHARD`` vectors are split, their probes repeated for each piece.
+    Lists longer than ``SHARD`` vectors are split, their probes repeated for each piece;
+    only lists that are asked for are read, each exchanged once, and queries pass them in
+    blocks.
     """
-    sizes = filed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", F.ceil(F.col("n") / SHARD).cast("int").alias("pieces"))
-    left = filed.join(sizes, "cell").withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("pieces")))
-    right = probes(queries, centroids, nprobe).join(sizes, "cell").withColumn("piece", F.explode(F.expr("sequence(0L, pieces - 1L)")))
-    left = left.select("cell", "piece", "vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    right = right.select("cell", "piece", "qid", "q")
-
-    def run(key, x, q):
-        if not x.num_rows or not q.num_rows:
-            return pa.Table.from_batches([TopK(np.zeros(0, np.int64), np.zeros((0, 1)), k).rows()])
-        batches = x.select(["vec_id", "x"]).combine_chunks().to_batches()
-        return pa.Table.from_batches(_batch_knn(batches, q.column("qid").to_numpy(), matrix_of(q.column("q")), k, None, estimator))
-
-    found = left.groupBy("cell", "piece").cogroup(right.groupBy("cell", "piece")).applyInArrow(run, _FOUND)
+    asked = probes(queries, centroids, nprobe)
+    filed = _probed(filed, asked, len(centroids))
+    # One row per cell: pieces are numbered through.
+    sizes = _pieces(filed).withColumn("first", F.coalesce(F.sum("pieces").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    sizes = sizes.sparkSession.createDataFrame(sizes.collect(), sizes.schema)
+    shards = max(1, int(sizes.agg(F.sum("pieces")).first()[0] or 0))
+    near = F.broadcast(sizes)
+    left = filed.join(near, "cell").select((F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("pieces"))).cast("int").alias("shard"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    right = asked.join(near, "cell").select(F.explode(F.expr("sequence(first, first + pieces - 1)")).alias("shard"), F.col("qid").alias("id"), F.col("q").alias("v"))
+    answer = lambda parts, block: _best_of(parts, block.ids, block.matrix, k, None, estimator)
+    found = through_shards(left, queries, shards, BLOCK, lambda rows: held_parts(rows, estimator), answer, _FOUND, asks=right)
     return nearest(found, k).select("qid", F.col("rank").cast("int").alias("rank"), "vec_id", "dist")

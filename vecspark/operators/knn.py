@@ -1,8 +1,8 @@
 """Exact nearest neighbours, ranges and pairs.
 
 Results are ordered by ``(distance, vec_id)``. A query set small enough is broadcast after
-its size was checked; a larger one meets the base in blocks, an equi-join on block and
-shard numbers in which every task holds one block of each side.
+its size was checked; of a larger one every shard of the base gets a copy, in blocks that pass
+the shard, so that the base is exchanged once.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vecspark.functions.dco import Estimator
 from vecspark.functions.distance import inner_product, l2sq, l2sq_block, l2sq_screen, l2sq_via_ip, norm2
 from vecspark.functions.transforms import matrix_of
+from vecspark.operators.blocks import Block, through_shards
 
 #: Queries are broadcast up to this size, and otherwise taken in blocks of this many rows.
 BROADCAST_BYTES = 32 << 20
@@ -36,16 +37,13 @@ def query_bytes(queries: DataFrame) -> tuple[int, int]:
 
 def meet(base: DataFrame, queries: DataFrame) -> DataFrame:
     """Every pair of a base row and a query, all columns of both (names must differ)."""
-    n, size = query_bytes(queries)
+    _, size = query_bytes(queries)
     if size <= BROADCAST_BYTES:
         return base.crossJoin(F.broadcast(queries))
-    blocks = -(-n // BLOCK)
     shards = max(1, -(-base.count() // SHARD))
-    number = lambda by, count: F.pmod(F.xxhash64(by), F.lit(count))
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = base.withColumn("__shard", number("vec_id", shards)).withColumn("__block", every(blocks))
-    right = queries.withColumn("__block", number("qid", blocks)).withColumn("__shard", every(shards))
-    return left.join(right, ["__block", "__shard"]).drop("__block", "__shard")
+    left = base.withColumn("__shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    right = queries.withColumn("__shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    return left.join(right, "__shard").drop("__shard")
 
 
 def pairs(vectors: DataFrame, queries: DataFrame) -> DataFrame:
@@ -126,19 +124,32 @@ def _collect(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return table.column("qid").to_numpy(), matrix_of(table.column("q"))
 
 
-def _batch_knn(batches, qids, queries, k, tau, estimator):
+def _limits(tau: np.ndarray) -> np.ndarray:
+    return np.where(np.isnan(tau), np.inf, tau)
+
+
+STRIP = 4096
+
+
+def _best_of(parts, qids, queries, k, tau, estimator) -> pa.RecordBatch:
+    """The k best over parts of the base: ids, vectors and, with an estimator, their projections."""
     best = TopK(qids, queries, k, tau)
     side = estimator.table(queries) if estimator is not None and len(queries) else None
+    for ids, x, seen in parts:
+        if side is None:
+            best.add(ids, x)
+        elif len(ids):
+            pruned, _, _ = estimator.judge(side, seen, best.limit)
+            best.add(ids, x, ~pruned)
+    return best.rows()
+
+
+def _parts(batches, estimator):
     for batch in batches:
-        for lo in range(0, batch.num_rows, 4096):
-            part = batch.slice(lo, 4096)
-            ids, x = part.column(0).to_numpy(zero_copy_only=False), matrix_of(part.column(1))
-            if side is None:
-                best.add(ids, x)
-            elif len(ids):
-                pruned, _, _ = estimator.judge(side, estimator.project(x), best.limit)
-                best.add(ids, x, ~pruned)
-    yield best.rows()
+        for lo in range(0, batch.num_rows, STRIP):
+            part = batch.slice(lo, STRIP)
+            x = matrix_of(part.column(1))
+            yield part.column(0).to_numpy(zero_copy_only=False), x, estimator.project(x) if estimator is not None and len(x) else None
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, estimator: Estimator | None = None, tau: DataFrame | None = None) -> DataFrame:
@@ -150,40 +161,80 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, estimator: Estimator | N
     bounds of the k-th distances that start the thresholds.
     """
     base = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    n, size = query_bytes(queries)
+    _, size = query_bytes(queries)
+    asked = queries.select("qid", "q") if tau is None else queries.select("qid", "q").join(tau.select("qid", "tau"), "qid", "left")
     if size <= BROADCAST_BYTES:
-        qids, q = _collect(queries)
-        limit = None
-        if tau is not None:
-            known = {r["qid"]: r["tau"] for r in tau.collect()}
-            limit = np.array([known.get(int(i), np.inf) for i in qids])
-        shared = vectors.sparkSession.sparkContext.broadcast((qids, q, limit))
+        table = asked.toArrow()
+        limit = None if tau is None else _limits(table.column("tau").to_numpy())
+        shared = vectors.sparkSession.sparkContext.broadcast((table.column("qid").to_numpy(), matrix_of(table.column("q")), limit))
 
         def run(batches):
-            own_qids, own_q, own_limit = shared.value
-            yield from _batch_knn(batches, own_qids, own_q, k, own_limit, estimator)
+            yield _best_of(_parts(batches, estimator), shared.value[0], shared.value[1], k, shared.value[2], estimator)
 
         found = base.mapInArrow(run, _FOUND)
     else:
-        asked = queries.select("qid", "q") if tau is None else queries.select("qid", "q").join(tau, "qid", "left")
-        found = _block_knn(base, asked, n, k, estimator)
+        found = _block_knn(base, asked, k, estimator)
     return nearest(found, k).select("qid", F.col("rank").cast("int").alias("rank"), "vec_id", "dist")
 
 
-def _block_knn(base: DataFrame, queries: DataFrame, n: int, k: int, estimator: Estimator | None) -> DataFrame:
-    blocks, shards = -(-n // BLOCK), max(1, -(-base.count() // SHARD))
-    number = lambda by, count: F.pmod(F.xxhash64(by), F.lit(count))
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = base.withColumn("shard", number("vec_id", shards)).withColumn("block", every(blocks))
-    right = queries.withColumn("block", number("qid", blocks)).withColumn("shard", every(shards))
+def held_parts(rows: Block, estimator: Estimator | None) -> list:
+    """A shard as parts for ``_best_of``."""
+    ids, x = rows.ids, rows.matrix
+    return [(ids[lo : lo + STRIP], x[lo : lo + STRIP], estimator.project(x[lo : lo + STRIP]) if estimator is not None else None) for lo in range(0, len(ids), STRIP)]
+
+
+def _block_knn(base: DataFrame, queries: DataFrame, k: int, estimator: Estimator | None) -> DataFrame:
+    shards = max(1, -(-base.count() // SHARD))
+    left = base.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.col("vec_id").alias("id"), F.col("x").alias("v"))
+    right = queries.withColumnsRenamed({"qid": "id", "q": "v"})
+
+    def answer(parts, asked: Block) -> pa.RecordBatch:
+        tau = _limits(asked.column("tau").to_numpy()) if "tau" in asked.table.column_names else None
+        return _best_of(parts, asked.ids, asked.matrix, k, tau, estimator)
+
+    return through_shards(left, right, shards, BLOCK, lambda rows: held_parts(rows, estimator), answer, _FOUND)
 
-    def run(key, x, q):
-        tau = q.column("tau").to_numpy() if "tau" in q.column_names else None
-        tau = None if tau is None else np.where(np.isnan(tau), np.inf, tau)
-        batches = x.select(["vec_id", "x"]).combine_chunks().to_batches()
-        return pa.Table.from_batches(_batch_knn(batches, q.column("qid").to_numpy(), matrix_of(q.column("q")), k, tau, estimator))
 
-    return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(run, _FOUND)
+def knn_products(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2_via_ip") -> DataFrame:
+    """``qid, rank, vec_id, dist`` by matrix products: ``l2_via_ip`` from squared norms, ``ip`` (highest first) or ``ip_distance`` (1 - ip).
+
+    Products round differently from sums of squares; distances are taken to 12 decimals
+    before they are ranked, so that copies of a vector tie.
+    """
+
+    def dist(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        products = q @ x.T
+        if metric == "l2_via_ip":
+            return np.round((q**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None, :] - 2 * products, 12)
+        return np.round(-products if metric == "ip" else 1 - products, 12)
+
+    def best_of(parts, qids, q) -> pa.RecordBatch:
+        best = TopK(qids, q, k)
+        for ids, x, _ in parts:
+            if len(ids) and len(qids):
+                d = dist(q, x)
+                cut = best.dist[:, -1]
+                if len(ids) > k:
+                    cut = np.minimum(cut, np.partition(d, k - 1, axis=1)[:, k - 1])
+                at, of = np.nonzero(d <= cut[:, None])
+                best.merge(at, ids[of], d[at, of])
+        return best.rows()
+
+    base = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    if query_bytes(queries)[1] <= BROADCAST_BYTES:
+        shared = vectors.sparkSession.sparkContext.broadcast(_collect(queries))
+
+        def run(batches):
+            yield best_of(_parts(batches, None), *shared.value)
+
+        found = base.mapInArrow(run, _FOUND)
+    else:
+        shards = max(1, -(-base.count() // SHARD))
+        left = base.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.col("vec_id").alias("id"), F.col("x").alias("v"))
+        right = queries.select(F.col("qid").alias("id"), F.col("q").alias("v"))
+        found = through_shards(left, right, shards, BLOCK, lambda rows: held_parts(rows, None), lambda parts, asked: best_of(parts, asked.ids, asked.matrix), _FOUND)
+    done = nearest(found, k)
+    return done.select("qid", F.col("rank").cast("int").alias("rank"), "vec_id", (-F.col("dist") if metric == "ip" else F.col("dist")).alias("dist"))
 
 
 def seed_tau(vectors: DataFrame, queries: DataFrame, k: int, seeds: Column) -> DataFrame:

@@ -80,18 +80,20 @@ def spectrum(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(share)], "pos int, value double")
 
 
-def codebook(vectors: DataFrame, parts: int, codes: int, iterations: int = 20, seed: int = 123, column: str = "embedding", rotation: np.ndarray | None = None) -> np.ndarray:
+def codebook(vectors: DataFrame, parts: int, codes: int, iterations: int = 20, seed: int = 123, column: str = "embedding", rotation: np.ndarray | None = None, first: np.ndarray | None = None) -> np.ndarray:
     """A product codebook (parts x codes x width) by Lloyd's iterations over all vectors.
 
-    The first centroids are the vectors of least hashed id. Components beyond a multiple of
+    The first centroids are the vectors of least hashed id, or ``first`` (one a row). Components beyond a multiple of
     ``parts`` are filled with zeros. A code that loses all its vectors stays where it is.
     With fewer vectors than codes, the last ones repeat.
     """
     turn = lambda x: x if rotation is None else x @ rotation
-    first = vectors.select("vec_id", F.col(column).cast("array<double>").alias("x")).orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(codes).collect()
-    if not first:
+    if first is None:
+        rows = vectors.select("vec_id", F.col(column).cast("array<double>").alias("x")).orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(codes).collect()
+        first = np.array([r["x"] for r in rows])
+    if not len(first):
         raise ValueError("no vectors to learn from")
-    start = turn(np.array([r["x"] for r in first]))
+    start = turn(first)
     start = start[np.minimum(np.arange(codes), len(start) - 1)]
     book = _split(start, parts).transpose(1, 0, 2).copy()
     spark = vectors.sparkSession
@@ -126,9 +128,9 @@ def _closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([((x[lo : lo + 1024, None, :] - centres[None]) ** 2).sum(-1).argmin(1) for lo in range(0, len(x), 1024)]) if len(x) else np.zeros(0, int)
 
 
-def kmeans(vectors: DataFrame, cells: int, iterations: int = 10, seed: int = 123, column: str = "embedding") -> np.ndarray:
-    """Centroids (cells x dimension)."""
-    return codebook(vectors, 1, cells, iterations, seed, column)[0]
+def kmeans(vectors: DataFrame, cells: int, iterations: int = 10, seed: int = 123, column: str = "embedding", first: np.ndarray | None = None) -> np.ndarray:
+    """Centroids (cells x dimension), from ``first`` if given."""
+    return codebook(vectors, 1, cells, iterations, seed, column, first=first)[0]
 
 
 def optimised_codebook(vectors: DataFrame, parts: int, codes: int, rounds: int = 5, iterations: int = 5, seed: int = 123, column: str = "embedding") -> tuple[np.ndarray, np.ndarray]:

@@ -6,8 +6,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.functions.distance import prefix_l2sq
-from vecspark.operators.knn import BROADCAST_BYTES, _collect, pairs, query_bytes
+from vecspark.functions.dco import Estimator
+from vecspark.functions.distance import l2sq_block, prefix_l2sq
+from vecspark.functions.transforms import matrix_of
+from vecspark.operators.knn import BROADCAST_BYTES, _collect, _limits, knn, pairs, query_bytes
 from vecspark.operators.linear import _partials
 
 
@@ -33,6 +35,32 @@ def prune_summary(judged: DataFrame, dims: int) -> DataFrame:
     )
 
 
+def kernel_prune_summary(method: str, vectors: DataFrame, queries: DataFrame, k: int, estimator: Estimator) -> DataFrame:
+    """``prune_summary`` of one operator over all pairs, judged and added up in the tasks that read the vectors.
+
+    Thresholds are the true k-th distances, found first.
+    """
+    if query_bytes(queries)[1] > BROADCAST_BYTES:
+        raise ValueError("the queries are too many to send to all tasks")
+    tau = knn(vectors, queries, k).filter(F.col("rank") == k).select("qid", F.col("dist").alias("tau"))
+    table = queries.join(tau, "qid", "left").toArrow()
+    q, limit = matrix_of(table.column("q")), _limits(table.column("tau").to_numpy())
+    shared = vectors.sparkSession.sparkContext.broadcast((q, estimator.table(q) if len(q) else q, limit, estimator))
+
+    def make(x):
+        points, side, tau, judge = shared.value
+        if not len(points):
+            return {}
+        pruned, _, dims = judge.judge(side, judge.project(x), tau)
+        near = l2sq_block(points, x) < tau[:, None]
+        return {0: (pruned.size, np.array([pruned.sum(), dims.sum(), (pruned & near).sum(), pruned.size * x.shape[1]], float))}
+
+    rows = [(method, int(r["n"]), *(float(v) for v in r["total"])) for r in _partials(vectors, "embedding", make)]
+    done = vectors.sparkSession.createDataFrame(rows, "method string, pairs long, pruned double, dims double, wrong double, every double")
+    n = F.col("pairs")
+    return done.select("method", "pairs", (100.0 * F.col("pruned") / n).alias("vector_pruned_pct"), (100.0 * (1 - F.col("dims") / F.col("every"))).alias("dims_pruned_pct"), (100.0 * F.col("wrong") / n).alias("false_negative_pct"))
+
+
 def approximation_ratio(est: Column, true: Column) -> Column:
     """Estimate over distance; 1 if both are 0, null if only the distance is."""
     return F.when(true > 0, est / true).when(est == 0, F.lit(1.0))

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from vecspark.functions import dco, transforms
 from vecspark.functions.chi2 import chi2_quantile
-from vecspark.functions.distance import l2sq, l2sq_bytes, norm2, prefix_l2sq
+from vecspark.functions.distance import euclidean, l2sq, l2sq_bytes, norm2, prefix_l2sq
 from vecspark.operators import finger, hnsw, ivf, linear, metrics
-from vecspark.operators.knn import VectorStore, as_queries, ground_truth, knn, knn_sql, kth_distance, meet, nearest, pairs, seed_tau, within
+from vecspark.operators.knn import VectorStore, as_queries, ground_truth, knn, knn_products, knn_sql, kth_distance, meet, nearest, pairs, seed_tau, within
 from vecspark.plans import planner
 from vecspark.schema import dimension
 from vecspark.sources import indexes, vectors as files
@@ -25,6 +25,8 @@ from vecspark.streaming import ingest
 
 K, EVERY, RADIUS2 = 10, 16, 1.5
 PIECES, LOW, CELLS, PARTS, CODES = 16, 16, 16, 8, 16
+#: Cells probed, Lloyd's iterations, factor on the threshold of code estimates, and the recall that lossy searches reach.
+PROBES, ROUNDS, REFINE, RECALL = 12, 5, 1.6, 0.9
 #: Dimension of the table ``embeddings``, for matrices that stand in SQL; checked when a query runs.
 DIMS = 64
 
@@ -60,9 +62,11 @@ def answers(found: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder (a local one only where none is set)."""
+    """A new folder under the shared checkpoint folder; on one machine without one, a local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="vecspark-scratch-")
@@ -109,12 +113,35 @@ def sql_by_position(values: str, source: str) -> str:
 
 PIECE_BOUNDS = transforms.piece_bounds(DIMS, PIECES)
 MEANS = "[" + ", ".join(f"list_avg(x[{lo + 1}:{hi}])" for lo, hi in PIECE_BOUNDS) + "]"
-CENTROIDS = f"c AS (SELECT vec_id::INT AS cell, x AS centroid FROM b WHERE vec_id < {CELLS})"
-ASSIGNED = f"f AS (SELECT vec_id, x, arg_min(cell, (d, cell)) AS cell FROM (SELECT b.vec_id, b.x, c.cell, {sql_l2('b.x', 'c.centroid')} AS d FROM b, c) GROUP BY vec_id, x)"
-PROBED = f"g AS (SELECT qid, q, cell FROM (SELECT qid, q, cell, row_number() OVER (PARTITION BY qid ORDER BY {sql_l2('q', 'centroid')}, cell) AS n FROM q, c) WHERE n <= 4)"
+
+
+def sql_lloyd() -> str:
+    """``c``: centroids after ``ROUNDS`` of Lloyd's iterations from the rows of lowest ids."""
+    steps = [f"c0 AS (SELECT vec_id::INT AS cell, x AS centroid FROM b WHERE vec_id < {CELLS})"]
+    for i in range(ROUNDS):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT vec_id, x, arg_min(cell, (d, cell)) AS cell FROM (SELECT b.vec_id, b.x, cell, {sql_l2('b.x', 'centroid')} AS d FROM b, c{i}) GROUP BY vec_id, x)")
+        steps.append(f"m{i} AS MATERIALIZED (SELECT cell, list(v ORDER BY pos) AS centroid FROM (SELECT cell, pos, avg(v) AS v FROM (SELECT cell, unnest(range(len(x))) AS pos, unnest(x) AS v FROM a{i}) GROUP BY cell, pos) GROUP BY cell)")
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT cell, coalesce(m{i}.centroid, c{i}.centroid) AS centroid FROM c{i} LEFT JOIN m{i} USING (cell))")
+    return ", ".join([*steps, f"c AS (SELECT * FROM c{ROUNDS})"])
+
+
+def sql_codebook() -> str:
+    """``book``: product codes after the same iterations within each part."""
+    width = DIMS // PARTS
+    steps = [f"k0 AS (SELECT m, vec_id AS code, x[m * {width} + 1:(m + 1) * {width}] AS centre FROM b, range({PARTS}) r(m) WHERE vec_id < {CODES})", f"y AS MATERIALIZED (SELECT vec_id, m, x[m * {width} + 1:(m + 1) * {width}] AS v FROM b, range({PARTS}) r(m))"]
+    for i in range(ROUNDS):
+        steps.append(f"p{i} AS MATERIALIZED (SELECT vec_id, m, v, arg_min(code, (d, code)) AS code FROM (SELECT vec_id, y.m, v, code, {sql_l2('v', 'centre')} AS d FROM y JOIN k{i} USING (m)) GROUP BY vec_id, m, v)")
+        steps.append(f"n{i} AS MATERIALIZED (SELECT m, code, list(u ORDER BY pos) AS centre FROM (SELECT m, code, pos, avg(u) AS u FROM (SELECT m, code, unnest(range(len(v))) AS pos, unnest(v) AS u FROM p{i}) GROUP BY m, code, pos) GROUP BY m, code)")
+        steps.append(f"k{i + 1} AS MATERIALIZED (SELECT m, code, coalesce(n{i}.centre, k{i}.centre) AS centre FROM k{i} LEFT JOIN n{i} USING (m, code))")
+    return ", ".join([*steps, f"book AS (SELECT * FROM k{ROUNDS})"])
+
+
+CENTROIDS = sql_lloyd()
+ASSIGNED = f"f AS MATERIALIZED (SELECT vec_id, x, arg_min(cell, (d, cell)) AS cell FROM (SELECT b.vec_id, b.x, c.cell, {sql_l2('b.x', 'c.centroid')} AS d FROM b, c) GROUP BY vec_id, x)"
+PROBED = f"g AS (SELECT qid, q, cell FROM (SELECT qid, q, cell, row_number() OVER (PARTITION BY qid ORDER BY {sql_l2('q', 'centroid')}, cell) AS n FROM q, c) WHERE n <= {PROBES})"
 IVF_FOUND = f"h AS (SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY {sql_l2('q', 'x')}, vec_id))::INT AS rank, vec_id, {sql_l2('q', 'x')} AS d FROM f JOIN g USING (cell))"
 WIDTH = DIMS // PARTS
-BOOK = f"book AS (SELECT m, vec_id AS code, x[m * {WIDTH} + 1:(m + 1) * {WIDTH}] AS centre FROM b, range({PARTS}) r(m) WHERE vec_id < {CODES})"
+BOOK = sql_codebook()
 CODED = f"k AS (SELECT vec_id, list(code ORDER BY m) AS codes FROM (SELECT b.vec_id, m, arg_min(code, ({sql_l2(f'x[m * {WIDTH} + 1:(m + 1) * {WIDTH}]', 'centre')}, code))::INT AS code FROM b, book GROUP BY b.vec_id, m) GROUP BY vec_id)"
 LUT = f"l AS (SELECT qid, m, code, {sql_l2(f'q[m * {WIDTH} + 1:(m + 1) * {WIDTH}]', 'centre')} AS d FROM q, book)"
 ADC = "a AS (SELECT qid, vec_id, sum(l.d) AS est FROM (SELECT vec_id, unnest(range(len(codes))) AS m, unnest(codes) AS code FROM k) u JOIN l USING (m, code) GROUP BY qid, vec_id)"
@@ -125,8 +152,27 @@ def first_rows(vectors: DataFrame, n: int) -> np.ndarray:
     return np.array([r["x"] for r in vectors.filter(F.col("vec_id") < n).orderBy("vec_id").select(F.col("embedding").cast("array<double>").alias("x")).collect()])
 
 
-def fixed_book(vectors: DataFrame) -> np.ndarray:
-    return linear._split(first_rows(vectors, CODES), PARTS).transpose(1, 0, 2).copy()
+def centroids(vectors: DataFrame) -> np.ndarray:
+    return linear.kmeans(vectors, CELLS, ROUNDS, first=first_rows(vectors, CELLS))
+
+
+def learned_book(vectors: DataFrame) -> np.ndarray:
+    return linear.codebook(vectors, PARTS, CODES, ROUNDS, first=first_rows(vectors, CODES))
+
+
+def recalled(v: DataFrame, found: DataFrame) -> DataFrame:
+    """Of each query: answers, the true k-th distance, whether no answer is nearer than the truth allows, and
+    whether the mean recall over all queries reaches ``RECALL``."""
+    truth = knn(v, asking(v), K)
+    mine = found.select("qid", "rank", F.col("vec_id").alias("got"), F.col("dist").alias("d"))
+    met = truth.join(mine, ["qid", "rank"], "left")
+    hits = metrics.recall(found, truth, K)
+    mean = hits.agg(F.avg("recall").alias("mean"))
+    each = met.groupBy("qid").agg(F.count("got").alias("answers"), F.max("dist").alias("kth"), F.min(F.coalesce(F.col("d") >= F.col("dist") - 1e-6, F.lit(True))).alias("sound"))
+    return rounded(each.crossJoin(F.broadcast(mean)).select("qid", "answers", "kth", "sound", (F.col("mean") >= RECALL).alias("reached")), "kth")
+
+
+RECALLED = f"WITH {BASE}, {PAIRS}, {RANKED} SELECT qid, count(*) AS answers, round(max(d), 6) AS kth, true AS sound, true AS reached FROM r WHERE rank <= {K} GROUP BY qid"
 
 
 # --- search and pairs -----------------------------------------------------------------------
@@ -146,6 +192,12 @@ def knn_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(EXACT)
 def knn_l2_via_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = embeddings(spark, sf_dir)
+    return answers(knn_products(v, asking(v), K))
+
+
+@query(EXACT)
+def knn_l2_via_ip_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embeddings(spark, sf_dir)
     return answers(knn_sql(v, asking(v), K, dimension(v), "l2_via_ip"))
 
@@ -157,12 +209,50 @@ def knn_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(planner.run(planner.choose(v.count(), q.count()), v, q, K))
 
 
-@query(f"WITH {BASE}, p AS (SELECT qid, vec_id, {sql_ip('q', 'x')} AS d FROM q, b), r AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY d DESC, vec_id))::INT AS rank FROM p) SELECT qid, rank, vec_id, round(d, 6) AS dist FROM r WHERE rank <= {K}")
+IP = f"WITH {BASE}, p AS (SELECT qid, vec_id, {sql_ip('q', 'x')} AS d FROM q, b), r AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY d DESC, vec_id))::INT AS rank FROM p) SELECT qid, rank, vec_id, round({{}}, 6) AS dist FROM r WHERE rank <= {K}"
+
+
+@query(IP.format("d"))
 def knn_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = embeddings(spark, sf_dir)
+    return answers(knn_products(v, asking(v), K, "ip"))
+
+
+@query(IP.format("d"))
+def knn_inner_product_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embeddings(spark, sf_dir)
     return answers(knn_sql(v, asking(v), K, dimension(v), "ip"))
 
 
+@query(IP.format("1 - d"))
+def knn_ip_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = embeddings(spark, sf_dir)
+    return answers(knn_products(v, asking(v), K, "ip_distance"))
+
+
+@query(EXACT)
+def knn_random_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A random rotation keeps all distances, and so the exact answers."""
+    v = embeddings(spark, sf_dir)
+    turned = transforms.transform(v, transforms.random_rotation(dimension(v)))
+    return answers(knn(turned, asking(turned), K))
+
+
+@query(f"WITH {BASE}, {PAIRS}, {RANKED} SELECT qid, rank, vec_id, round(sqrt(d), 6) AS dist FROM r WHERE rank <= {K}")
+def euclidean_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = embeddings(spark, sf_dir)
+    far = pairs(v, asking(v)).select("qid", "vec_id", euclidean(F.col("q"), F.col("x"), dimension(v)).alias("dist"))
+    return answers(nearest(far, K))
+
+
+@query(RECALLED)
+def knn_planned_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists whose probes are raised until the measured recall is enough."""
+    v = embeddings(spark, sf_dir)
+    q = asking(v)
+    return recalled(v, planner.run(planner.Plan("ivf", cells=CELLS, nprobe=1), v, q, K, 0.95))
+
+
 @query(f"WITH {BASE}, p AS (SELECT qid, vec_id, {sql_l2('q', 'x')} AS d FROM q JOIN b ON label = qlabel), {RANKED} SELECT qid, rank, vec_id, round(d, 6) AS dist FROM r WHERE rank <= {K}")
 def knn_filtered_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embeddings(spark, sf_dir)
@@ -197,6 +287,49 @@ def knn_store_with_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(VectorStore(v).mark_deleted(gone).search(asking(v), K))
 
 
+@query(EXACT.replace("FROM q, b)", "FROM q, b WHERE vec_id % 11 <> 3)"))
+def knn_store_add_and_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the rows come later, in place of wrong ones; some are removed, some hidden and shown again."""
+    v = embeddings(spark, sf_dir).select("vec_id", "embedding")
+    wrong = v.filter("vec_id % 2 = 1").withColumn("embedding", F.reverse("embedding"))
+    store = VectorStore(v.filter("vec_id % 2 = 0").unionByName(wrong)).add(v.filter("vec_id % 2 = 1")).remove(v.filter("vec_id % 11 = 3").select("vec_id"))
+    some = v.filter("vec_id % 11 = 4").select("vec_id")
+    return answers(store.mark_deleted(some).unmark_deleted(some).search(asking(v), K))
+
+
+@query(EXACT)
+def knn_store_save_and_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, path = embeddings(spark, sf_dir), scratch(spark)
+    indexes.save_vectors(v.select("vec_id", "embedding"), path)
+    return answers(VectorStore(indexes.load_vectors(spark, path)).search(asking(v), K))
+
+
+@query(f"WITH {BASE} SELECT unnest(range(len(x)))::INT AS pos, round(unnest(x), 6) AS value FROM b WHERE vec_id = 7")
+def vector_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = embeddings(spark, sf_dir)
+    return rounded(spark.createDataFrame([(i, float(c)) for i, c in enumerate(VectorStore(v).get(7))], "pos int, value double"), "value")
+
+
+@query("SELECT count(*) AS n_rows, max(len(embedding)) AS dims FROM embeddings")
+def table_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([files.shape(embeddings(spark, sf_dir))], "n_rows long, dims long")
+
+
+@query("WITH t AS (SELECT max(vec_id) - 49 AS first FROM embeddings) SELECT CASE WHEN vec_id < first THEN 'base' ELSE 'queries' END AS side, CASE WHEN vec_id < first THEN vec_id ELSE vec_id - first END AS vec_id FROM embeddings, t")
+def split_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 50 rows as queries of their own."""
+    base, asked = files.split_queries(embeddings(spark, sf_dir), 50)
+    return base.select(F.lit("base").alias("side"), "vec_id").unionByName(asked.select(F.lit("queries").alias("side"), "vec_id"))
+
+
+@query(f"WITH {BASE}, e AS (SELECT vec_id, list_concat([x[i + 1] FOR i IN range({DIMS}) IF i % 3 <> 0], [0.0, 0.0]) AS y FROM b) SELECT vec_id, unnest(range(len(y)))::INT AS pos, round(unnest(y), 6) AS value FROM e")
+def transform_pick_and_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third component dropped, two zeros added."""
+    v = embeddings(spark, sf_dir)
+    x = F.col("embedding").cast("array<double>")
+    return by_position(v, transforms.pad(transforms.pick(x, [i for i in range(dimension(v)) if i % 3]), 2))
+
+
 # --- vectors --------------------------------------------------------------------------------
 
 
@@ -292,10 +425,10 @@ def sign_bit_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meet(s, q).select("qid", "vec_id", "bits", F.round(transforms.hamming_share(F.col("bits"), F.col("qbits"), 32), 6).alias("hamming"))
 
 
-@query(f"WITH {BASE}, {PAIRS}, e AS (SELECT qid, vec_id, list_transform(range(1, len(x) + 1), lambda n: list_sum(list_transform(list_zip(q[1:n], x[1:n]), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS pre FROM p WHERE vec_id % 20 = 0) SELECT qid, vec_id, unnest(range(1, len(pre) + 1))::INT AS dims, round(unnest(pre), 6) AS value FROM e")
+@query(f"WITH {BASE}, {PAIRS}, e AS (SELECT qid, vec_id, list_transform(range(1, len(x) + 1), lambda n: list_sum(list_transform(list_zip(q[1:n], x[1:n]), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS pre FROM p) SELECT qid, vec_id, unnest(range(1, len(pre) + 1))::INT AS dims, round(unnest(pre), 6) AS value FROM e")
 def prefix_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embeddings(spark, sf_dir)
-    each = pairs(v.filter("vec_id % 20 = 0"), asking(v)).select("qid", "vec_id", F.posexplode(prefix_l2sq(F.col("q"), F.col("x"))).alias("pos", "value"))
+    each = pairs(v, asking(v)).select("qid", "vec_id", F.posexplode(prefix_l2sq(F.col("q"), F.col("x"))).alias("pos", "value"))
     return rounded(each.select("qid", "vec_id", (F.col("pos") + 1).alias("dims"), "value"), "value")
 
 
@@ -352,11 +485,16 @@ def dco_dwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(dwt_pairs(embeddings(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH {BASE}, {PAIRS}, {RANKED}, {TAU} SELECT p.qid, count(*) AS pairs, count(*) FILTER (d <= tau * (1 + 1e-9)) AS near_kept, 0::BIGINT AS wrongly_pruned, 0::BIGINT AS over_estimated FROM p JOIN t USING (qid) GROUP BY p.qid")
 def dco_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial distances on the principal axes lose no pair up to the threshold and never exceed the distance."""
     v = embeddings(spark, sf_dir)
-    axes = linear.principal_axes(v)[1]
-    return judged(dco.incremental(with_tau(v, lambda x: transforms.transform(x, axes)), dimension(v), EVERY))
+    n, axes = dimension(v), linear.principal_axes(v)[1]
+    done = dco.incremental(with_tau(v, lambda x: transforms.transform(x, axes)), n, EVERY)
+    true = pairs(v, asking(v)).select("qid", "vec_id", l2sq(F.col("q"), F.col("x"), n).alias("d"))
+    met = done.select("qid", "vec_id", "tau", "pruned", "est").join(true, ["qid", "vec_id"])
+    near = F.col("d") <= F.col("tau") * (1 + 1e-9)
+    return met.groupBy("qid").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(near & ~F.col("pruned")).alias("near_kept"), F.count_if((F.col("d") <= F.col("tau") * (1 - 1e-9)) & F.col("pruned")).alias("wrongly_pruned"), F.count_if(F.col("est") > F.col("d") * (1 + 1e-9) + 1e-9).alias("over_estimated"))
 
 
 @query(f"WITH {BASE}, {PAIRS} SELECT qid, vec_id, false AS pruned, round(d, 6) AS est, {DIMS} AS dims FROM p")
@@ -396,7 +534,7 @@ def dco_external_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pq_pairs(v: DataFrame) -> DataFrame:
-    book = fixed_book(v)
+    book = learned_book(v)
     tau = kth_distance(knn(v, asking(v), K), K)
     lut = linear.lookup_tables(asking(v), book).select("qid", F.col("lut").alias("q"))
     codes = linear.encode(v, book).select("vec_id", F.col("codes").alias("x"))
@@ -416,10 +554,12 @@ def dco_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def prune_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embeddings(spark, sf_dir)
-    n = dimension(v)
-    each = [ads_pairs(v).withColumn("method", F.lit("ads")), dwt_pairs(v).withColumn("method", F.lit("dwt"))]
-    cols = ("method", "pruned", "dims", "tau", l2sq(F.col("q"), F.col("x"), n).alias("dist"))
-    return rounded(metrics.prune_summary(each[0].select(*cols).unionByName(each[1].select(*cols)), n), "vector_pruned_pct", "dims_pruned_pct", "false_negative_pct")
+    operators = {"ads": dco.Incremental(transforms.hadamard_matrix(dimension(v)), EVERY, dco.ADS_EPSILON), "dwt": dco.Incremental(transforms.haar_matrix(dimension(v)), EVERY)}
+    done = None
+    for name, operator in operators.items():
+        own = metrics.kernel_prune_summary(name, v, asking(v), K, operator)
+        done = own if done is None else done.unionByName(own)
+    return rounded(done, "vector_pruned_pct", "dims_pruned_pct", "false_negative_pct")
 
 
 # --- pruned search --------------------------------------------------------------------------
@@ -449,28 +589,28 @@ def knn_seeded_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeded(v, dco.Incremental(linear.principal_axes(v)[1], EVERY))
 
 
-@query()
+@query(RECALLED)
 def knn_seeded_ads(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embeddings(spark, sf_dir)
-    return seeded(v, dco.Incremental(transforms.random_rotation(dimension(v)), EVERY, dco.ADS_EPSILON))
+    return recalled(v, seeded(v, dco.Incremental(transforms.random_rotation(dimension(v)), EVERY, dco.ADS_EPSILON)))
 
 
-@query()
+@query(RECALLED)
 def knn_seeded_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embeddings(spark, sf_dir)
-    return seeded(v, dco.lsh_kernel(transforms.gaussian_projection(dimension(v), LOW)))
+    return recalled(v, seeded(v, dco.lsh_kernel(transforms.gaussian_projection(dimension(v), LOW))))
 
 
-@query()
+@query(RECALLED)
 def knn_seeded_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embeddings(spark, sf_dir)
-    return seeded(v, dco.Codes(linear.codebook(v, PARTS, CODES, 5), epsilon=1.1))
+    return recalled(v, seeded(v, dco.Codes(linear.codebook(v, PARTS, CODES, 5), epsilon=REFINE)))
 
 
-@query()
+@query(RECALLED)
 def knn_seeded_opq(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embeddings(spark, sf_dir)
-    return seeded(v, opq(v))
+    return recalled(v, seeded(v, opq(v)))
 
 
 # --- inverted lists and codes ---------------------------------------------------------------
@@ -479,27 +619,27 @@ def knn_seeded_opq(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BASE}, {CENTROIDS}, {ASSIGNED} SELECT vec_id, cell FROM f")
 def ivf_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embeddings(spark, sf_dir)
-    return ivf.assign(v, first_rows(v, CELLS)).select("vec_id", "cell")
+    return ivf.assign(v, centroids(v)).select("vec_id", "cell")
 
 
 @query(f"WITH {BASE}, {CENTROIDS}, {ASSIGNED}, n AS (SELECT cell, count(*) AS n FROM f GROUP BY cell) SELECT c.cell, (sum(coalesce(n, 0)) OVER (ORDER BY c.cell) - coalesce(n, 0))::BIGINT AS start, coalesce(n, 0) AS n FROM c LEFT JOIN n USING (cell)")
 def ivf_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embeddings(spark, sf_dir)
-    return ivf.list_offsets(ivf.assign(v, first_rows(v, CELLS)), CELLS)
+    return ivf.list_offsets(ivf.assign(v, centroids(v)), CELLS)
 
 
 @query(f"WITH {BASE}, {CENTROIDS}, {ASSIGNED}, {PROBED}, {IVF_FOUND} SELECT qid, rank, vec_id, round(d, 6) AS dist FROM h WHERE rank <= {K}")
 def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embeddings(spark, sf_dir)
-    c = first_rows(v, CELLS)
-    return answers(ivf.search_sql(ivf.assign(v, c), asking(v), c, 4, K, dimension(v)))
+    c = centroids(v)
+    return answers(ivf.search_sql(ivf.assign(v, c), asking(v), c, PROBES, K, dimension(v)))
 
 
 @query(f"WITH {BASE}, {CENTROIDS}, {ASSIGNED}, {PROBED}, {IVF_FOUND} SELECT qid, rank, vec_id, round(d, 6) AS dist FROM h WHERE rank <= {K}")
 def ivf_search_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embeddings(spark, sf_dir)
-    c = first_rows(v, CELLS)
-    return answers(ivf.search(ivf.assign(v, c), asking(v), c, 4, K, dco.Incremental(linear.principal_axes(v)[1], EVERY)))
+    c = centroids(v)
+    return answers(ivf.search(ivf.assign(v, c), asking(v), c, PROBES, K, dco.Incremental(linear.principal_axes(v)[1], EVERY)))
 
 
 @query(EXACT)
@@ -509,17 +649,24 @@ def ivf_search_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(ivf.search(ivf.assign(v, c), asking(v), c, CELLS, K))
 
 
-@query()
+@query(RECALLED)
 def ivf_search_ads(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embeddings(spark, sf_dir)
-    c = linear.kmeans(v, CELLS, 5)
-    return answers(ivf.search(ivf.assign(v, c), asking(v), c, 8, K, dco.Incremental(transforms.random_rotation(dimension(v)), EVERY, dco.ADS_EPSILON)))
+    c = linear.kmeans(v, CELLS, ROUNDS)
+    return recalled(v, answers(ivf.search(ivf.assign(v, c), asking(v), c, PROBES + 1, K, dco.Incremental(transforms.random_rotation(dimension(v)), EVERY, dco.ADS_EPSILON))))
+
+
+@query(RECALLED)
+def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = embeddings(spark, sf_dir)
+    c = centroids(v)
+    return recalled(v, answers(ivf.search(ivf.assign(v, c), asking(v), c, PROBES, K)))
 
 
 @query(EXACT)
 def ivf_save_and_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, path = embeddings(spark, sf_dir), scratch(spark)
-    c = first_rows(v, CELLS)
+    c = centroids(v)
     indexes.save_ivf(ivf.assign(v, c), c, path)
     filed, again = indexes.load_ivf(spark, path)
     return answers(ivf.search_sql(filed, asking(v), again, CELLS, K, dimension(v)))
@@ -528,13 +675,13 @@ def ivf_save_and_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BASE}, {BOOK}, {CODED} SELECT vec_id, codes FROM k")
 def pq_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embeddings(spark, sf_dir)
-    return linear.encode(v, fixed_book(v))
+    return linear.encode(v, learned_book(v))
 
 
 @query(f"WITH {BASE}, {BOOK}, {LUT} SELECT qid, m::INT AS m, code::INT AS code, round(d, 6) AS value FROM l")
 def pq_lookup_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embeddings(spark, sf_dir)
-    each = linear.lookup_tables(asking(v), fixed_book(v)).select("qid", F.posexplode("lut").alias("m", "row"))
+    each = linear.lookup_tables(asking(v), learned_book(v)).select("qid", F.posexplode("lut").alias("m", "row"))
     return rounded(each.select("qid", "m", F.posexplode("row").alias("code", "value")), "value")
 
 
@@ -544,19 +691,50 @@ def pq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(nearest(done.select("qid", "vec_id", F.round("est", 9).alias("dist")), K))
 
 
-@query(f"WITH {BASE}, {PAIRS}, {RANKED}, {TAU}, {BOOK}, {CODED}, {LUT}, {ADC}, s AS (SELECT p.qid, p.vec_id, d FROM a JOIN t USING (qid) JOIN p ON p.qid = a.qid AND p.vec_id = a.vec_id WHERE est <= tau * 1.1 * (1 + {dco.SLACK!r})), u AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY d, vec_id))::INT AS rank FROM s) SELECT qid, rank, vec_id, round(d, 6) AS dist FROM u WHERE rank <= {K}")
+@query(f"WITH {BASE}, {PAIRS}, {RANKED}, {TAU}, {BOOK}, {CODED}, {LUT}, {ADC}, s AS (SELECT p.qid, p.vec_id, d FROM a JOIN t USING (qid) JOIN p ON p.qid = a.qid AND p.vec_id = a.vec_id WHERE est <= tau * {REFINE} * (1 + {dco.SLACK!r})), u AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY d, vec_id))::INT AS rank FROM s) SELECT qid, rank, vec_id, round(d, 6) AS dist FROM u WHERE rank <= {K}")
 def pq_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embeddings(spark, sf_dir)
-    kept = dco.quantised(pq_pairs(v), PARTS, 1.1).filter("not pruned").select("qid", "vec_id")
+    kept = dco.quantised(pq_pairs(v), PARTS, REFINE).filter("not pruned").select("qid", "vec_id")
     x = v.select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     met = kept.join(x, "vec_id").join(asking(v), "qid")
     return answers(nearest(met.select("qid", "vec_id", l2sq(F.col("q"), F.col("x"), dimension(v)).alias("dist")), K))
 
 
-@query()
+@query(RECALLED)
+def pq_refine_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recalled(embeddings(spark, sf_dir), pq_refine(spark, sf_dir))
+
+
+@query(f"WITH {BASE}, {CENTROIDS}, {ASSIGNED} SELECT c.cell, count(f.vec_id) AS n, round(any_value(centroid[1]), 6) AS first, round(any_value(list_sum(centroid)), 6) AS total FROM c LEFT JOIN f USING (cell) GROUP BY c.cell")
 def kmeans_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centroids after the iterations, and the sizes of their lists."""
+    v = embeddings(spark, sf_dir)
+    c = centroids(v)
+    return rounded(ivf.list_sizes(ivf.assign(v, c), CELLS).join(ivf.centroid_frame(spark, c), "cell").select("cell", "n", F.col("centroid")[0].alias("first"), F.aggregate("centroid", F.lit(0.0), lambda a, b: a + b).alias("total")), "first", "total")
+
+
+@query(f"SELECT count(*) AS n_rows, {PARTS} AS parts, true AS orthonormal, true AS nearest, true AS no_worse_than_plain FROM embeddings")
+def pq_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes under a learned rotation: it is one, every code is the nearest, and the error is not above that of plain codes."""
     v = embeddings(spark, sf_dir)
-    return ivf.list_sizes(ivf.assign(v, linear.kmeans(v, CELLS, 5)), CELLS)
+    rotation, book = linear.optimised_codebook(v, PARTS, CODES, 2, 3)
+    straight = bool(np.allclose(rotation.T @ rotation, np.eye(len(rotation)), atol=1e-8))
+
+    def error(learned: np.ndarray, turn: np.ndarray) -> DataFrame:
+        own = transforms.transform(v.select("vec_id", "embedding"), turn).join(linear.encode(v, learned, turn), "vec_id")
+        parts = [(F.slice("embedding", m * WIDTH + 1, WIDTH), m) for m in range(PARTS)]
+        table = [F.array(*(F.array(*(F.lit(float(c)) for c in row)) for row in part)) for part in learned]
+        to = lambda part, m: F.transform(table[m], lambda c: l2sq(part, c))
+        had = [l2sq(part, table[m][F.col("codes")[m]], WIDTH) for part, m in parts]
+        best = [F.array_min(to(part, m)) for part, m in parts]
+        far = had[0] - best[0]
+        for a, b in zip(had[1:], best[1:], strict=True):
+            far = F.greatest(far, a - b)
+        return own.agg(F.count(F.lit(1)).alias("n"), F.max(far).alias("far"), F.sum(sum(had[1:], start=had[0])).alias("error"))
+
+    plain = linear.codebook(v, PARTS, CODES, 3)
+    one, other = error(book, rotation).first(), error(plain, np.eye(dimension(v))).first()
+    return spark.createDataFrame([(one["n"], PARTS, straight, one["far"] < 1e-9, one["error"] <= other["error"] * 1.02)], "n_rows long, parts int, orthonormal boolean, nearest boolean, no_worse_than_plain boolean")
 
 
 # --- metrics --------------------------------------------------------------------------------
@@ -565,8 +743,8 @@ def kmeans_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BASE}, {PAIRS}, {RANKED}, {CENTROIDS}, {ASSIGNED}, {PROBED}, {IVF_FOUND} SELECT r.qid, count(h.vec_id) AS hits, round(count(h.vec_id) / count(*)::DOUBLE, 6) AS recall FROM r LEFT JOIN (SELECT qid, vec_id FROM h WHERE rank <= {K}) h ON h.qid = r.qid AND h.vec_id = r.vec_id WHERE r.rank <= {K} GROUP BY r.qid")
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embeddings(spark, sf_dir)
-    c = first_rows(v, CELLS)
-    found = ivf.search_sql(ivf.assign(v, c), asking(v), c, 4, K, dimension(v))
+    c = centroids(v)
+    found = ivf.search_sql(ivf.assign(v, c), asking(v), c, PROBES, K, dimension(v))
     return rounded(metrics.recall(found, knn(v, asking(v), K), K), "recall")
 
 
@@ -605,16 +783,43 @@ def dwt_distance_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.mean_prefix_ratio(turned, as_queries(turned.filter("vec_id % 20 = 0"))), "mean_ratio")
 
 
-@query()
+COVARIANCE = f"e AS (SELECT vec_id, unnest(range(len(x))) AS pos, unnest(x) AS v FROM b), s AS (SELECT pos, avg(v) AS mean FROM e GROUP BY pos), z AS (SELECT vec_id, e.pos, v - mean AS v FROM e JOIN s USING (pos)), c AS (SELECT p.pos AS i, q.pos AS j, sum(p.v * q.v) / (SELECT count(*) FROM b) AS v FROM z p JOIN z q USING (vec_id) GROUP BY p.pos, q.pos)"
+
+
+@query(f"WITH {BASE}, {COVARIANCE} SELECT (SELECT count(*) FROM s) AS axes, round((SELECT sum(v) FROM c WHERE i = j), 6) AS total, round((SELECT sum(v * v) FROM c), 6) AS squares, true AS orthonormal, true AS falling, true AS shares_sum_to_one")
 def pca_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(linear.spectrum(embeddings(spark, sf_dir)), "value")
+    """Eigenvalues add up to the trace, their squares to the squared norm of the covariance."""
+    v = embeddings(spark, sf_dir)
+    values, axes = linear.principal_axes(v)
+    shares = [r["value"] for r in linear.spectrum(v).orderBy("pos").collect()]
+    sound = bool(np.allclose(axes.T @ axes, np.eye(len(axes)), atol=1e-9))
+    row = (len(values), round(float(values.sum()), 6), round(float((values**2).sum()), 6), sound, bool((np.diff(values) <= 0).all()) and shares == sorted(shares, reverse=True), abs(sum(shares) - 1) < 1e-9)
+    return spark.createDataFrame([row], "axes long, total double, squares double, orthonormal boolean, falling boolean, shares_sum_to_one boolean")
 
 
-@query()
+def pca_ratios(v: DataFrame) -> DataFrame:
+    turned = transforms.transform(v, linear.principal_axes(v)[1])
+    return metrics.mean_prefix_ratio(turned, as_queries(turned.filter("vec_id % 20 = 0")))
+
+
+@query(f"WITH {BASE}, {PAIRS}, u AS (SELECT list_transform(list_zip(q, x), lambda t: (t[1] - t[2]) * (t[1] - t[2])) AS s FROM p WHERE d > 0) SELECT {DIMS} AS dims, 1.0::DOUBLE AS whole, true AS rising, round(avg(list_sum(s[1:{DIMS // 2}]) / list_sum(s)), 6) AS plain_half, true AS axes_hold_more FROM u")
 def pca_distance_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean shares of the distance rise to the whole, and half of the axes hold more than half of the plain components."""
     v = embeddings(spark, sf_dir)
-    turned = transforms.transform(v, linear.principal_axes(v)[1])
-    return rounded(metrics.mean_prefix_ratio(turned, as_queries(turned.filter("vec_id % 20 = 0"))), "mean_ratio")
+    share = [r["mean_ratio"] for r in pca_ratios(v).orderBy("dims").collect()]
+    plain = metrics.mean_prefix_ratio(v, asking(v)).filter(F.col("dims") == DIMS // 2).first()["mean_ratio"]
+    row = (len(share), round(share[-1], 6), share == sorted(share), round(plain, 6), share[DIMS // 2 - 1] >= plain)
+    return spark.createDataFrame([row], "dims int, whole double, rising boolean, plain_half double, axes_hold_more boolean")
+
+
+@query(f"WITH {BASE}, {PAIRS}, {RANKED}, {CENTROIDS}, {ASSIGNED}, {PROBED}, {IVF_FOUND}, n AS (SELECT count(*) / (SELECT count(*) * {K}.0 FROM q) AS recall FROM r JOIN h ON h.qid = r.qid AND h.vec_id = r.vec_id WHERE r.rank <= {K} AND h.rank <= {K}) SELECT 'ivf' AS method, 'first' AS setting, round(recall, 6) AS relative FROM n UNION ALL SELECT 'exact', 'first', 1.0")
+def relative_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recall of lists over that of the exact search, from a stored log of results."""
+    v, path = embeddings(spark, sf_dir), scratch(spark)
+    c, truth = centroids(v), knn(v, asking(v), K)
+    for method, found in (("exact", truth), ("ivf", ivf.search_sql(ivf.assign(v, c), asking(v), c, PROBES, K, dimension(v)))):
+        indexes.append_results(metrics.recall(found, truth, K).agg(F.avg("recall").alias("recall")).select(F.lit(method).alias("method"), F.lit("first").alias("setting"), "recall"), path)
+    return rounded(metrics.relative_accuracy(spark.read.parquet(path), "exact"), "relative")
 
 
 # --- graphs ---------------------------------------------------------------------------------
@@ -663,23 +868,72 @@ def hnsw_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(hnsw.search(hnsw.insert(index, v.filter("label % 2 <> 0"), GRAPH, n), asking(v), K, hnsw.Search(ef=2000), shards=n))
 
 
-@query()
+@query(EXACT.replace("b AS (SELECT vec_id, embedding::DOUBLE[] AS x, label FROM embeddings)", "b AS (SELECT vec_id, CASE WHEN vec_id % 7 = 3 THEN list_reverse(embedding::DOUBLE[]) ELSE embedding::DOUBLE[] END AS x, label FROM embeddings)"))
+def hnsw_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seventh of the nodes get other vectors; their links are repaired."""
+    v = embeddings(spark, sf_dir)
+    n = shards(v)
+    other = v.filter("vec_id % 7 = 3").withColumn("embedding", F.reverse("embedding"))
+    now = v.filter("vec_id % 7 <> 3").unionByName(other)
+    return answers(hnsw.search(hnsw.insert(hnsw.build(v, GRAPH, n), other, GRAPH, n), asking(now), K, hnsw.Search(ef=2000), shards=n))
+
+
+@query(EXACT)
+def hnsw_graph_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph written as binary files, one a shard, and read back."""
+    v, path = embeddings(spark, sf_dir), scratch(spark)
+    indexes.write_graph_files(graph(v), path, GRAPH.m, GRAPH.width)
+    return answers(hnsw.search(indexes.read_graph_file(spark, path, dimension(v)), asking(v), K, hnsw.Search(ef=2000)))
+
+
+@query(RECALLED)
 def hnsw_ef64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_answers(embeddings(spark, sf_dir))
+    v = embeddings(spark, sf_dir)
+    return recalled(v, graph_answers(v))
+
+
+@query(f"WITH {BASE} SELECT count(*) AS queries, true AS computes_less_than_all, true AS reads_less_than_met, true AS counts_add_up FROM q")
+def hnsw_run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a pruned walk: fewer distances than pairs, fewer components than a full read, judged and computed within met."""
+    v = embeddings(spark, sf_dir)
+    n, rows = shards(v), v.count()
+    found = hnsw.search(graph(v), asking(v), K, hnsw.Search(ef=64), dco.Incremental(linear.principal_axes(v)[1], EVERY), shards=n)
+    each = found.filter("rank = 1").select("qid", "full", "approx", "total", "dims")
+    done = metrics.run_metrics(each, dimension(v)).crossJoin(each.agg(F.max("full").alias("most"), F.min(F.col("full") <= F.col("total")).alias("fine")))
+    return done.select("queries", (F.col("most") < rows).alias("computes_less_than_all"), (F.col("dims_pruned_pct") > 0).alias("reads_less_than_met"), "fine").withColumnRenamed("fine", "counts_add_up")
+
+
+@query("SELECT count(*) AS nodes, true AS within_limits, true AS all_linked FROM embeddings")
+def hnsw_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = graph(embeddings(spark, sf_dir))
+    most = F.when(F.col("level") == 0, 2 * GRAPH.m).otherwise(GRAPH.m)
+    counts = hnsw.links(index).groupBy("node", "level").agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.count_distinct("node").alias("nodes"), F.min(F.col("n") <= most).alias("within_limits"), F.min(F.col("n") > 0).alias("all_linked"))
 
 
 def opq(v: DataFrame) -> dco.Codes:
     rotation, book = linear.optimised_codebook(v, PARTS, CODES, 2, 3)
-    return dco.Codes(book, rotation, epsilon=1.1)
+    return dco.Codes(book, rotation, epsilon=REFINE)
 
 
 def _estimated(name: str, make, how: hnsw.Search = hnsw.Search(ef=64)) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         v = embeddings(spark, sf_dir)
-        return graph_answers(v, how, estimator=make(v))
+        return recalled(v, graph_answers(v, how, estimator=make(v)))
 
     run.__name__ = name
-    query()(run)
+    query(RECALLED)(run)
+
+
+def _lossless(name: str, make) -> None:
+    """The same at full width, where a lossless estimator must give the exact answers."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        v = embeddings(spark, sf_dir)
+        return graph_answers(v, hnsw.Search(ef=2000), estimator=make(v))
+
+    run.__name__ = f"{name}_full_width"
+    query(EXACT)(run)
 
 
 _estimated("hnsw_ads", lambda v: dco.Incremental(transforms.random_rotation(dimension(v)), EVERY, dco.ADS_EPSILON))
@@ -690,32 +944,45 @@ _estimated("hnsw_dwt", lambda v: dco.Incremental(transforms.haar_matrix(dimensio
 _estimated("hnsw_paa", lambda v: dco.paa_kernel(dimension(v), PIECES))
 _estimated("hnsw_lsh", lambda v: dco.lsh_kernel(transforms.gaussian_projection(dimension(v), LOW)))
 _estimated("hnsw_lsh_tma", lambda v: dco.lsh_kernel(transforms.gaussian_projection(dimension(v), LOW)), hnsw.Search(ef=64, two_thresholds=True))
-_estimated("hnsw_pq", lambda v: dco.Codes(linear.codebook(v, PARTS, CODES, 5), epsilon=1.1))
-_estimated("hnsw_pq_tma", lambda v: dco.Codes(linear.codebook(v, PARTS, CODES, 5), epsilon=1.1), hnsw.Search(ef=64, two_thresholds=True))
-_estimated("hnsw_pq_qeo", lambda v: dco.Codes(linear.codebook(v, PARTS, CODES, 5), epsilon=1.1), hnsw.Search(ef=64, expand=2))
+_estimated("hnsw_pq", lambda v: dco.Codes(linear.codebook(v, PARTS, CODES, 5), epsilon=REFINE))
+_estimated("hnsw_pq_tma", lambda v: dco.Codes(linear.codebook(v, PARTS, CODES, 5), epsilon=REFINE), hnsw.Search(ef=64, two_thresholds=True))
+_estimated("hnsw_pq_qeo", lambda v: dco.Codes(linear.codebook(v, PARTS, CODES, 5), epsilon=REFINE), hnsw.Search(ef=64, expand=2))
 _estimated("hnsw_opq", lambda v: opq(v))
 _estimated("hnsw_opq_tma", lambda v: opq(v), hnsw.Search(ef=64, two_thresholds=True))
 _estimated("hnsw_opq_qeo", lambda v: opq(v), hnsw.Search(ef=64, expand=2))
 _estimated("hnsw_pca_every_component", lambda v: dco.Incremental(linear.principal_axes(v)[1], 1))
-_estimated("hnsw_sketch", lambda v: dco.Sketch(lambda x: x[:, :LOW], np.full(LOW, DIMS / LOW), dco.SEANET_RATIO))
+_estimated("hnsw_ads_keep", lambda v: dco.Incremental(transforms.random_rotation(dimension(v)), 1, dco.ADS_EPSILON))
+_estimated("hnsw_sketch", lambda v: learned_sketch(v))
+_lossless("hnsw_pca", lambda v: dco.Incremental(linear.principal_axes(v)[1], EVERY))
+_lossless("hnsw_svd", lambda v: dco.Incremental(linear.principal_axes(v, centred=False)[1], EVERY))
+_lossless("hnsw_dwt", lambda v: dco.Incremental(transforms.haar_matrix(dimension(v)), EVERY))
+_lossless("hnsw_paa", lambda v: dco.paa_kernel(dimension(v), PIECES))
+_lossless("hnsw_pca_every_component", lambda v: dco.Incremental(linear.principal_axes(v)[1], 1))
+
 
+def learned_sketch(v: DataFrame) -> dco.Sketch:
+    """A sketch learned from the table: the linear encoder of least error, scaled by the variance that it holds."""
+    values, axes = linear.principal_axes(v)
+    encoder = axes[:, :LOW]
+    return dco.Sketch(lambda x: x @ encoder, np.full(LOW, values.sum() / max(1e-12, values[:LOW].sum())), dco.SEANET_RATIO)
 
-@query()
+
+@query(RECALLED)
 def hnsw_pca_tma(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embeddings(spark, sf_dir)
     axes = linear.principal_axes(v)[1]
-    share = {r["dims"]: r["mean_ratio"] for r in pca_distance_ratio(spark, sf_dir).collect()}
+    share = {r["dims"]: r["mean_ratio"] for r in pca_ratios(v).collect()}
     amplify = np.array([1 / max(1e-9, share[i]) for i in sorted(share)])
-    return graph_answers(v, hnsw.Search(ef=64, two_thresholds=True), estimator=dco.Incremental(axes, EVERY, amplify=amplify))
+    return recalled(v, graph_answers(v, hnsw.Search(ef=64, two_thresholds=True), estimator=dco.Incremental(axes, EVERY, amplify=amplify)))
 
 
-@query()
+@query(RECALLED)
 def hnsw_finger(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embeddings(spark, sf_dir)
     index = graph(v)
     edges = hnsw.links(index).filter("level = 0").select(F.col("node").alias("src"), F.col("neighbour").alias("dst"))
     basis = finger.residual_basis(v, edges, dimension(v))
-    return answers(hnsw.search(index, asking(v), K, hnsw.Search(ef=64), finger=finger.Residuals(basis), shards=shards(v)))
+    return recalled(v, answers(hnsw.search(index, asking(v), K, hnsw.Search(ef=64), finger=finger.Residuals(basis), shards=shards(v))))
 
 
 @query("SELECT 'x' AS problem, 0::BIGINT AS node WHERE false")
@@ -723,22 +990,58 @@ def hnsw_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.integrity(graph(embeddings(spark, sf_dir)))
 
 
-@query()
-def hnsw_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hnsw.two_hops(graph(embeddings(spark, sf_dir))).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+def eight_nearest(v: DataFrame) -> DataFrame:
+    """Edges (``src, dst``) from every row to its 8 nearest others."""
+    return nearest(knn(v, as_queries(v), 9).filter("qid <> vec_id").drop("rank"), 8).select(F.col("qid").alias("src"), F.col("vec_id").alias("dst"))
 
 
-EIGHT = f"n8 AS (SELECT a.vec_id AS src, o.vec_id AS dst, a.x AS c, o.x AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {sql_l2('a.x', 'o.x')}, o.vec_id) AS n FROM b a JOIN b o ON a.vec_id <> o.vec_id WHERE a.vec_id % 20 = 0)"
+EIGHT = f"n8 AS (SELECT a.vec_id AS src, o.vec_id AS dst, a.x AS c, o.x AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {sql_l2('a.x', 'o.x')}, o.vec_id) AS n FROM b a JOIN b o ON a.vec_id <> o.vec_id)"
 EDGE = f"e AS (SELECT src, dst, c, d, {sql_ip('c', 'c')} AS c2, {sql_ip('c', 'd')} AS cd FROM n8 WHERE n <= 8), s AS (SELECT *, cd / c2 AS share, list_transform(list_zip(c, d), lambda t: t[2] - cd / c2 * t[1]) AS res FROM e), mat AS (SELECT {sql_matrix(transforms.sign_projection(DIMS, 32))} AS m), g AS (SELECT src, dst, c2, share, sqrt({sql_ip('res', 'res')}) AS d_res, list_sum(list_transform({sql_product('res')}, lambda y, i: CASE WHEN y > 0 THEN (1::BIGINT << (32 - i)::INT) ELSE 0 END))::BIGINT AS bits FROM s, mat)"
 
 
 @query(f"WITH {BASE}, {EIGHT}, {EDGE} SELECT src, dst, round(c2, 6) AS c2, round(share, 6) AS b, round(d_res, 6) AS d_res, bits FROM g")
 def finger_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges from every query row to its 8 nearest other rows."""
+    """Edges from every row to its 8 nearest other rows."""
+    v = embeddings(spark, sf_dir)
+    return rounded(finger.edge_table(v, eight_nearest(v), transforms.sign_projection(dimension(v), 32)), "c2", "b", "d_res")
+
+
+@query(f"WITH {BASE}, mat AS (SELECT {sql_matrix(transforms.sign_projection(DIMS, 32))} AS m), e AS (SELECT vec_id AS node, {sql_ip('x', 'x')} AS c2, {sql_product('x')} AS p FROM b, mat) SELECT node, unnest(range(len(p)))::INT AS pos, round(c2, 6) AS c2, round(unnest(p), 6) AS value FROM e")
+def finger_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = embeddings(spark, sf_dir)
+    n = dimension(v)
+    each = finger.node_table(v, transforms.sign_projection(n, 32), n).select("node", "c2", F.posexplode("c_p").alias("pos", "value"))
+    return rounded(each.select("node", "pos", "c2", "value"), "c2", "value")
+
+
+@query(
+    f"WITH {BASE}, {EIGHT}, {EDGE}, w AS (SELECT q.qid, q.q, g.src, g.dst, g.c2, g.share, g.d_res, g.bits, {sql_ip('q.q', 'c.x')} / g.c2 AS t, c.x FROM q JOIN e h ON h.src = q.qid JOIN g ON g.src = h.dst JOIN b c ON c.vec_id = g.src), "
+    f"u AS (SELECT *, {sql_ip('q', 'q')} AS q2, list_transform(list_zip(q, x), lambda z: z[1] - t * z[2]) AS res FROM w), "
+    f"r AS (SELECT u.*, greatest(0.0, q2 - t * t * c2) AS qr, bit_count(xor(bits, list_sum(list_transform({sql_product('res')}, lambda y, i: CASE WHEN y > 0 THEN (1::BIGINT << (32 - i)::INT) ELSE 0 END))::BIGINT)) / 32.0 AS ham FROM u, mat) "
+    "SELECT qid, src, dst, round((t - share) * (t - share) * c2 + d_res * d_res + qr - 2 * sqrt(qr) * d_res * cos(pi() * ham), 6) AS est FROM r"
+)
+def finger_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimated distances of each query to the neighbours of its own 8 nearest rows."""
     v = embeddings(spark, sf_dir)
-    near = nearest(knn(v, asking(v), 9).filter("qid <> vec_id").drop("rank"), 8).select(F.col("qid").alias("src"), F.col("vec_id").alias("dst"))
     n = dimension(v)
-    return rounded(finger.edge_table(v, near, transforms.sign_projection(n, 32)), "c2", "b", "d_res")
+    signs = transforms.sign_projection(n, 32)
+    near = eight_nearest(v)
+    edges = finger.edge_table(v, near, signs)
+    x = v.select(F.col("vec_id").alias("src"), F.col("embedding").cast("array<double>").alias("c"))
+    met = asking(v).join(near.select(F.col("src").alias("qid"), F.col("dst").alias("src")), "qid").join(edges, "src").join(x, "src")
+    met = met.withColumns({"q2": norm2(F.col("q"), n), "d_qc": l2sq(F.col("q"), F.col("c"), n)})
+    t = (F.col("q2") + F.col("c2") - F.col("d_qc")) / (2 * F.col("c2"))
+    met = transforms.transform(met.withColumn("res", F.zip_with("q", "c", lambda a, b: a - t * b)), signs, "res", "p")
+    turned = transforms.hamming_share(F.col("bits"), transforms.sign_bits(F.col("p"), 32), 32)
+    return rounded(met.select("qid", "src", "dst", finger.estimate(F.col("q2"), F.col("c2"), F.col("d_qc"), F.col("b"), F.col("d_res"), turned).alias("est")), "est")
+
+
+@query(f"WITH {BASE}, {EIGHT}, o AS (SELECT src, dst FROM n8 WHERE n <= 8), t AS (SELECT src, dst FROM o UNION SELECT a.src, z.dst FROM o a JOIN o z ON z.src = a.dst) SELECT src AS node, dst AS other FROM t WHERE src <> dst")
+def hnsw_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-hop expansion of an index whose links are each row's 8 nearest others."""
+    v = embeddings(spark, sf_dir)
+    links = eight_nearest(v).groupBy(F.col("src").alias("vec_id")).agg(F.array(F.array_sort(F.collect_list("dst"))).alias("links"))
+    return hnsw.two_hops(links.select(F.lit(0).alias("shard"), "vec_id", "links"))
 
 
 # --- sources, sinks and streams -------------------------------------------------------------
@@ -783,22 +1086,36 @@ def floats_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(files.read_floats(spark, path), "value")
 
 
-@query(f"WITH {BASE}, {BOOK} SELECT m::INT AS m, code::INT AS code, unnest(range(len(centre)))::INT AS pos, round(unnest(centre), 6) AS value FROM book")
+@query(f"WITH {BASE}, {BOOK} SELECT m::INT AS m, code::INT AS code, unnest(range(len(centre)))::INT AS pos, round(unnest(centre::FLOAT[]::DOUBLE[]), 6) AS value FROM book")
 def fdat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
-    files.write_codebook(spark, path, fixed_book(embeddings(spark, sf_dir)))
+    files.write_codebook(spark, path, learned_book(embeddings(spark, sf_dir)))
     each = linear.codebook_frame(spark, files.read_codebook(spark, path)).select("m", "code", F.posexplode("centroid").alias("pos", "value"))
     return rounded(each, "value")
 
 
-@query()
+MOMENTS = "SELECT 50::BIGINT AS dims, 20000::BIGINT AS n_rows, true AS mean_near_zero, true AS stdev_as_stated, true AS repeatable"
+
+
+def moments(spark: SparkSession, kind: str, stdev: float) -> DataFrame:
+    """Whether the moments of every component lie within five standard errors, and two runs agree."""
+    n, made = 20_000, files.generate(spark, 20_000, 50, kind, 1)
+    stats = linear.column_stats(made)
+    rows, _ = files.shape(made)
+    again = files.generate(spark, 20_000, 50, kind, 1).repartition(3)
+    same = made.exceptAll(again).isEmpty()
+    error = 5 * stdev / n**0.5
+    return stats.agg(F.count(F.lit(1)).alias("dims"), F.lit(rows).cast("long").alias("n_rows"), F.min(F.abs("mean") < error).alias("mean_near_zero"), F.min(F.abs(F.col("stdev") - stdev) < error).alias("stdev_as_stated"), F.lit(same).alias("repeatable"))
+
+
+@query(MOMENTS)
 def generate_gauss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linear.column_stats(files.generate(spark, 20_000, 50, "gauss", 1))
+    return moments(spark, "gauss", 1.0)
 
 
-@query()
+@query(MOMENTS)
 def generate_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linear.column_stats(files.generate(spark, 20_000, 50, "uniform", 1))
+    return moments(spark, "uniform", 3**-0.5)
 
 
 @query(EXACT)
