@@ -209,16 +209,17 @@ class Graph:
         return parent
 
     @staticmethod
-    def of(ids: np.ndarray, vectors: np.ndarray, links: list[list[list[int]]]) -> Graph:
-        """A stored graph; links to ids that are gone are dropped."""
+    def of(ids: np.ndarray, vectors: np.ndarray, links: pa.ChunkedArray) -> Graph:
+        """A stored graph, ids rising; links to ids that are gone are dropped."""
         g = Graph(ids, vectors)
-        for own in links:
-            levels = []
-            for near in own:
-                at = np.searchsorted(ids, np.array(near, np.int64))
-                at = np.minimum(at, len(ids) - 1)
-                levels.append(at[ids[at] == np.array(near, np.int64)])
-            g.links.append(levels)
+        levels = links.combine_chunks()
+        near = levels.flatten()
+        of_node, of_level = (x.offsets.to_numpy() - x.offsets[0].as_py() if len(x) else np.zeros(1, np.int64) for x in (levels, near))
+        wanted = near.flatten().to_numpy()
+        at = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
+        known = ids[at] == wanted if len(wanted) else np.zeros(0, bool)
+        pieces = np.split(at[known], np.concatenate(([0], np.cumsum(known)))[of_level[1:-1]]) if len(near) else []
+        g.links = [pieces[a:b] for a, b in zip(of_node[:-1].tolist(), of_node[1:].tolist(), strict=True)]
         heights = np.array([len(n) for n in g.links])
         if len(heights):
             g.entry, g.top = int(heights.argmax()), int(heights.max()) - 1
@@ -372,7 +373,7 @@ def insert(index: DataFrame, more: DataFrame, how: Build = Build(), shards: int
         ids = new.column("vec_id").to_numpy()
         g = Graph(np.zeros(0, np.int64), np.zeros((0, x.shape[1])))
         if have.num_rows:
-            g = Graph.of(have.column("vec_id").to_numpy(), np.array(matrix_of(have.column("embedding"))), have.column("links").to_pylist()).protect()
+            g = Graph.of(have.column("vec_id").to_numpy(), np.array(matrix_of(have.column("embedding"))), have.column("links")).protect()
         known = np.isin(ids, g.ids)
         for i in np.flatnonzero(known).tolist():
             g.move(int(np.searchsorted(g.ids, ids[i])), x[i], how)
@@ -427,7 +428,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, how: Search = Search(),
 
     def load(rows: Block):
         rows = Block(rows.table.sort_by("id"))
-        g = Graph.of(rows.ids, rows.matrix, rows.column("links").to_pylist())
+        g = Graph.of(rows.ids, rows.matrix, rows.column("links"))
         dead = rows.column("dead").to_numpy()
         return g, dead, estimator.project(g.x) if estimator is not None else None, finger.prepare(g) if finger is not None else None
 
