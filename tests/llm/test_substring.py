@@ -38,3 +38,15 @@ def test_spans_are_maximal_and_extra_columns_are_ignored(spark):
 
 def test_empty_table(spark):
     assert remove_repeated_windows(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_equal_rows_are_spread_over_chunks(spark):
+    """A row that is repeated throughout the table is in as many chunks as the table has partitions, or nearly."""
+    from vecspark.llm.chunks import in_chunks
+
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.range(0, 20_000, 1, 16).selectExpr("cast(null as long) as doc_id", f"'{text}' as text")
+    sizes = [r["count"] for r in in_chunks(docs, 64).groupBy("__chunk").count().collect()]
+    assert len(sizes) >= 12 and max(sizes) <= 4 * 20_000 // 16
+    got = remove_repeated_windows(docs).groupBy("n_words", "n_removed").count().collect()
+    assert [tuple(r) for r in got] == [(40, 40, 20_000)]
