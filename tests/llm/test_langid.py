@@ -104,3 +104,30 @@ def test_held_out_accuracy_of_the_tables(spark):
     done = langid.predict(langid.fit(docs.filter(~out)), docs.filter(out)).filter("lang_pred <> 'und'").join(docs.select("doc_id", "lang"), "doc_id").filter("lang is not null")
     right, n = done.filter("lang = lang_pred").count(), done.count()
     assert n > 200 and right >= 0.99 * n
+
+
+def plain_prediction(model, text):
+    """Language and probability by the definition: mean weight of the text's n-grams plus bias, softmax."""
+    mask, letters = (1 << 64) - 1, [c if c.isalpha() else " " for c in (text or "").lower()]
+    clean = "".join(c for i, c in enumerate(letters) if c != " " or i and letters[i - 1] != " ")
+    slots = []
+    for n in range(1, langid.LONGEST + 1):
+        for i in range(len(clean) - n + 1):
+            rolled = 0
+            for c in clean[i : i + n]:
+                rolled = (rolled * 0x100000001B3 + ord(c)) & mask
+            slots.append((((rolled + n) * 0x9E3779B97F4A7C15) & mask) >> (64 - langid.FEATURE_BITS))
+    if not any(c != " " for c in clean):
+        return langid.UNKNOWN, 0.0
+    logits = model.table[:, slots].sum(axis=1) / len(slots) + model.bias
+    p = np.exp(logits - logits.max())
+    p /= p.sum()
+    return model.languages[int(p.argmax())], float(p.max())
+
+
+def test_predictions_match_brute_force(spark, model):
+    data = prose(9, 40) + [(1000, "é--É!", None, None, 0), (1001, "  a  b\n\nc ", None, None, 0), (1002, "ñ", None, None, 0), (1003, "...", None, None, 0), (1004, None, None, None, 0)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(model, frame(spark, data)).collect()}
+    for r in data:
+        lang, p = plain_prediction(model, r[1])
+        assert got[r[0]][0] == lang and abs(got[r[0]][1] - p) < 1e-9, r
