@@ -54,7 +54,8 @@ def asking(vectors: DataFrame) -> DataFrame:
 
 
 def rounded(found: DataFrame, *columns: str) -> DataFrame:
-    return found.select(*(F.round(c, 6).alias(c) if c in columns else F.col(c) for c in found.columns))
+    """The frame with columns rounded to six places; adding zero turns a negative zero into zero."""
+    return found.select(*((F.round(c, 6) + F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in found.columns))
 
 
 def answers(found: DataFrame) -> DataFrame:
@@ -209,7 +210,7 @@ def knn_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(planner.run(planner.choose(v.count(), q.count()), v, q, K))
 
 
-IP = f"WITH {BASE}, p AS (SELECT qid, vec_id, {sql_ip('q', 'x')} AS d FROM q, b), r AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY d DESC, vec_id))::INT AS rank FROM p) SELECT qid, rank, vec_id, round({{}}, 6) AS dist FROM r WHERE rank <= {K}"
+IP = f"WITH {BASE}, p AS (SELECT qid, vec_id, {sql_ip('q', 'x')} AS d FROM q, b), r AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY d DESC, vec_id))::INT AS rank FROM p) SELECT qid, rank, vec_id, round({{}}, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}"
 
 
 @query(IP.format("d"))
@@ -1018,7 +1019,7 @@ def finger_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {BASE}, {EIGHT}, {EDGE}, w AS (SELECT q.qid, q.q, g.src, g.dst, g.c2, g.share, g.d_res, g.bits, {sql_ip('q.q', 'c.x')} / g.c2 AS t, c.x FROM q JOIN e h ON h.src = q.qid JOIN g ON g.src = h.dst JOIN b c ON c.vec_id = g.src), "
     f"u AS (SELECT *, {sql_ip('q', 'q')} AS q2, list_transform(list_zip(q, x), lambda z: z[1] - t * z[2]) AS res FROM w), "
     f"r AS (SELECT u.*, greatest(0.0, q2 - t * t * c2) AS qr, bit_count(xor(bits, list_sum(list_transform({sql_product('res')}, lambda y, i: CASE WHEN y > 0 THEN (1::BIGINT << (32 - i)::INT) ELSE 0 END))::BIGINT)) / 32.0 AS ham FROM u, mat) "
-    "SELECT qid, src, dst, round((t - share) * (t - share) * c2 + d_res * d_res + qr - 2 * sqrt(qr) * d_res * cos(pi() * ham), 6) AS est FROM r"
+    "SELECT qid, src, dst, round((t - share) * (t - share) * c2 + d_res * d_res + qr - 2 * sqrt(qr) * d_res * cos(pi() * ham), 6) + 0.0::DOUBLE AS est FROM r"
 )
 def finger_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimated distances of each query to the neighbours of its own 8 nearest rows."""
