@@ -71,6 +71,24 @@ def test_small_blocks_lose_no_link(spark, monkeypatch):
         assert sorted(map(tuple, got), key=str) == brute(data)
 
 
+def test_members_of_one_component_are_copied_once_for_a_block_of_others(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    hot = [(1, i, 10, 0 if i >= 15 else i) for i in range(2000)]
+    known = spark.createDataFrame([*hot, (2, 5000, 3, 1), (2, 5001, 3, 2), (2, 5002, 3, 1), (3, 1, 3, 1), (3, 2, 3, 1), (3, 3, 3, 1)], "key long, node long, n int, comp long")
+    got = neardup._met(known).collect()
+    assert sorted(r["node"] for r in got if r["key"] == 2 and r["alone"]) == [5000, 5001, 5002]
+    assert not [r for r in got if r["key"] == 3]
+    copies, pairs = {}, {}
+    for r in got:
+        if r["key"] == 1:
+            copies[r["node"]] = copies.get(r["node"], 0) + 1
+            pairs.setdefault((r["i"], r["j"]), []).append(r)
+    assert all(copies[i] == 1 for i in (0, *range(15, 2000)))
+    assert all(copies[i] <= 102 for i in range(1, 15)) and len(pairs) <= 102
+    met = {(a["node"], b["node"]) for rows_ in pairs.values() for a in rows_ if a["comp"] for b in rows_ if a["comp"] != b["comp"]}
+    assert met == {(a, b) for a in range(1, 15) for b in range(2000) if hot[a][3] != hot[b][3]}
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 1000).astype(np.uint64)

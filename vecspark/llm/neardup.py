@@ -10,7 +10,8 @@ its least member; those links are verified on full sets and joined into componen
 bucket that still holds more than one component is settled in blocks of bounded size: an
 inverted index of the block's shingles counts the exact intersections of each member
 outside the largest component with all others, and one link for each pair of components
-comes out. So no bucket is expanded into pairs of rows, and none is capped.
+comes out. Members of the largest component never meet each other. So no bucket is
+expanded into pairs of rows, and none is capped.
 """
 
 from __future__ import annotations
@@ -170,20 +171,38 @@ def _settle(k: int, similarity: float, key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _met(known: DataFrame) -> DataFrame:
+    """Members (key, node, n, comp) of the buckets that hold several components, once for each block pair they go to.
+
+    A bucket of more than one block is split into the members of its largest component and
+    the others: these are in blocks ``0`` to ``outer - 1`` and meet everyone, those in the
+    ``inner`` blocks after them meet the others only. So the members of one component,
+    however many, are copied once for each ``BLOCK`` of the rest.
+    """
+    blocks = lambda c, n: F.greatest(F.ceil(c / BLOCK), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    sums = (F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    open_ = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), *sums).filter("x < y and c > 2")
+    wide = open_.filter(blocks(F.col("c"), F.col("n")) > 1).select("key")
+    shares = known.join(wide, "key", "left_semi").groupBy("key", "comp").agg(*sums)
+    split = shares.groupBy("key").agg(F.max(F.struct("c", "comp", "n")).alias("m"), F.sum("c").alias("c"), F.sum("n").alias("n"))
+    split = split.select("key", F.col("m.comp").alias("main"), blocks(F.col("m.c"), F.col("m.n")).alias("inner"), blocks(F.col("c") - F.col("m.c"), F.col("n") - F.col("m.n")).alias("outer"))
+    held = known.join(open_.select("key"), "key", "left_semi").join(split, "key", "left")
+    held = held.withColumns({"within": F.coalesce(F.col("comp") == F.col("main"), F.lit(False)), "inner": F.coalesce("inner", F.lit(0)), "outer": F.coalesce("outer", F.lit(1))})
+    at = F.pmod(F.xxhash64("node"), F.when(F.col("within"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
+    held = held.withColumn("own", at + F.when(F.col("within"), F.col("outer")).otherwise(0))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outer") - 1 + F.when(F.col("within"), 0).otherwise(F.col("inner")))))
+    alone = F.col("outer") + F.col("inner") == 1
+    return held.select("key", "node", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), alone.alias("alone"))
+
+
 def _settled(members: DataFrame, labels: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
     """Verified links between the components that meet in a bucket."""
     parts = shuffle_partitions(members.sparkSession)
     known = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
-    known = cut(known)
-    open_ = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).filter("x < y and c > 2")
-    blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
-    held = known.select("key", "node", "comp").join(open_.select("key", blocks.alias("blocks")), "key")
-    held = cut(held.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    held = cut(_met(cut(known)))
     text = likely_rows(docs.select("doc_id", "text"), held.select("node"), "doc_id").withColumnRenamed("doc_id", "node")
-    held = held.join(text, "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    held = held.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(8 * parts))).otherwise(F.xxhash64("key", "i", "j"))
-    held = held.select(task.alias("task"), "key", "i", "j", "own", "node", "comp", "text")
+    task = F.when(F.col("alone"), F.pmod(F.xxhash64("key"), F.lit(8 * parts))).otherwise(F.xxhash64("key", "i", "j"))
+    held = held.join(text, "node").select(task.alias("task"), "key", "i", "j", "own", "node", "comp", "text")
     return held.groupBy("task").applyInArrow(on_group(_settle, k, similarity), "a long, b long").distinct()
 
 
