@@ -87,3 +87,28 @@ def test_long_pretokens_share_prefixes_and_are_quick(monkeypatch):
     long = bytes(rng.choices(b"abcdefgh", k=1_000_000))
     assert tokencount.count_tokens(sorted([long, long[:-1], b"ab"]), own)[-1] > 0 and time.time() - began < 30
     assert tokencount.Vocabulary(pieces).key == own.key != tokencount.Vocabulary(pieces[:256]).key
+
+
+def test_unigram_files_agree_with_the_library(tmp_path):
+    """Against the Viterbi search of another implementation, whose scores are given, not trained."""
+    from tokenizers import Tokenizer
+    from tokenizers.models import Unigram
+
+    rng = random.Random(8)
+    texts = sorted({"".join(rng.choices("abcd\u2581é", k=rng.randint(2, 6))) for _ in range(200)})
+    vocab = [("<unk>", 0.0), *((c, -12 - rng.random()) for c in "abcd\u2581é"), *((t, -6 * rng.random() - len(t)) for t in texts)]
+    other = Tokenizer(Unigram(vocab, unk_id=0))
+    path = str(tmp_path / "unigram.json")
+    other.save(path)
+    own = Vocabulary.load(path)
+    words = {"".join(rng.choices("abcd é", k=rng.randint(1, n))) for n in (8, 40, 150) for _ in range(200)}
+    words = sorted(words, key=str.encode)
+    got = count_tokens([w.encode() for w in words], own)
+    assert got.tolist() == [len(other.encode(w.replace(" ", "\u2581")).ids) for w in words]
+    # Unknown bytes count one by one.
+    assert count_tokens([b"xy"], own).tolist() == [2]
+    assert own.key != Vocabulary([bytes([b]) for b in range(256)]).key
+    with pytest.raises(ValueError):
+        Vocabulary.of_unigram({"type": "BPE"})
+    with pytest.raises(ValueError):
+        Vocabulary([bytes([b]) for b in range(256)], [0.0])

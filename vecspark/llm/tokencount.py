@@ -6,16 +6,18 @@ once for each shared prefix; the node where a pre-token ends stores its token co
 few pre-tokens of more than ``LONG`` bytes are a trie of their own, walked depth first: each
 goes on from the scores of the prefix that it shares with the one before.
 
-A rank file has no probabilities; a piece of rank r gets one proportional to ``1 / (r + 1)``
-(Zipf's law, ranks being in order of frequency). The best-scoring segmentation counts
-(ties: the longer last piece).
+A unigram model's file gives the log-probabilities of its pieces. A rank file has none; a
+piece of rank r gets one proportional to ``1 / (r + 1)`` (Zipf's law, ranks being in order
+of frequency). The best-scoring segmentation counts (ties: the longer last piece).
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,20 +37,30 @@ REMEMBERED, SLICE = 400_000, 1 << 20
 #: Bytes beyond which pre-tokens are walked depth first, and positions whose pieces are looked up at once.
 LONG, STRETCH = 64, 1 << 16
 
+#: What a byte without a piece of its own scores below the least piece of a unigram model.
+UNKNOWN_PENALTY = 10.0
+#: How unigram files write a blank and a single byte.
+_BLANK, _BYTE = "\u2581", re.compile("<0x([0-9A-F]{2})>")
+
 _BASE = 0x9E3779B97F4A7C15
 
 
 class Vocabulary:
-    """Pieces of a rank file, by length and hash, with their log-probabilities."""
+    """Different pieces, by length and hash, with their log-probabilities (by default, those of ranks)."""
 
-    def __init__(self, pieces: list[bytes]):
+    def __init__(self, pieces: list[bytes], scores: list[float] | None = None):
         known = set(pieces)
         if not all(bytes([b]) in known for b in range(256)):
             raise ValueError("the vocabulary must hold every single byte")
-        score = -np.log(np.arange(1, len(pieces) + 1)) - np.log((1 / np.arange(1, len(pieces) + 1)).sum())
+        if scores is None:
+            score = -np.log(np.arange(1, len(pieces) + 1)) - np.log((1 / np.arange(1, len(pieces) + 1)).sum())
+        else:
+            score = np.asarray(scores, np.float64)
+            if len(score) != len(pieces) or not np.isfinite(score).all():
+                raise ValueError("every piece needs one finite score")
         self.by_length: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         #: Names the vocabulary by its content.
-        self.key = hashlib.blake2b(b"".join(len(p).to_bytes(4, "little") + p for p in pieces), digest_size=16).hexdigest()
+        self.key = hashlib.blake2b(b"".join(len(p).to_bytes(4, "little") + p for p in pieces) + score.tobytes(), digest_size=16).hexdigest()
         sizes = np.array([len(p) for p in pieces])
         for n in np.unique(sizes).tolist():
             own = np.flatnonzero(sizes == n)
@@ -61,13 +73,33 @@ class Vocabulary:
 
     @staticmethod
     def load(path: str) -> Vocabulary:
-        """A file of lines ``base64(piece) rank``."""
+        """A file of lines ``base64(piece) rank``, or (``.json``) a unigram model of the ``tokenizers`` library."""
         if os.path.getsize(path) > MOST_BYTES:
             raise ValueError(f"{path} is over {MOST_BYTES} bytes")
+        if path.endswith(".json"):
+            with open(path, encoding="utf-8") as f:
+                return Vocabulary.of_unigram(json.load(f)["model"])
         with open(path, "rb") as f:
             ranks = sorted((int(rank), base64.b64decode(piece)) for piece, rank in map(bytes.split, f))
         return Vocabulary([piece for _, piece in ranks])
 
+    @staticmethod
+    def of_unigram(model: dict) -> Vocabulary:
+        """The pieces of a unigram model with their log-probabilities; its unknown piece is left out.
+
+        Bytes without a piece score ``UNKNOWN_PENALTY`` below the least; of equal pieces the likelier counts.
+        """
+        if model.get("type") != "Unigram":
+            raise ValueError("the file holds no unigram model")
+        scores: dict[bytes, float] = {}
+        for i, (text, score) in enumerate(model["vocab"]):
+            if i != model.get("unk_id") and text:
+                piece = bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(text)) else text.replace(_BLANK, " ").encode()
+                scores[piece] = max(score, scores.get(piece, score))
+        least = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
+        scores = {bytes([b]): least for b in range(256)} | scores
+        return Vocabulary(list(scores), list(scores.values()))
+
 
 def _sums(flat: np.ndarray) -> np.ndarray:
     up, _ = tk.powers(_BASE, len(flat) + 1)
