@@ -48,7 +48,7 @@ def test_the_rest_stands_without_the_corpus_subpackage(tmp_path):
 
 
 #: Queries that write files of their own.
-WRITE_FILES = ["fvecs_round_trip", "floats_round_trip", "hnsw_graph_file", "bin_round_trip"]
+WRITE_FILES = ["fvecs_round_trip", "floats_round_trip", "hnsw_graph_file", "bin_round_trip", "ivecs_round_trip"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables are not here")
