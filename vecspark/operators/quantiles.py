@@ -99,4 +99,4 @@ def ratio_quantiles(vectors: DataFrame, queries: DataFrame, estimator: Estimator
         return float(values_of(key[own : own + 1])[0])
 
     low, high = ([value(int(f(a))) for a in at] for f in (np.floor, np.ceil))
-    return [x + (a - np.floor(a)) * (y - x) for x, y, a in zip(low, high, at, strict=True)]
+    return [float(x + (a - np.floor(a)) * (y - x)) for x, y, a in zip(low, high, at, strict=True)]
