@@ -1,6 +1,8 @@
 import math
 import random
 import re
+import tracemalloc
+import types
 import zlib
 from collections import Counter
 
@@ -214,3 +216,17 @@ def test_sizes_are_renewed_after_each_sweep_and_probabilities_averaged(spark):
     each = [(7 - s[0].discount * t + (1 + s[0].discount * n) * lm._parent(np.array([g]), np.array([r]), x)[0]) / 41 for x, t, n, g, r in ((s[0], 2, 3, 20, 6), (s[1], 4, 30, 90, 8))]
     got = lm._probability(tuple(s), words, np.array([[7], [6]]), np.array([0]), np.array([0]))
     assert math.isclose(got[0], sum(each) / 2)
+
+
+def test_a_chunk_is_gone_before_the_next_is_read(monkeypatch):
+    """Counting and asking hold the arrays of one chunk at a time, and few at once: workers share their executor's memory."""
+    words = np.random.default_rng(1).integers(10**5, 2 * 10**5, (3, 10, 100_000)).astype(str)
+    batches = [pa.RecordBatch.from_pydict({"text": [" ".join(w) for w in part], "doc_id": list(range(10))}) for part in words]
+    lm._Tokens(batches[0].column(0))  # makes the table of powers, which stays
+    monkeypatch.setattr(lm.TaskContext, "get", lambda: types.SimpleNamespace(partitionId=lambda: 1))
+    for kernel, columns in ((lm._count(8), ["text"]), (lm._ask(8), ["text", "doc_id"])):
+        tracemalloc.start()
+        chunks = sum(1 for _ in kernel(b.select(columns) for b in batches))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert chunks == 3 and peak < 90 * words[0].size

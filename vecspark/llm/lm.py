@@ -63,15 +63,14 @@ class _Tokens:
     """
 
     def __init__(self, column: pa.ChunkedArray | pa.Array):
-        buf, offs = tk.text_buffer(column)
-        buf = tk.lower_ascii(buf)
-        starts, ends, first = tk.words(buf, offs)
-        rows = len(offs) - 1
-        token = np.full(len(starts) + rows + 1, _END, np.uint64)
-        token[np.arange(len(starts)) + np.repeat(np.arange(rows), np.diff(first))] = tk.word_hashes(buf, starts, ends)
-        token[-1] = _START
-        self.words, of = np.unique(token, return_inverse=True)
-        self._pair(of[:-1], np.diff(first) + 1, int(of[-1]))
+        token, sizes = _hashes(column)
+        order = np.argsort(token)
+        token = token[order]
+        new = np.concatenate(([True], token[1:] != token[:-1]))
+        self.words = token[new]
+        of = token.view(np.int64)  # its bytes are used again
+        of[order] = np.cumsum(new, dtype=np.int32) - 1
+        self._pair(of[:-1], sizes, int(of[-1]))
 
     def _pair(self, word_of: np.ndarray, sizes: np.ndarray, start: int) -> None:
         self.word_of, self.sizes, self.start = word_of, sizes, start
@@ -81,6 +80,14 @@ class _Tokens:
         before[self.bounds[:-1]] = start
         self.pair_key = word_of * len(self.words) + before
 
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs and how often they occur; the tokens' own order is given up for it."""
+        key = self.pair_key
+        del self.pair_key, self.word_of
+        key.sort()
+        heads = np.flatnonzero(np.diff(key, prepend=-1))
+        return key[heads], np.diff(heads, append=len(key))
+
     def blob(self, *more: np.ndarray) -> bytes:
         return _blob(self.word_of.astype(np.uint32), self.sizes, np.array([self.start, len(self.words)]), *more)
 
@@ -107,6 +114,20 @@ class _Tokens:
         return out
 
 
+def _hashes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, with the mark before a first word at the end, and the number of tokens of each text."""
+    buf, offs = tk.text_buffer(column)
+    buf = tk.lower_ascii(buf)
+    starts, ends, first = tk.words(buf, offs)
+    rows = len(offs) - 1
+    token = np.full(len(starts) + rows + 1, _END, np.uint64)
+    own = np.ones(len(token), bool)
+    own[first[1:] + np.arange(rows)] = own[-1] = False
+    token[own] = tk.word_hashes(buf, starts, ends)
+    token[-1] = _START
+    return token, np.diff(first) + 1
+
+
 def _bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
     return (((words >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
@@ -160,11 +181,13 @@ _REQUEST_ARROW = pa.schema([("bucket", pa.int32()), ("slot", pa.int32()), ("chun
 
 
 def _count(buckets: int):
+    def counted(column: pa.ChunkedArray) -> pa.RecordBatch:
+        t = _Tokens(column)
+        return pa.RecordBatch.from_pydict(t.requests(buckets, *t.counted(), 0), _REQUEST_ARROW)
+
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tk.filled(batches, "text"):
-            t = _Tokens(part.column(0))
-            pairs, counts = np.unique(t.pair_key, return_counts=True)
-            yield pa.RecordBatch.from_pydict(t.requests(buckets, pairs, counts, 0), _REQUEST_ARROW)
+            yield counted(part.column(0))
 
     return call
 
@@ -469,17 +492,19 @@ def _unknown(s: Settings) -> float:
 def _ask(buckets: int):
     """For each chunk its requests, and under a negative bucket its tokens, which go on to its answers."""
 
+    def asked(part: pa.Table, chunk: int) -> pa.RecordBatch:
+        t = _Tokens(part.column("text"))
+        out = t.requests(buckets, np.unique(t.pair_key), None, chunk)
+        ids = part.column("doc_id")
+        own = t.blob(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy().astype(np.int8))
+        for k, v in zip(out, (-1 - chunk % _SLOTS, chunk % _SLOTS, chunk, len(t.words), 0, own), strict=True):
+            out[k].append(v)
+        return pa.RecordBatch.from_pydict(out, _REQUEST_ARROW)
+
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for i, part in enumerate(tk.filled(batches, "text")):
-            chunk = task + i * _STRIDE
-            t = _Tokens(part.column("text"))
-            out = t.requests(buckets, np.unique(t.pair_key), None, chunk)
-            ids = part.column("doc_id")
-            own = t.blob(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy().astype(np.int8))
-            for k, v in zip(out, (-1 - chunk % _SLOTS, chunk % _SLOTS, chunk, len(t.words), 0, own), strict=True):
-                out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, _REQUEST_ARROW)
+            yield asked(part, task + i * _STRIDE)
 
     return call
 
@@ -555,16 +580,18 @@ def _score_chunk(s: Settings, sweeps: tuple[Settings, ...], table: pa.Table) ->
         raise RuntimeError("a chunk changed between its request and its answer")
     t, (ids, null) = _Tokens.of(rows[0]["body"])
     pairs, pair_of = np.unique(t.pair_key, return_inverse=True)
-    of_words, of_pairs = [], []
-    for r in rows[1:]:
-        a, b = _arrays(r["body"])
-        of_words.append(a.reshape(-1, r["n_words"]))
-        of_pairs.append(b.reshape(2, -1))
-    of_words, of_pairs = np.concatenate(of_words, axis=1), np.concatenate(of_pairs, axis=1)
-    if of_words.shape[1] != len(t.words) or of_pairs.shape[1] != len(pairs):
+    del t.pair_key
+    n_words, n_pairs = (np.cumsum([0, *(r[name] for r in rows[1:])]) for name in ("n_words", "n_pairs"))
+    if n_words[-1] != len(t.words) or n_pairs[-1] != len(pairs):
         raise RuntimeError("a chunk changed between its request and its answer")
+    of_words, of_pairs = np.empty((2 + 3 * len(sweeps), len(t.words)), np.int64), np.empty((2, len(pairs)), np.int64)
+    for i, r in enumerate(rows[1:]):
+        a, b = _arrays(r["body"])
+        of_words[:, n_words[i] : n_words[i + 1]] = a.reshape(len(of_words), -1)
+        of_pairs[:, n_pairs[i] : n_pairs[i + 1]] = b.reshape(2, -1)
     count = of_words[0]
     word, context = np.divmod(pairs, len(t.words))
+    del pairs
     p = np.log10(_probability(sweeps, of_words, of_pairs, word, context))
     base = np.log10((count + 0.5) / (s.tokens + 0.5 * (s.words + 1)))[t.word_of]
     heads = t.bounds[:-1]
