@@ -230,3 +230,25 @@ def test_a_chunk_is_gone_before_the_next_is_read(monkeypatch):
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert chunks == 3 and peak < 90 * words[0].size
+
+
+def test_a_step_is_one_file_a_task(spark, monkeypatch):
+    """What buckets keep and what they send go into one file, and are read apart."""
+    files, write = [], lm.Steps.write
+
+    def look(*args, **named):
+        done = write(*args, **named)
+        files.append(len(done.inputFiles()))
+        return done
+
+    monkeypatch.setattr(lm.Steps, "write", look)
+    monkeypatch.setattr("vecspark.llm.chunks.Sizes.buckets", lambda *_: 4)
+    monkeypatch.setattr(lm, "dealt", lambda frame, key, parts: frame.repartitionById(2, F.col(key)).groupBy(key))
+    lm.fit(frame(spark, rows(4)))
+    assert len(files) == 2 + lm.SWEEPS and max(files) <= 2
+
+
+def test_what_is_kept_and_what_is_sent_are_columns_apart(spark):
+    notes = spark.createDataFrame([(1, -1, 0, 2.0, 3.0, b"kept"), (1, 4, 0, 0.0, 0.0, b"sent"), (2, 1, 0, 0.0, 0.0, None)], lm._NOTE)
+    apart = lm._apart(notes)
+    assert lm._kept(apart).collect() + lm._sent(apart).orderBy("bucket").collect() == notes.orderBy("bucket", "peer").collect()

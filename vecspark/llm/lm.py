@@ -668,6 +668,20 @@ def _discount(once: int | None, twice: int | None) -> float:
     return min(0.95, max(0.1, (once or 0) / max(1, (once or 0) + 2 * (twice or 0))))
 
 
+def _apart(notes: DataFrame) -> DataFrame:
+    """Notes with what buckets keep and what they send in columns of their own, so that only one of these is read."""
+    keeps = F.col("peer") < 0
+    return notes.withColumns({"kept": F.when(keeps, F.col("body")), "sent": F.when(~keeps, F.col("body"))}).drop("body")
+
+
+def _kept(notes: DataFrame) -> DataFrame:
+    return notes.filter("peer < 0").withColumnRenamed("kept", "body").drop("sent")
+
+
+def _sent(notes: DataFrame) -> DataFrame:
+    return notes.filter("peer >= 0").withColumnRenamed("sent", "body").drop("kept")
+
+
 def fit(docs: DataFrame) -> LanguageModel:
     """Learns from all texts of ``docs`` (null: empty); only column ``text`` is read."""
     docs = bounded(docs).select(F.col("text").cast("string").alias("text"))
@@ -681,26 +695,23 @@ def fit(docs: DataFrame) -> LanguageModel:
     total = merged.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names)).first()
     s = first = Settings(total["tokens"], total["n_words"], float(total["n_pairs"]), float(total["n_words"]), _discount(total["once"], total["twice"]), _discount(total["alone"], total["pairs_of_two"]), buckets)
     counts, sweeps = merged.select("bucket", "body"), []
-    keeps = F.col("kept")
     with Steps(docs.sparkSession) as steps:
-        # Every table has what a bucket keeps for itself apart from what it sends to others.
-        write = lambda frame: steps.write(frame.withColumn("kept", F.col("peer") < 0), "kept")
-        done = write(counts.mapInArrow(on_batches(_open, hosts), _NOTE))
-        hosts = write(grouped(done.filter(~keeps).drop("kept")).applyInArrow(on_group(_host), _NOTE))
-        own, sizes, heard = hosts.filter(keeps).drop("kept"), hosts.filter(~keeps).drop("kept"), []
+        done = steps.write(_apart(counts.mapInArrow(on_batches(_open, hosts), _NOTE)))
+        hosts = steps.write(_apart(grouped(_sent(done)).applyInArrow(on_group(_host), _NOTE)))
+        own, sizes, heard = _kept(hosts), _sent(hosts), []
         for sweep in range(SWEEPS):
-            last, done = done, write(grouped(done.filter(keeps).drop("kept").unionByName(sizes)).applyInArrow(on_group(_sweep, s, sweep), _NOTE))
+            last, done = done, steps.write(_apart(grouped(_kept(done).unionByName(sizes)).applyInArrow(on_group(_sweep, s, sweep), _NOTE)))
             steps.drop(*(t for t in [last] if not any(t is h for h in heard)))
-            sizes = grouped(own.unionByName(done.filter(~keeps).drop("kept"))).applyInArrow(on_group(_resum, sweep), _NOTE)
-            after = done.filter(keeps).agg(F.coalesce(F.sum("guests"), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("roots"), F.lit(0.0)).alias("tables")).first()
+            sizes = grouped(own.unionByName(_sent(done))).applyInArrow(on_group(_resum, sweep), _NOTE)
+            after = _kept(done).agg(F.coalesce(F.sum("guests"), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("roots"), F.lit(0.0)).alias("tables")).first()
             s = replace(s, pairs=after["pairs"], tables=after["tables"])
             if sweep >= BURN_IN:
                 sweeps.append(s)
                 heard.append(done)
         kept = own
         for t in heard:
-            kept = kept.unionByName(t.filter(~keeps).drop("kept"))
-        drawn = cut(done.filter(keeps).select("bucket", F.col("body").alias("drawn")))
+            kept = kept.unionByName(_sent(t))
+        drawn = cut(_kept(done).select("bucket", F.col("body").alias("drawn")))
         settled = cut_alone(grouped(kept).applyInArrow(on_group(_settle, buckets), "bucket int, sizes binary"))
     mean = replace(s, pairs=sum(k.pairs for k in sweeps) / len(sweeps), tables=sum(k.tables for k in sweeps) / len(sweeps))
     return LanguageModel(counts, drawn, settled, first, mean, tuple(sweeps))
